@@ -44,6 +44,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers can import this package."""
+    on_workers(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

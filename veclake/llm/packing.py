@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder, slices
+from .common import arrow
 
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n, attention staying inside the piece.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
@@ -105,7 +106,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, wi
         packer = Packer(size, TaskContext.get().partitionId() << 40)
         key_type = None
 
-        def arrow(rows):
+        def batch_of(rows):
             columns = list(zip(*rows, strict=True))
             arrays = [pa.array(columns[0], key_type)] + [pa.array(c, pa.int64()) for c in columns[1:7]]
             if with_ids:
@@ -120,11 +121,11 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, wi
                 for key, ids in zip(keys[a:b], e.batch(texts[a:b]), strict=True):
                     rows += packer.add(key, ids + end)
                 if rows:
-                    yield arrow(rows)
+                    yield batch_of(rows)
                     rows = []
         if rows := list(packer.rest()):
-            yield arrow(rows)
+            yield batch_of(rows)
 
     schema = f"id {kind}, " + ", ".join(f"{n} long" for n in names[1:]) + ", ids array<int>" * with_ids
-    out = slim.mapInArrow(run, schema)
+    out = arrow(slim, run, schema)
     return out.select(F.col("id").alias(id_col), *names[1:], *["ids"] * with_ids)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder, slices
+from .common import arrow
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -28,5 +29,5 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
 
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.octet_length(F.coalesce(docs[text_col], F.lit(""))).cast("long").alias("n_bytes"))
     kind = dict(slim.dtypes)["id"]
-    out = slim.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long")
+    out = arrow(slim, count, f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
