@@ -6,7 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .exact_dedup import exact_dedup
 from .packing import pack
+from .quality import quality_rules
+from .simhash import near_duplicates
+from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,9 +20,35 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_token_counts)}
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing,
+        op2_quality_rules,
+        op3_token_counts,
+        op4_simhash_near_dedup,
+        op5_exact_dedup,
+        op6_substring_dedup,
+    )
+}
 ORACLES: dict[str, str] = {}
