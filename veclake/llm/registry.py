@@ -3,17 +3,33 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .language_id import by_id, language_id
+from .mixing import mix
 from .packing import pack
 from .quality import quality_rules
+from .secret_scan import secret_scan
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
+from .url_filter import url_filter
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+#: (host and path prefix, verdict)
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+#: Target weights of the mixture at each level; a name that is not stated has weight 1.
+MIX_WEIGHTS = {"domain": {"d0": 3, "d1": 2, "d2": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.5, 2, 1
+
+
+def mix_domain() -> Column:
+    """The domain of a source: its number modulo 3, ``other`` without one."""
+    number = F.try_to_number(F.right(F.regexp_extract("source", "([0-9]+)$", 1), F.lit(9)), F.lit("999999999"))
+    return F.coalesce(F.concat(F.lit("d"), (number.cast("long") % 3).cast("string")), F.lit("other"))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +56,23 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), mix_domain(), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id(docs, by_id(docs["doc_id"]))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -49,6 +82,10 @@ QUERIES = {
         op4_simhash_near_dedup,
         op5_exact_dedup,
         op6_substring_dedup,
+        op7_url_filter,
+        op8_mixing,
+        op9_secret_scan,
+        op10_language_id,
     )
 }
 ORACLES: dict[str, str] = {}
