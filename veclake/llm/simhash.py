@@ -207,3 +207,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col:
     named = rooted.join(least, "root").select(F.col("print").alias("_print"), "component_id")
     out = printed.join(named, printed["print"] == named["_print"], "left")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def distinct_groups(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataFrame:
+    """One document of each group (that with the smallest id), all its columns as they were."""
+    labelled = near_duplicates(docs, shingle, radius)
+    gone = labelled.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
