@@ -87,7 +87,8 @@ def plan(slim: DataFrame, weights: dict[str, dict[str, float]], share: float, ma
     full = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long")
     leaves = written(leaves.withColumn("epochs", full).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")), "leaves")
 
-    keyed = _joined(slim, leaves.select(*LEVELS, "epochs", "rest")).withColumn("place", _order(F.col("id"), F.col("epochs"), seed))
+    begun = leaves.where("rest > 0").select(*LEVELS, "epochs", "rest")
+    keyed = _joined(slim, begun).withColumn("place", _order(F.col("id"), F.col("epochs"), seed))
     keyed = keyed.withColumn("bin", F.substring("place", 1, BIN_DIGITS))
     by = [*LEVELS, "epochs", "rest"]
     sums = keyed.groupBy(*by, "bin").agg(F.sum("n_tokens").alias("n"))
