@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +77,14 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
-def whole(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Only the named columns; extra ones, whatever their names, go."""
-    return df.select(*[df[c] for c in columns])
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) whose doc_id is a pair with a hash of id and text: null and repeated ids tell apart."""
+    key = F.struct(docs["doc_id"].alias("a"), F.xxhash64(docs["doc_id"].cast("string"), docs["text"]).alias("b"))
+    return docs.select(key.alias("doc_id"), docs["text"])
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents whose ``keyed`` doc_id is not in ``gone``, all their columns as they were."""
+    g = gone.select(F.col("doc_id.a").alias("_gone"), F.col("doc_id.b").alias("_key"))
+    same = docs["doc_id"].eqNullSafe(g["_gone"]) & (F.xxhash64(docs["doc_id"].cast("string"), docs["text"]) == g["_key"])
+    return docs.join(g, same, "left_anti")

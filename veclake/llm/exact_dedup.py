@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, shuffle_width, written
+from .common import arrow, keyed, shuffle_width, without, written
 from .golomb import decode, encode
 
 #: Fingerprint bits in the exchange.  Of n documents a share n / 2**BITS are suspects without a copy, which verification clears.
@@ -140,6 +140,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    """The documents that exact deduplication keeps, all their columns as they were."""
-    gone = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """The documents that exact deduplication keeps, all their columns as they were.
+
+    Rows that repeat id and text stay together; of rows that share an id but
+    not the case of their letters one stays.
+    """
+    return without(docs, exact_dedup(keyed(docs)).where("not kept"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, written
+from .common import arrow, keyed, without, written
 from .components import components
 
 #: Rows of sorted shards that a task works on at once.
@@ -210,7 +210,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col:
 
 
 def distinct_groups(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataFrame:
-    """One document of each group (that with the smallest id), all its columns as they were."""
-    labelled = near_duplicates(docs, shingle, radius)
-    gone = labelled.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """One document of each group (that with the smallest id; null is smallest), all its columns as they were.
+
+    Rows that repeat id and text are one document and stay together.
+    """
+    labelled = near_duplicates(keyed(docs), shingle, radius)
+    return without(docs, labelled.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
