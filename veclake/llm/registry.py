@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import table
 from .exact_dedup import exact_dedup
 from .language_id import by_id, language_id
@@ -88,4 +89,9 @@ QUERIES = {
         op10_language_id,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": oracles.quality(),
+    "op5_exact_dedup": oracles.EXACT_DEDUP,
+    "op6_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op8_mixing": oracles.mixing(MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED),
+}
