@@ -31,9 +31,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Groups as operator 4's contract defines them: 3-word shingles, prints at most 3 bits apart."""
+    """Groups by operator 4's contract (3-word shingles, 3 bits), then those of 5-word shingles 0.8 similar or more."""
     on_workers(spark)
-    return distinct_groups(docs, shingle=3, radius=3)
+    first = written(distinct_groups(docs, shingle=3, radius=3), "near-dedup-exact")
+    return distinct_groups(first, shingle=5, similarity=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -66,14 +67,13 @@ class Forest:
     """
 
     def __init__(self, prints: np.ndarray, first: np.ndarray):
-        """``first``: index of the first node of each node's shard, its root."""
+        """``prints``: a row of 64-bit parts for each node; ``first``: index of the first node of its shard, its root."""
         self.prints, self.root = prints, first
-        n = len(prints)
+        n, self.step = len(prints), 64 * prints.shape[1] + 1
         at, active = first.copy(), np.flatnonzero(first != np.arange(n))
         keys, children = [], []
         while len(active):
-            d = np.bitwise_count(prints[active] ^ prints[at[active]]).astype(np.int64)
-            key = at[active] * 65 + d
+            key = at[active] * self.step + self.apart(active, at[active])
             order = np.argsort(key, kind="stable")
             key, active = key[order], active[order]
             new = np.r_[True, key[1:] != key[:-1]]
@@ -85,16 +85,20 @@ class Forest:
         order = np.argsort(key)
         self.keys, self.child = key[order], child[order]
 
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hamming distances of nodes."""
+        return np.bitwise_count(self.prints[a] ^ self.prints[b]).sum(1, dtype=np.int64)
+
     def links(self, queries: np.ndarray, radius: int):
         """Arrays (query, node) of nodes within the radius, following only edges within it."""
         query, node = queries, self.root[queries]
         while len(query):
-            d = np.bitwise_count(self.prints[query] ^ self.prints[node]).astype(np.int64)
+            d = self.apart(query, node)
             hit = (d <= radius) & (query != node)
             if hit.any():
                 yield query[hit], node[hit]
-            low = np.searchsorted(self.keys, node * 65 + np.maximum(d - radius, 0))
-            n = np.searchsorted(self.keys, node * 65 + np.minimum(d + radius, 64), "right") - low
+            low = np.searchsorted(self.keys, node * self.step + np.maximum(d - radius, 0))
+            n = np.searchsorted(self.keys, node * self.step + np.minimum(d + radius, self.step - 1), "right") - low
             total = int(n.sum())
             query = np.repeat(query, n)
             node = self.child[np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
@@ -113,18 +117,22 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def _search(radius: int):
-    """Sorted (mask, key, part, print, asks) -> (print, root): a spanning forest of the links in each shard."""
+def _search(radius: int, parts: int):
+    """Sorted (mask, key, part, node, asks, print's parts) -> (node, root): a spanning forest of the links in each shard.
+
+    With one part the node is the print itself.
+    """
 
-    def solve(mask, key, part, prints, asks):
-        n = len(prints)
+    def solve(mask, key, part, node, asks, *columns):
+        n = len(node)
         new = np.r_[True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
         start = np.flatnonzero(new)
         size = np.diff(np.r_[start, n])
         keep = np.repeat(size > 1, size)
-        prints, asks, size = prints[keep], asks[keep], size[size > 1]
-        if not len(prints):
+        node, asks, size = node[keep], asks[keep], size[size > 1]
+        if not len(node):
             return None
+        prints = np.stack([c[keep] for c in columns] or [node], axis=1).view(np.uint64)
         first = np.repeat(np.cumsum(size) - size, size)
         forest, label = Forest(prints, first), np.arange(len(prints))
         queries = np.flatnonzero(asks)
@@ -133,7 +141,7 @@ def _search(radius: int):
             for a, b in forest.links(part_, radius):
                 label = merge(label, a, b)
         linked = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(prints[linked].view(np.int64)), pa.array(prints[label[linked]].view(np.int64))], ["a", "b"]) if len(linked) else None
+        return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], ["a", "b"]) if len(linked) else None
 
     def run(batches):
         held: list = []
@@ -151,7 +159,8 @@ def _search(radius: int):
             return solve(*(c[:end] for c in columns)) if end else None
 
         for batch in batches:
-            held.append([batch.column(k).to_numpy(zero_copy_only=False).astype(t, copy=False) for k, t in enumerate((np.int32, np.int64, np.int32))] + [batch.column(3).to_numpy().view(np.uint64), batch.column(4).to_numpy(zero_copy_only=False)])
+            kinds = (np.int32, np.int64, np.int32, np.int64, bool) + (np.int64,) * (parts if parts > 1 else 0)
+            held.append([batch.column(k).to_numpy(zero_copy_only=False).astype(t, copy=False) for k, t in enumerate(kinds)])
             rows += batch.num_rows
             if rows >= CHUNK_ROWS and (out := flush(False)) is not None:
                 yield out
@@ -161,26 +170,36 @@ def _search(radius: int):
     return run
 
 
-def links(prints: DataFrame, radius: int) -> DataFrame:
-    """Distinct ``print`` values -> pairs (a, b) within the radius that connect all that are linked.
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
 
-    A shard holds the prints that agree on one of ``shard_masks``.  Tasks
-    build the trees of their shards and search each print in its own shards
-    only.  A large shard's tree is handed to several tasks, each of which
-    searches a slice of its prints.
+def _searched(rows: DataFrame, radius: int, parts: int) -> DataFrame:
+    """(mask, key, node and the print's parts) -> pairs (a, b) of nodes that connect all that are linked in a shard.
+
+    Tasks build the trees of their shards and search each print in its own
+    shards only.  A large shard's tree is handed to several tasks, each of
+    which searches a slice of its prints.
     """
-    masks = [m - (1 << 64) if m >> 63 else m for m in shard_masks(radius)]
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("print").bitwiseAND(F.lit(m).cast("long")).alias("key")) for k, m in enumerate(masks)])).alias("s")
-    rows = prints.select("print", each).select("s.mask", "s.key", "print")
+    more = [c for c in rows.columns if c not in ("mask", "key", "node")]
     large = written(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE_SHARD), "large-shards")
     if large.isEmpty():
-        dealt = rows.select("mask", "key", F.lit(0).alias("part"), "print", F.lit(True).alias("asks"))
+        dealt = rows.select("mask", "key", F.lit(0).alias("part"), "node", F.lit(True).alias("asks"), *more)
     else:
-        parts = F.coalesce(F.ceil(F.col("n") / LARGE_SHARD), F.lit(1)).cast("int")
-        cut = rows.join(large, ["mask", "key"], "left").select("mask", "key", "print", parts.alias("parts"))
-        cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        dealt = cut.select("mask", "key", "part", "print", (F.pmod(F.xxhash64("print"), F.col("parts")) == F.col("part")).alias("asks"))
-    return arrow(dealt.repartition("mask", "key", "part").sortWithinPartitions("mask", "key", "part"), _search(radius), "a long, b long")
+        slices = F.coalesce(F.ceil(F.col("n") / LARGE_SHARD), F.lit(1)).cast("int")
+        cut = rows.join(large, ["mask", "key"], "left").withColumn("slices", slices).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        dealt = cut.select("mask", "key", "part", "node", (F.pmod(F.xxhash64("node"), F.col("slices")) == F.col("part")).alias("asks"), *more)
+    by = ("mask", "key", "part")
+    return arrow(dealt.repartition(*by).sortWithinPartitions(*by), _search(radius, parts), "a long, b long")
+
+
+def links(prints: DataFrame, radius: int) -> DataFrame:
+    """Distinct 64-bit ``print`` values -> pairs (a, b) that connect all within the radius.
+
+    A shard holds the prints that agree on one of ``shard_masks``.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("print").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for k, m in enumerate(shard_masks(radius))])).alias("s")
+    return _searched(prints.select(F.col("print").alias("node"), each).select("s.mask", "s.key", "node"), radius, 1)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,20 +218,105 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col:
     """
     kind = dict(docs.dtypes)[id_col]
     printed = written(arrow(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), fingerprints(shingle), f"id {kind}, print long"), "prints")
-    nodes = written(printed.groupBy("print").agg(F.min("id").alias("id")), "nodes")
-    classes = components(links(nodes.select("print"), radius))
-    rooted = nodes.join(classes, nodes["print"] == classes["node"], "left").select("print", "id", F.coalesce("root", "print").alias("root"))
-    rooted = written(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("print").alias("_print"), "component_id")
-    out = printed.join(named, printed["print"] == named["_print"], "left")
+    nodes = written(printed.groupBy("print").agg(F.min("id").alias("id")), "nodes").withColumnRenamed("print", "node")
+    classes = components(links(nodes.select(F.col("node").alias("print")), radius))
+    out = _named(printed.withColumn("node", F.col("print")), nodes, classes)
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def distinct_groups(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataFrame:
+#: A longer print's bits, in parts of 64, and the bits that two prints of a link may differ in.
+WIDE_PARTS, WIDE_RADIUS = 4, 46
+#: Share of the links at the radius of 0.8 similar shingle sets that the shards bring together.
+WIDE_RECALL = 0.96
+
+
+def wide_fingerprints(shingle: int):
+    """(id, text) batches -> (id, p0..p3): prints of WIDE_PARTS * 64 bits over the distinct shingles."""
+
+    def run(batches):
+        hash_ = xxhash.xxh64_intdigest
+        for batch in batches:
+            out = np.zeros((batch.num_rows, WIDE_PARTS), np.int64)
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                if not words:
+                    continue
+                joined = b" ".join(words)
+                n = max(1, len(words) - shingle + 1)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                starts = np.r_[0, ends[:-1] + 1]
+                h = np.unique(np.array([hash_(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)], "<u8"))
+                for part in range(WIDE_PARTS):
+                    if part:
+                        h = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(part)
+                        h ^= h >> np.uint64(32)
+                        h *= np.uint64(0xD6E8FEB86659FD93)
+                        h ^= h >> np.uint64(29)
+                    ones = np.zeros(64, np.int64)
+                    for k in range(0, len(h), 65536):
+                        ones += np.unpackbits(h[k : k + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                    out[row, part] = np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in out.T]], ["id", *[f"p{k}" for k in range(WIDE_PARTS)]])
+
+    return run
+
+
+def wide_masks(n: int, similarity: float) -> list[list[int]]:
+    """Random masks over the parts of a print, enough of them for WIDE_RECALL.
+
+    Sets of shingles with Jaccard ``similarity`` have cosine 2s / (1 + s), and
+    their prints differ in each bit with the angle's share of a half turn.  A
+    mask takes about as many bits as keep a shard of n prints small.
+    """
+    bits = max(16, n.bit_length() - 2)
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    masks = math.ceil(math.log(1 - WIDE_RECALL) / math.log(1 - (1 - differ) ** bits))
+    rng, out = np.random.default_rng(bits), []
+    for _ in range(masks):
+        chosen = rng.choice(64 * WIDE_PARTS, bits, replace=False).tolist()
+        out.append([sum(1 << (c % 64) for c in chosen if c // 64 == k) for k in range(WIDE_PARTS)])
+    return out
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id and component_id, by prints of 256 bits.
+
+    For shingle sets whose Jaccard similarity is ``similarity`` or more: their
+    prints are expected within 39 bits at 0.8, so WIDE_RADIUS takes nearly all
+    of them, while texts that have little in common are about 110 bits apart.
+    Prints meet in shards that agree on one of many random masks; WIDE_RECALL
+    of the pairs at the threshold do, and closer ones nearly all.
+
+    Null texts, ids and repeated rows as in ``near_duplicates``.
+    """
+    kind = dict(docs.dtypes)[id_col]
+    names = [f"p{k}" for k in range(WIDE_PARTS)]
+    printed = arrow(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), wide_fingerprints(shingle), f"id {kind}, " + ", ".join(f"{n} long" for n in names))
+    printed = written(printed.withColumn("node", F.xxhash64(*names)), "wide-prints")
+    nodes = written(printed.groupBy("node").agg(F.min("id").alias("id"), *[F.first(n).alias(n) for n in names]), "wide-nodes")
+    masks = wide_masks(nodes.count(), similarity)
+    keys = [F.struct(F.lit(k).alias("mask"), F.xxhash64(*[F.col(n).bitwiseAND(F.lit(_signed(m)).cast("long")) for n, m in zip(names, mask, strict=True)]).alias("key")) for k, mask in enumerate(masks)]
+    rows = nodes.select(F.explode(F.array(*keys)).alias("s"), "node", *names).select("s.mask", "s.key", "node", *names)
+    classes = components(_searched(rows, WIDE_RADIUS, WIDE_PARTS))
+    return _named(printed, nodes, classes).select(F.col("id").alias(id_col), "component_id")
+
+
+def _named(printed: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, node, ...) rows with the smallest id of their node's class."""
+    c = classes.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    rooted = written(nodes.join(c, nodes["node"] == c["_node"], "left").select("node", "id", F.coalesce("_root", "node").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = rooted.join(least, "root").select(F.col("node").alias("_node"), "component_id")
+    return printed.join(named, printed["node"] == named["_node"], "left")
+
+
+def distinct_groups(docs: DataFrame, shingle: int = 5, radius: int = 3, similarity: float | None = None) -> DataFrame:
     """One document of each group (that with the smallest id; null is smallest), all its columns as they were.
 
-    Rows that repeat id and text are one document and stay together.
+    Groups of ``near_duplicates``, or of ``similar_groups`` with a
+    ``similarity``.  Rows that repeat id and text are one document and stay
+    together.
     """
-    labelled = near_duplicates(keyed(docs), shingle, radius)
+    slim = keyed(docs)
+    labelled = near_duplicates(slim, shingle, radius) if similarity is None else similar_groups(slim, shingle, similarity)
     return without(docs, labelled.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
