@@ -100,7 +100,7 @@ def test_graph_recall_and_shape():
             assert len(filtered_walk(g, x[0].astype(float), 10, 100, allowed)) == min(10, int(allowed.sum()))
 
 
-def test_sharded_search(spark):
+def test_sharded_search(spark, tmp_path):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 16)).astype(np.float32)
     rows = spark.createDataFrame([(i, v.tolist(), "ab"[i % 2]) for i, v in enumerate(x)], "id long, vector array<float>, tag string")
@@ -110,6 +110,9 @@ def test_sharded_search(spark):
     q = rows.where("id < 20").select(F.col("id").alias("query_id"), "vector")
     truth = search.batch_top_k(rows, q, 10)
     assert search.recall(ann.search(index, q, 10, c), truth, 10).agg(F.avg("recall")).first()[0] >= 0.97
+    index.write.parquet(f"{tmp_path}/index")  # kept topology answers like the fresh one
+    kept = spark.read.parquet(f"{tmp_path}/index")
+    assert sorted(map(tuple, ann.search(kept, q, 10, c).collect())) == sorted(map(tuple, ann.search(index, q, 10, c).collect()))
     only = ann.search(index, q, 10, c, allow="a")
     assert only.where("id % 2 = 1").isEmpty() and only.count() == 200
     assert ann.edges(index).where("layer = 0").count() == 400 and ann.layer_stats(index).where("n_dangling > 0").isEmpty()
