@@ -25,9 +25,9 @@ BROADCAST_ROWS = 200_000
 #: metric: (lower fence in IQRs or None, upper fence in IQRs or None, least IQR, never reject below, never reject above)
 #: All metrics are whole numbers: parts per thousand, and hundredths of a character for word_len.
 RULES = {
-    "symbols_pm": (None, 6, 10, None, 80),
-    "dup_lines_pm": (None, 6, 20, None, 300),
-    "repeat_words_pm": (None, 6, 20, None, 300),
+    "symbols_pm": (None, 6, 10, None, 50),
+    "dup_lines_pm": (None, 6, 20, None, 500),
+    "repeat_words_pm": (None, 6, 20, None, 400),
     "word_len": (4, 4, 50, 250, 1200),
 }
 
