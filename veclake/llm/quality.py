@@ -176,14 +176,19 @@ def judged(measured: DataFrame, bounds: DataFrame) -> DataFrame:
     few = bounds.count() <= BROADCAST_ROWS
     b = bounds.select(F.col("lang").alias("_b_lang"), F.col("source").alias("_b_source"), F.struct(*bounds.columns[2:]).alias("_b"))
     out = measured.join(F.broadcast(b) if few else b, measured["lang"].eqNullSafe(b["_b_lang"]) & measured["source"].eqNullSafe(b["_b_source"]), "left")
-    fine = ~base_failed(measured["m"])
-    for name, value in metrics(measured["m"]).items():
-        down, up, *_ = RULES[name]
-        if down is not None:
-            fine &= F.coalesce(value >= F.col(f"_b.{name}_low"), F.lit(True))
-        if up is not None:
-            fine &= F.coalesce(value <= F.col(f"_b.{name}_high"), F.lit(True))
-    return out.withColumn("kept", fine).drop("_b_lang", "_b_source", "_b")
+
+    def verdict(v: Column) -> Column:
+        fine = ~base_failed(v["m"])
+        for name, value in metrics(v["m"]).items():
+            down, up, *_ = RULES[name]
+            if down is not None:
+                fine &= F.coalesce(value >= v["b"][f"{name}_low"], F.lit(True))
+            if up is not None:
+                fine &= F.coalesce(value <= v["b"][f"{name}_high"], F.lit(True))
+        return fine
+
+    # one expression over both sides: split up, its parts would go below the join and measure each text again
+    return out.withColumn("kept", let(F.struct(out["m"].alias("m"), F.col("_b").alias("b")), verdict)).drop("_b_lang", "_b_source", "_b")
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
