@@ -430,18 +430,18 @@ def batch_inserted_count(spark, sf_dir):
 
 @query()
 def hnsw_search_recall(spark, sf_dir):
-    rows, config = records(spark, sf_dir), EngineConfig(index_type="hnsw")
+    rows, config = records(spark, sf_dir), EngineConfig(index_type="hnsw", shard_size=512)
     found = ann.search(ann.build(rows, config), asked(rows), K, config)
     return search.recall(found, search.batch_top_k(rows, asked(rows), K), K)
 
 
 @query()
 def hnsw_layer_stats(spark, sf_dir):
-    return ann.layer_stats(ann.build(records(spark, sf_dir), EngineConfig(index_type="hnsw")))
+    return ann.layer_stats(ann.build(records(spark, sf_dir), EngineConfig(index_type="hnsw", shard_size=512)))
 
 
 @query(f"WITH q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 50 = 0), n AS (SELECT least(10, count(*)) AS n FROM embeddings WHERE label = 3) SELECT query_id, n FROM q, n WHERE n > 0")
 def hnsw_filtered_counts(spark, sf_dir):
-    rows, config = records(spark, sf_dir), EngineConfig(index_type="hnsw")
+    rows, config = records(spark, sf_dir), EngineConfig(index_type="hnsw", shard_size=512)
     index = ann.build(rows, config, meta=F.col("label").cast("string"))
     return ann.search(index, asked(rows), K, config, allow="3").groupBy("query_id").agg(F.count("*").alias("n"))
