@@ -49,6 +49,10 @@ def test_stages(spark, corpus):
     least = {}
     for i, r in zip(ids, linked(prints, lambda a, b: (a ^ b).bit_count() <= 3)):
         least[r] = min(least.get(r, i), i)
+    ids = sorted(least.values())
+    sets = [set(zip(*[kept[1][i].lower().split()[k:] for k in range(5)])) for i in ids]
+    root = linked(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    least = {r: min(i for i, q in zip(ids, root) if q == r) for r in root}
     assert set(kept[2]) == set(least.values()) and len(least) < len(ids)
     tokens = lambda ids: sum(-(-len(kept[2][i].encode()) // 4) for i in ids)
     assert set(kept[3]) <= set(kept[2]) and 0.4 < tokens(kept[3]) / tokens(kept[2]) <= 0.6
