@@ -71,6 +71,17 @@ def test_arrow_plan_equals_expressions(spark):
     assert search.batch_top_k(rows, q.limit(0), 5).count() == 0 and search.batch_top_k(rows.limit(0), q, 5).count() == 0
 
 
+def test_many_stated_queries(spark):
+    """More queries than one block holds: all are answered, each once."""
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(1100, 4)).astype(np.float32))], "id long, vector array<float>").repartition(2)
+    q = rows.select(F.col("id").alias("query_id"), "vector")
+    few = rows.where("id < 20")
+    a, b = ({(r["query_id"], r["rank"]): (r["id"], round(r["score"], 9)) for r in f(few, q, 3).collect()} for f in (search.batch_top_k, search.batch_top_k_native))
+    assert a == b and len(b) == 3300
+    assert search.batch_scores(few, q).count() == 22_000
+
+
 def test_neighbour_heuristic():
     x = np.array([[0, 0], [1, 0], [1.1, 0], [0, 2]])
     g = ann.Graph(x, "euclidean", config.EngineConfig(metric="euclidean"))

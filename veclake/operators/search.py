@@ -148,24 +148,30 @@ def batch_top_k(records: DataFrame, queries: DataFrame, k: int, metric: str = "c
     return ranked(out, k)
 
 
-#: Queries that travel inside a plan at most, and their bytes.
+#: Queries of one block that travels inside a plan, and their bytes.
 STATED_QUERIES, STATED_BYTES = 1000, 8 << 20
 
 
 def batch_scores(records: DataFrame, queries: DataFrame, metric: str = "cosine", quantization: str = "none", where: Column | None = None, id_col: str = "id", vector_col: str = "vector", query_col: str = "query_id", query_vector: str = "vector") -> DataFrame:
-    """(query_id, id, score) of every record for each of a stated, small query set, in expressions alone.
+    """(query_id, id, score) of every record for each query, in expressions alone.
 
-    The queries are broadcast as one array row, whose size is checked; larger
-    sets go through ``batch_top_k``.
+    The queries are broadcast in blocks of a bounded size, each as one array
+    row; the scored parts are joined by union, so a set of any size is whole.
     """
     slim = queries.select(F.col(query_col).alias("query_id"), V.encode(F.col(query_vector), quantization, metric).alias("v"))
     size = slim.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("values")).first()
-    if size["n"] > STATED_QUERIES or 8 * size["values"] > STATED_BYTES:
-        raise ValueError(f"{size['n']} queries: use batch_top_k")
-    listed = slim.agg(F.collect_list(F.struct("query_id", "v")).alias("qs")).withColumn("one", F.lit(0))
+    blocks = 1
+    if size["n"] > STATED_QUERIES or 8 * size["values"] > STATED_BYTES:  # dealt by hash: half full on average
+        blocks = max(-(-2 * size["n"] // STATED_QUERIES), -(-16 * size["values"] // STATED_BYTES))
     rows = (records if where is None else records.where(where)).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), F.lit(0).alias("one"))
-    every = rows.join(F.broadcast(listed), "one").select("id", "vector", F.explode("qs").alias("q"))
-    return every.select("q.query_id", "id", score(F.col("vector"), F.col("q.v"), metric, quantization).alias("score"))
+    out = None
+    for b in range(blocks):
+        block = slim if blocks == 1 else slim.where(F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks)) == b)
+        listed = block.agg(F.collect_list(F.struct("query_id", "v")).alias("qs")).withColumn("one", F.lit(0))
+        every = rows.join(F.broadcast(listed), "one").select("id", "vector", F.explode("qs").alias("q"))
+        part = every.select("q.query_id", "id", score(F.col("vector"), F.col("q.v"), metric, quantization).alias("score"))
+        out = part if out is None else out.union(part)
+    return out
 
 
 def batch_top_k_native(records: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", quantization: str = "none", **more) -> DataFrame:
