@@ -291,6 +291,42 @@ def test_links_find_all(spark, radius, monkeypatch):
         assert all(got.get(v, v) == min(own) for v in own)
 
 
+def overlapping(rng, first, pairs, n, similarity):
+    """(id, text) rows, two for each pair, whose sets of single words have the similarity or a little more."""
+    out, drop = [], int(n * (1 - similarity) / (1 + similarity))
+    for k in range(first // 2, first // 2 + pairs):
+        w = [f"p{k}w{x}" for x in rng.permutation(n + drop)]
+        out += [(2 * k, " ".join(w[:n])), (2 * k + 1, " ".join(w[drop : n + drop]))]
+    return out
+
+
+def similar_words(rows):
+    """Least id of each row's group by sets of words that are 0.8 similar."""
+    sets = [set(t.split()) for _, t in rows]
+    root = linked(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    return {i: min(j for (j, _), q in zip(rows, root) if q == r) for (i, _), r in zip(rows, root)}
+
+
+@pytest.mark.parametrize("slices", [False, True])
+def test_similar_groups_keep_less_similar_texts(spark, slices, monkeypatch):
+    """Pairs under the similarity stay apart, and so do the ends of a chain of them; a large class is compared in slices."""
+    from veclake.llm import simhash
+
+    rng = np.random.default_rng(11)
+    rows = overlapping(rng, 0, 12, 300, 0.72) + overlapping(rng, 100, 12, 300, 0.78) + overlapping(rng, 200, 6, 300, 0.9)
+    w = [f"c{x}" for x in rng.permutation(900)]
+    rows += [(300 + k, " ".join(w[45 * k : 45 * k + 300])) for k in range(8)]  # neighbours 0.74 similar
+    base = [f"h{x}" for x in rng.permutation(200)]
+    rows += [(400 + k, " ".join([*base[: 5 * k], f"new{k}", *base[5 * k + 1 :]])) for k in range(30)]  # one group of near copies
+    if slices:
+        monkeypatch.setattr(simhash, "SHINGLES", 2000)
+        monkeypatch.setattr(simhash, "LARGE_SHARD", 8)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(map(tuple, simhash.similar_groups(df, 1, 0.8).collect()))
+    want = similar_words(rows)
+    assert got == want and len(set(got.values())) == 24 + 24 + 6 + 8 + 1
+
+
 def test_components(spark):
     from veclake.llm.components import components
 

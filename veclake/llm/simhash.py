@@ -226,27 +226,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col:
 
 #: A longer print's bits, in parts of 64, and the bits that two prints of a link may differ in.
 WIDE_PARTS, WIDE_RADIUS = 4, 46
+#: Shingles of a slice of candidates that are compared at once.
+SHINGLES = 1 << 21
 #: Share of the links at the radius of 0.8 similar shingle sets that the shards bring together.
 WIDE_RECALL = 0.96
 
 
+def shingle_set(text, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; none for a text without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, "<u8")
+    hash_, joined = xxhash.xxh64_intdigest, b" ".join(words)
+    n = max(1, len(words) - shingle + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    return np.unique(np.array([hash_(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)], "<u8"))
+
+
+def _set_node(h: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(h.tobytes(), 42))
+
+
 def wide_fingerprints(shingle: int):
-    """(id, text) batches -> (id, p0..p3): prints of WIDE_PARTS * 64 bits over the distinct shingles."""
+    """(id, text) batches -> (id, node, size, p0..p3): hash and size of the set of shingles, and its print of WIDE_PARTS * 64 bits."""
 
     def run(batches):
-        hash_ = xxhash.xxh64_intdigest
         for batch in batches:
             out = np.zeros((batch.num_rows, WIDE_PARTS), np.int64)
+            nodes, sizes = [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                if not words:
-                    continue
-                joined = b" ".join(words)
-                n = max(1, len(words) - shingle + 1)
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-                starts = np.r_[0, ends[:-1] + 1]
-                h = np.unique(np.array([hash_(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)], "<u8"))
-                for part in range(WIDE_PARTS):
+                h = shingle_set(text, shingle)
+                nodes.append(_set_node(h))
+                sizes.append(len(h))
+                for part in range(WIDE_PARTS if len(h) else 0):
                     if part:
                         h = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(part)
                         h ^= h >> np.uint64(32)
@@ -256,7 +269,7 @@ def wide_fingerprints(shingle: int):
                     for k in range(0, len(h), 65536):
                         ones += np.unpackbits(h[k : k + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                     out[row, part] = np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in out.T]], ["id", *[f"p{k}" for k in range(WIDE_PARTS)]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(c) for c in out.T]], ["id", "node", "size", *[f"p{k}" for k in range(WIDE_PARTS)]])
 
     return run
 
@@ -278,27 +291,136 @@ def wide_masks(n: int, similarity: float) -> list[list[int]]:
     return out
 
 
+def similar_pairs(prints: np.ndarray, sizes: np.ndarray, flat: np.ndarray, similarity: float):
+    """Pairs of sets (their elements one after the other in ``flat``) that connect all within WIDE_RADIUS whose Jaccard similarity reaches the least one."""
+    _, flat = np.unique(flat, return_inverse=True)
+    at = np.cumsum(sizes) - sizes
+    label, mark, left, right = np.arange(len(sizes)), np.zeros(len(flat), bool), [], []
+    for i in range(len(sizes) - 1):
+        j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        j = j[np.minimum(sizes[j], sizes[i]) >= similarity * np.maximum(sizes[j], sizes[i]) - 1e-9]
+        j = j[np.bitwise_count(prints[j] ^ prints[i]).sum(1, dtype=np.int64) <= WIDE_RADIUS]
+        if not len(j) or not sizes[i]:
+            continue
+        own, n = flat[at[i] : at[i] + sizes[i]], sizes[j]
+        first = np.cumsum(n) - n
+        mark[own] = True
+        both = np.add.reduceat(mark[flat[np.arange(n.sum()) + np.repeat(at[j] - first, n)]].astype(np.int64), first)
+        mark[own] = False
+        j = j[both >= similarity * (sizes[i] + n - both) - 1e-9]
+        if len(j):
+            left.append(np.full(len(j), i))
+            right.append(j)
+            label[np.isin(label, label[j])] = label[i]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def _verified(similarity: float):
+    """Sorted (class, part, node, p0..p3, shingles) -> (a, b): links of a class that its sets of shingles bear out."""
+
+    def solve(held):
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        class_, part, node, sizes, flat = *columns[:3], columns[-2], columns[-1]
+        prints = np.stack(columns[3:-2], axis=1).view(np.uint64)
+        edge = np.r_[np.flatnonzero(np.r_[True, (class_[1:] != class_[:-1]) | (part[1:] != part[:-1])]), len(node)]
+        at = np.r_[0, np.cumsum(sizes)]
+        a, b = [], []
+        for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if y - x > 1:
+                i, j = similar_pairs(prints[x:y], sizes[x:y], flat[at[x] : at[y]], similarity)
+                a.append(node[x + i])
+                b.append(node[x + j])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b)], ["a", "b"])
+
+    def rows_of(batch):
+        fixed = [c.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in batch.columns[:-1]]
+        lists = batch.columns[-1]
+        return [*fixed, lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)]
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            class_, part = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
+            last = int(np.argmax((class_ == class_[-1]) & (part == part[-1]))) if len(class_) else 0
+            if held and n >= SHINGLES:  # what is held ends where another class starts
+                if len(class_) and (held[-1][0][-1], held[-1][1][-1]) != (class_[0], part[0]):
+                    yield solve(held)
+                    held, n = [], 0
+                elif last:
+                    yield solve([*held, rows_of(batch.slice(0, last))])
+                    held, n, batch = [], 0, batch.slice(last)
+            if batch.num_rows:
+                held.append(rows_of(batch))
+                n += len(held[-1][-1])
+        if held:
+            yield solve(held)
+
+    return run
+
+
+def _borne_out(texts: DataFrame, sets: DataFrame, classes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) between sets of shingles in one candidate class, by their exact similarity.
+
+    ``sets``: one row (node, id, size, print, p0..p3) a set; ``classes``: (node, root)
+    of prints.  Only texts in a class of two sets or more are read again.  A
+    class of more than SHINGLES is cut into slices that meet in pairs.
+    """
+    names = [f"p{k}" for k in range(WIDE_PARTS)]
+    c = classes.select(F.col("node").alias("_print"), F.col("root").alias("_root"))
+    classed = written(sets.join(c, sets["print"] == c["_print"], "left").select(F.coalesce("_root", "print").alias("class"), "node", "id", "size", *names), "candidates")
+    large = F.greatest(F.ceil(F.sum("size") / SHINGLES), F.ceil(F.count("*") / LARGE_SHARD)).cast("int")
+    many = classed.groupBy("class").agg(F.count("*").alias("n"), large.alias("slices")).where("n > 1").select(F.col("class").alias("_class"), "slices")
+    asked = classed.join(many, classed["class"] == many["_class"]).select(F.col("id").alias("_id"), "class", "node", "slices", *names)
+    again = texts.join(asked, texts["id"].eqNullSafe(asked["_id"])).select("text", "class", "node", "slices", *names)
+
+    def sets_of(batches):
+        for batch in batches:
+            found = [shingle_set(t, shingle) for t in batch.column(0).to_pylist()]
+            # an id may stand at other texts too
+            same = np.flatnonzero([_set_node(h) == n for h, n in zip(found, batch.column(2).to_pylist(), strict=True)])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(found[k]) for k in same]]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *[found[k] for k in same]]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*[x.take(pa.array(same)) for x in batch.columns[1:]], lists], [*batch.schema.names[1:], "shingles"])
+
+    rows = arrow(again, sets_of, "class long, node long, slices int, " + ", ".join(f"{n} long" for n in names) + ", shingles array<long>")
+    own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: F.least(own, k) * F.col("slices") + F.greatest(own, k))
+    dealt = rows.select("class", F.explode(parts).alias("part"), "node", *names, "shingles")
+    return arrow(dealt.repartition("class", "part").sortWithinPartitions("class", "part"), _verified(similarity), "a long, b long")
+
+
+def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((id, node, ...) rows, one row a node, links between nodes): nodes are distinct sets of shingles."""
+    kind = dict(docs.dtypes)[id_col]
+    names = [f"p{k}" for k in range(WIDE_PARTS)]
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    printed = arrow(texts, wide_fingerprints(shingle), f"id {kind}, node long, size long, " + ", ".join(f"{n} long" for n in names))
+    printed = written(printed.withColumn("print", F.xxhash64(*names)), "wide-prints")
+    sets = written(printed.groupBy("node").agg(F.min("id").alias("id"), *[F.first(n).alias(n) for n in ("size", "print", *names)]), "wide-nodes")
+    prints = written(sets.groupBy("print").agg(*[F.first(n).alias(n) for n in names]), "wide-distinct").withColumnRenamed("print", "node")
+    masks = wide_masks(prints.count(), similarity)
+    keys = [F.struct(F.lit(k).alias("mask"), F.xxhash64(*[F.col(n).bitwiseAND(F.lit(_signed(m)).cast("long")) for n, m in zip(names, mask, strict=True)]).alias("key")) for k, mask in enumerate(masks)]
+    rows = prints.select(F.explode(F.array(*keys)).alias("s"), "node", *names).select("s.mask", "s.key", "node", *names)
+    candidates = components(_searched(rows, WIDE_RADIUS, WIDE_PARTS))
+    return printed, sets, _borne_out(texts, sets, candidates, shingle, similarity)
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id and component_id, by prints of 256 bits.
+    """One row per document: id and component_id, by prints of 256 bits and exact similarity.
 
     For shingle sets whose Jaccard similarity is ``similarity`` or more: their
     prints are expected within 39 bits at 0.8, so WIDE_RADIUS takes nearly all
     of them, while texts that have little in common are about 110 bits apart.
     Prints meet in shards that agree on one of many random masks; WIDE_RECALL
-    of the pairs at the threshold do, and closer ones nearly all.
+    of the pairs at the threshold do, and closer ones nearly all.  Prints only
+    make candidates: a link is kept if the sets of shingles themselves are
+    similar enough, so documents are never joined by less than that.
 
-    Null texts, ids and repeated rows as in ``near_duplicates``.
+    Null texts, ids and repeated rows as in ``near_duplicates``, but texts
+    without words are alike only among themselves.
     """
-    kind = dict(docs.dtypes)[id_col]
-    names = [f"p{k}" for k in range(WIDE_PARTS)]
-    printed = arrow(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), wide_fingerprints(shingle), f"id {kind}, " + ", ".join(f"{n} long" for n in names))
-    printed = written(printed.withColumn("node", F.xxhash64(*names)), "wide-prints")
-    nodes = written(printed.groupBy("node").agg(F.min("id").alias("id"), *[F.first(n).alias(n) for n in names]), "wide-nodes")
-    masks = wide_masks(nodes.count(), similarity)
-    keys = [F.struct(F.lit(k).alias("mask"), F.xxhash64(*[F.col(n).bitwiseAND(F.lit(_signed(m)).cast("long")) for n, m in zip(names, mask, strict=True)]).alias("key")) for k, mask in enumerate(masks)]
-    rows = nodes.select(F.explode(F.array(*keys)).alias("s"), "node", *names).select("s.mask", "s.key", "node", *names)
-    classes = components(_searched(rows, WIDE_RADIUS, WIDE_PARTS))
-    return _named(printed, nodes, classes).select(F.col("id").alias(id_col), "component_id")
+    printed, sets, pairs = _similar(docs, shingle, similarity, id_col, text_col)
+    return _named(printed, sets, components(pairs)).select(F.col("id").alias(id_col), "component_id")
 
 
 def _named(printed: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
