@@ -327,6 +327,21 @@ def test_similar_groups_keep_less_similar_texts(spark, slices, monkeypatch):
     assert got == want and len(set(got.values())) == 24 + 24 + 6 + 8 + 1
 
 
+def test_similar_groups_find_pairs_at_the_threshold(spark):
+    """Planted pairs of 0.80 to 0.85: as many are found as the masks are sized for."""
+    from veclake.llm import simhash
+
+    rng = np.random.default_rng(12)
+    rows = overlapping(rng, 0, 150, 120, 0.801) + overlapping(rng, 300, 50, 120, 0.82) + overlapping(rng, 400, 50, 120, 0.85)
+    got = dict(map(tuple, simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 1, 0.8).collect()))
+    want = similar_words(rows)
+    assert len(set(want.values())) == 250 and all(got[i] in (i, want[i]) for i in want)
+    missed = sum(got[i] != want[i] for i in want)
+    assert missed <= 6  # 250 pairs, 1 in 100 expected at the threshold
+    masks = len(simhash.wide_masks(0.8))
+    assert simhash.expected_recall(masks, 0.8) >= 0.99 and simhash.expected_recall(masks, 0.85) >= 0.998
+
+
 def test_components(spark):
     from veclake.llm.components import components
 

@@ -224,12 +224,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col:
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: A longer print's bits, in parts of 64, and the bits that two prints of a link may differ in.
-WIDE_PARTS, WIDE_RADIUS = 4, 46
+#: A longer print's bits, in parts of 64, and the bits that two prints of a candidate pair may differ in.
+WIDE_PARTS, WIDE_RADIUS = 4, 60
+#: Bits of a mask, whatever the number of prints: the pairs that meet do not depend on the corpus.
+MASK_BITS = 16
 #: Shingles of a slice of candidates that are compared at once.
 SHINGLES = 1 << 21
-#: Share of the links at the radius of 0.8 similar shingle sets that the shards bring together.
-WIDE_RECALL = 0.96
+#: Share of the pairs right at the similarity that become candidates, over all distances of their prints.
+WIDE_RECALL = 0.99
 
 
 def shingle_set(text, shingle: int) -> np.ndarray:
@@ -274,19 +276,26 @@ def wide_fingerprints(shingle: int):
     return run
 
 
-def wide_masks(n: int, similarity: float) -> list[list[int]]:
-    """Random masks over the parts of a print, enough of them for WIDE_RECALL.
+def expected_recall(masks: int, similarity: float) -> float:
+    """Share of pairs of sets with Jaccard ``similarity`` that are within WIDE_RADIUS and agree on one of so many masks.
 
-    Sets of shingles with Jaccard ``similarity`` have cosine 2s / (1 + s), and
-    their prints differ in each bit with the angle's share of a half turn.  A
-    mask takes about as many bits as keep a shard of n prints small.
+    Such sets have cosine 2s / (1 + s), and their prints differ in each bit
+    with the angle's share of a half turn, so their distance is binomial.
     """
-    bits = max(16, n.bit_length() - 2)
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    masks = math.ceil(math.log(1 - WIDE_RECALL) / math.log(1 - (1 - differ) ** bits))
-    rng, out = np.random.default_rng(bits), []
+    n, differ = 64 * WIDE_PARTS, math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return sum(math.comb(n, d) * differ**d * (1 - differ) ** (n - d) * (1 - (1 - math.comb(n - d, MASK_BITS) / math.comb(n, MASK_BITS)) ** masks) for d in range(WIDE_RADIUS + 1))
+
+
+def wide_masks(similarity: float) -> list[list[int]]:
+    """Random masks of MASK_BITS over the parts of a print, the least number that gives WIDE_RECALL."""
+    masks = 1
+    while expected_recall(masks, similarity) < WIDE_RECALL:
+        masks += 1
+        if masks > 1000:
+            raise ValueError(f"prints of {64 * WIDE_PARTS} bits do not find pairs of similarity {similarity}")
+    rng, out = np.random.default_rng(MASK_BITS), []
     for _ in range(masks):
-        chosen = rng.choice(64 * WIDE_PARTS, bits, replace=False).tolist()
+        chosen = rng.choice(64 * WIDE_PARTS, MASK_BITS, replace=False).tolist()
         out.append([sum(1 << (c % 64) for c in chosen if c // 64 == k) for k in range(WIDE_PARTS)])
     return out
 
@@ -398,7 +407,7 @@ def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text
     printed = written(printed.withColumn("print", F.xxhash64(*names)), "wide-prints")
     sets = written(printed.groupBy("node").agg(F.min("id").alias("id"), *[F.first(n).alias(n) for n in ("size", "print", *names)]), "wide-nodes")
     prints = written(sets.groupBy("print").agg(*[F.first(n).alias(n) for n in names]), "wide-distinct").withColumnRenamed("print", "node")
-    masks = wide_masks(prints.count(), similarity)
+    masks = wide_masks(similarity)
     keys = [F.struct(F.lit(k).alias("mask"), F.xxhash64(*[F.col(n).bitwiseAND(F.lit(_signed(m)).cast("long")) for n, m in zip(names, mask, strict=True)]).alias("key")) for k, mask in enumerate(masks)]
     rows = prints.select(F.explode(F.array(*keys)).alias("s"), "node", *names).select("s.mask", "s.key", "node", *names)
     candidates = components(_searched(rows, WIDE_RADIUS, WIDE_PARTS))
@@ -409,11 +418,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     """One row per document: id and component_id, by prints of 256 bits and exact similarity.
 
     For shingle sets whose Jaccard similarity is ``similarity`` or more: their
-    prints are expected within 39 bits at 0.8, so WIDE_RADIUS takes nearly all
-    of them, while texts that have little in common are about 110 bits apart.
-    Prints meet in shards that agree on one of many random masks; WIDE_RECALL
-    of the pairs at the threshold do, and closer ones nearly all.  Prints only
-    make candidates: a link is kept if the sets of shingles themselves are
+    prints are 39 bits apart on average at 0.8, with a deviation of 6, so
+    WIDE_RADIUS takes all but a few in ten thousand, while texts that have
+    little in common are about 110 bits apart.  Prints meet in shards that
+    agree on one of many random masks, the same ones for any corpus;
+    WIDE_RECALL of the pairs at the threshold are expected to meet within the
+    radius, and more of the closer ones.  Prints only make candidates: a link is kept if the sets of shingles themselves are
     similar enough, so documents are never joined by less than that.
 
     Null texts, ids and repeated rows as in ``near_duplicates``, but texts
