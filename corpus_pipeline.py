@@ -14,7 +14,7 @@ from veclake.llm.mixing import mixed_documents
 from veclake.llm.packing import pack
 from veclake.llm.quality import quality_filter
 from veclake.llm.registry import BYTE_BPE, MIX_SEED, MIX_WEIGHTS, mix_domain
-from veclake.llm.simhash import distinct_groups
+from veclake.llm.simhash import distinct_by_both
 from veclake.session import on_workers
 
 #: Part of the deduplicated tokens that the mixture takes.  One epoch: a second reading would bring copies back.
@@ -31,10 +31,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Groups by operator 4's contract (3-word shingles, 3 bits), then those of 5-word shingles 0.8 similar or more."""
+    """Groups by the links of operator 4's contract (3-word shingles, 3 bits) and of 5-word shingles 0.8 similar or more together."""
     on_workers(spark)
-    first = written(distinct_groups(docs, shingle=3, radius=3), "near-dedup-exact")
-    return distinct_groups(first, shingle=5, similarity=0.8)
+    return distinct_by_both(docs, shingle=3, radius=3, wide_shingle=5, similarity=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

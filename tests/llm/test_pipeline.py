@@ -62,6 +62,21 @@ def test_stages(spark, corpus):
     assert {(r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in whole if r["start"] == 0 and r["length"] == r["doc_tokens"]} and {r["doc_id"] for r in whole} == set(kept[3])
 
 
+def test_both_searches_make_groups_together(spark):
+    """2 is a near copy of 1 by its print, and 3 is similar to 2 but not quite to 1: one document is left."""
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(9)
+    w = [f"v{x}" for x in rng.permutation(4000)]
+    rows = [(i, " ".join(w[at : at + 2000]), "en", "s", 0) for i, at in ((1, 0), (2, 1), (3, 222))] + [(4, " ".join(w[3000:3300]), "en", "s", 0)]
+    sets = [set(zip(*[r[1].split()[k:] for k in range(5)])) for r in rows]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    assert alike(sets[1], sets[2]) > 0.8 > alike(sets[0], sets[2])
+    assert (fingerprint(rows[0][1], 3) ^ fingerprint(rows[1][1], 3)).bit_count() <= 3 < (fingerprint(rows[1][1], 3) ^ fingerprint(rows[2][1], 3)).bit_count()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in p.near_dedup(spark, docs, "").collect()} == {1, 4}
+
+
 def test_registered():
     import __spark_entry__ as e
 

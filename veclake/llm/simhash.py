@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow, keyed, without, written
@@ -226,6 +226,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col:
 
 #: A longer print's bits, in parts of 64, and the bits that two prints of a candidate pair may differ in.
 WIDE_PARTS, WIDE_RADIUS = 4, 60
+WIDE_SCHEMA = "node long, size long, " + ", ".join(f"p{k} long" for k in range(WIDE_PARTS))
 #: Bits of a mask, whatever the number of prints: the pairs that meet do not depend on the corpus.
 MASK_BITS = 16
 #: Shingles of a slice of candidates that are compared at once.
@@ -398,20 +399,17 @@ def _borne_out(texts: DataFrame, sets: DataFrame, classes: DataFrame, shingle: i
     return arrow(dealt.repartition("class", "part").sortWithinPartitions("class", "part"), _verified(similarity), "a long, b long")
 
 
-def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """((id, node, ...) rows, one row a node, links between nodes): nodes are distinct sets of shingles."""
-    kind = dict(docs.dtypes)[id_col]
+def _similar(texts: DataFrame, printed: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``wide_fingerprints`` -> (one row a node, links between nodes): nodes are distinct sets of shingles."""
     names = [f"p{k}" for k in range(WIDE_PARTS)]
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    printed = arrow(texts, wide_fingerprints(shingle), f"id {kind}, node long, size long, " + ", ".join(f"{n} long" for n in names))
-    printed = written(printed.withColumn("print", F.xxhash64(*names)), "wide-prints")
-    sets = written(printed.groupBy("node").agg(F.min("id").alias("id"), *[F.first(n).alias(n) for n in ("size", "print", *names)]), "wide-nodes")
+    sets = printed.groupBy("node").agg(F.min("id").alias("id"), *[F.first(n).alias(n) for n in ("size", *names)])
+    sets = written(sets.withColumn("print", F.xxhash64(*names)), "wide-nodes")
     prints = written(sets.groupBy("print").agg(*[F.first(n).alias(n) for n in names]), "wide-distinct").withColumnRenamed("print", "node")
     masks = wide_masks(similarity)
     keys = [F.struct(F.lit(k).alias("mask"), F.xxhash64(*[F.col(n).bitwiseAND(F.lit(_signed(m)).cast("long")) for n, m in zip(names, mask, strict=True)]).alias("key")) for k, mask in enumerate(masks)]
     rows = prints.select(F.explode(F.array(*keys)).alias("s"), "node", *names).select("s.mask", "s.key", "node", *names)
     candidates = components(_searched(rows, WIDE_RADIUS, WIDE_PARTS))
-    return printed, sets, _borne_out(texts, sets, candidates, shingle, similarity)
+    return sets, _borne_out(texts, sets, candidates, shingle, similarity)
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -429,7 +427,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
     Null texts, ids and repeated rows as in ``near_duplicates``, but texts
     without words are alike only among themselves.
     """
-    printed, sets, pairs = _similar(docs, shingle, similarity, id_col, text_col)
+    kind = dict(docs.dtypes)[id_col]
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    printed = written(arrow(texts, wide_fingerprints(shingle), f"id {kind}, {WIDE_SCHEMA}"), "wide-prints")
+    sets, pairs = _similar(texts, printed, shingle, similarity)
     return _named(printed, sets, components(pairs)).select(F.col("id").alias(id_col), "component_id")
 
 
@@ -452,3 +453,30 @@ def distinct_groups(docs: DataFrame, shingle: int = 5, radius: int = 3, similari
     slim = keyed(docs)
     labelled = near_duplicates(slim, shingle, radius) if similarity is None else similar_groups(slim, shingle, similarity)
     return without(docs, labelled.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def distinct_by_both(docs: DataFrame, shingle: int, radius: int, wide_shingle: int, similarity: float) -> DataFrame:
+    """As ``distinct_groups``, for the groups that the links of ``near_duplicates`` and ``similar_groups`` make together.
+
+    Both searches read all documents; a document joins its 64-bit print with
+    its set of shingles.
+    """
+    slim = keyed(docs)
+    texts = slim.select(F.col("doc_id").alias("id"), "text")
+
+    def both(batches):
+        narrow, wide = fingerprints(shingle), wide_fingerprints(wide_shingle)
+        for batch in batches:
+            (a,), (b,) = narrow([batch]), wide([batch])
+            yield pa.RecordBatch.from_arrays([*b.columns, a.column(1)], [*b.schema.names, "narrow"])
+
+    printed = written(arrow(texts, both, f"id {dict(texts.dtypes)['id']}, {WIDE_SCHEMA}, narrow long"), "both-prints")
+    near = links(written(printed.select(F.col("narrow").alias("print")).distinct(), "nodes"), radius)
+    sets, pairs = _similar(texts, printed, wide_shingle, similarity)
+
+    def end(column: str) -> Column:
+        return F.xxhash64(F.lit("print"), F.col(column))
+
+    edges = near.select(end("a").alias("a"), end("b").alias("b")).union(pairs).union(printed.select("node", end("narrow")).distinct())
+    labelled = _named(printed, sets, components(edges)).select(F.col("id").alias("doc_id"), "component_id")
+    return without(docs, labelled.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
