@@ -502,6 +502,20 @@ def test_secret_scan(spark, docs, none):
     assert len(rows) == len(texts) + 2 + len(ROWS) and secret_scan(none).count() == 0
 
 
+def test_secret_scan_links_long_parts(spark):
+    """The gap between two parts counts, not their lengths; a secret and an endpoint link without an identifier."""
+    from veclake.llm.secret_scan import SCOPE, secret_scan
+
+    long = "Ab1" * 100
+    texts = {
+        f"auth={long} user=bob": {"linked_id", "linked_secret"}, f"user=bob auth={long}": {"linked_id", "linked_secret"}, f"http://h.example.com/{long * 3} pwd=hunter": {"linked_endpoint", "linked_secret"},
+        "pwd=hunter postgres://db/x": {"linked_endpoint", "linked_secret"}, f"user=bob auth={long * 3} http://h.example.com/": {"linked_id", "linked_endpoint", "linked_secret"},
+        "pwd=hunter" + " " * SCOPE + "user=bob": {"linked_id", "linked_secret"}, "pwd=hunter" + " " * (SCOPE + 1) + "user=bob": set(), "user=bob http://h.example.com/": set(),
+    }
+    rows = secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: {s.split(":")[0] for s in r["spans"].split(",")} - {""} for r in rows} == dict(enumerate(texts.values()))
+
+
 def test_language_id(spark, docs, none):
     from veclake.llm.language_id import by_id as held, language_id
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import let, written
 
-#: Parts that belong together start at most so many code points apart.
+#: Parts that belong together have at most so many code points between them.
 SCOPE = 200
 
 #: kind: (quick test, pattern, group to measure, least length of the group)
@@ -90,10 +90,12 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def linked(scan: DataFrame) -> DataFrame:
     """(key, spans): the weak parts whose complement stands within SCOPE of them.
 
-    An identifier needs a secret, a secret an identifier, an endpoint a secret
-    that is linked itself.  Strong access keys count as identifiers and other
+    An identifier needs a secret, a secret an identifier or an endpoint, and
+    an endpoint a secret.  Strong access keys count as identifiers and other
     base spans as secrets.  Parts meet in an interval join on the text and on
-    cells of SCOPE code points, as semi-joins: no pairs are made.
+    cells of SCOPE code points, as semi-joins: no pairs are made.  The gap
+    between two parts counts, so a part lies in all cells that it covers, and
+    its partner in those and the next to them.
     """
     rank = {k: i for i, k in enumerate(KINDS)}
     part = F.explode(F.concat("b0", "b1", "b2", "weak")).alias("s")
@@ -102,17 +104,17 @@ def linked(scan: DataFrame) -> DataFrame:
     secrets = parts.where(F.col("rank").isin(rank["assign"], rank["hex"], rank["linked_secret"]))
     ends = parts.where(F.col("rank") == rank["linked_endpoint"])
 
+    def cells(more: int) -> Column:
+        return F.explode(F.sequence(F.floor(F.col("start") / SCOPE) - more, F.floor(F.col("end") / SCOPE) + more)).alias("_cell")
+
     def near(left: DataFrame, right: DataFrame) -> DataFrame:
-        cells = F.explode(F.array(*[F.floor(F.col("start") / SCOPE) + k for k in (-1, 0, 1)]))
-        other = right.select(F.col("key").alias("_key"), F.col("start").alias("_start"), F.col("end").alias("_end"), cells.alias("_cell")).distinct()
-        apart = F.abs(left["start"] - other["_start"]) <= SCOPE
-        other_part = (left["start"] >= other["_end"]) | (left["end"] <= other["_start"])
-        return left.join(other, (left["key"] == other["_key"]) & (F.floor(left["start"] / SCOPE) == other["_cell"]) & apart & other_part, "left_semi")
-
-    paired_secrets = written(near(secrets, ids), "paired-secrets")
-    paired_ids = near(ids, secrets)
-    paired_ends = near(ends, paired_secrets)
-    every = reduce(DataFrame.unionByName, (paired_secrets, paired_ids, paired_ends)).where(F.col("rank") >= len(BASE))
+        mine = left.select("key", "start", "rank", "end", cells(0))
+        other = right.select(F.col("key").alias("_key"), F.col("start").alias("_start"), F.col("end").alias("_end"), cells(1).alias("_other")).distinct()
+        gap = F.greatest(mine["start"] - other["_end"], other["_start"] - mine["end"])
+        close = (gap >= 0) & (gap <= SCOPE)
+        return mine.join(other, (mine["key"] == other["_key"]) & (mine["_cell"] == other["_other"]) & close, "left_semi").select("key", "start", "rank", "end")
+
+    every = reduce(DataFrame.unionByName, (near(secrets, ids), near(secrets, ends), near(ids, secrets), near(ends, secrets))).where(F.col("rank") >= len(BASE))
     return every.groupBy("key").agg(F.collect_set(F.struct("start", "rank", "end")).alias("spans"))
 
 
