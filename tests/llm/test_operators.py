@@ -419,6 +419,32 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in url_filter(pages.where("url like '%.org/%'"), RULES).collect()} == {"allow"}  # nothing to learn from
 
 
+def test_url_model_counts_real_contexts(spark):
+    """Every labelled URL counts, and a context only its own: scores equal those of plain dictionaries, whatever else is there."""
+    from veclake.llm import url_filter as u
+
+    rng = np.random.default_rng(3)
+    urls = [(bool(k % 2), "http://" + "".join(map(chr, rng.integers(33, 127, 60)))) for k in range(3000)]
+    model, _ = u.fit(spark.createDataFrame(urls, "accepted boolean, url string").repartition(3))
+    pairs, contexts = Counter(), Counter()
+    for a, url in urls:
+        data = bytes(u.ORDER) + url.encode() + b"\0"
+        for at in range(u.ORDER, len(data)):
+            for k in range(u.ORDER + 1):
+                pairs[a, data[at - k : at + 1]] += 1
+                contexts[a, k, data[at - k : at]] += 1
+    asked = [urls[0][1], urls[1][1], "http://none", ""]
+    for url, got in zip(asked, u.ratio(model, asked).tolist(), strict=True):
+        data, total = bytes(u.ORDER) + url.encode() + b"\0", [0.0, 0.0]
+        for a in (False, True):
+            for at in range(u.ORDER, len(data)):
+                p = 1 / 256
+                for k in range(u.ORDER + 1):
+                    p = (pairs[a, data[at - k : at + 1]] + u.BACK_OFF * p) / (contexts[a, k, data[at - k : at]] + u.BACK_OFF)
+                total[a] += np.log(p)
+        assert abs(got - (total[1] - total[0]) / (len(url) + 1)) < 1e-9
+
+
 def test_mixing(docs, none):
     from veclake.llm.mixing import mix, mixed_documents
 

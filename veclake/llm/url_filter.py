@@ -11,11 +11,9 @@ from .common import arrow, ascii_lower
 
 #: Characters (bytes) of context at most; every order from 0 up is used.
 ORDER = 4
-#: Cells of an order's table, a power of two: bounds the model at 2 * 2 * (ORDER + 1) * CELLS counts.
-CELLS = 1 << 16
 #: Weight of the next shorter context in counts.
 BACK_OFF = 4.0
-#: One labelled URL in so many is left for calibration.
+#: One labelled URL in so many sets the threshold for a model of the others; the final model counts all.
 CALIBRATION = 5
 #: Bins of the score histogram, which spans -SPAN to SPAN nats a character.
 BINS, SPAN = 2001, 5.0
@@ -38,66 +36,78 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return rule, action
 
 
-def _cells(urls: list) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """For each order the cells of (context, byte) and of the context, and the URL of each place.
+def _grams(urls: list) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """For each order the keys of (context, byte) and of the context, and the URL of each place.
 
-    Each URL is its bytes with zeros before, and a zero as its end.
+    Each URL is its bytes with zeros before, and a zero as its end.  A key has
+    the bytes themselves, the order and the kind: no two share one.
     """
     raw = [(u or "").encode("utf-8", "surrogatepass") for u in urls]
-    data = np.frombuffer(b"".join(bytes(ORDER) + r + b"\0" for r in raw) or b"", np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join(bytes(ORDER) + r + b"\0" for r in raw) or b"", np.uint8).astype(np.int64)
     lengths = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
     ends = np.cumsum(lengths + ORDER)
     of = np.repeat(np.arange(len(raw)), lengths)
     at = np.arange(int(lengths.sum())) + np.repeat(ends - np.cumsum(lengths), lengths)
-    pairs, contexts, context = [], [], np.zeros(len(at), np.uint64)
+    pairs, contexts, context = [], [], np.zeros(len(at), np.int64)
     for k in range(ORDER + 1):
         if k:
-            context = context | (data[at - k] << np.uint64(8 * k))
-        for out, key in ((pairs, context | data[at]), (contexts, context)):
-            mixed = (key + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
-            out.append((((mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.int64) & (CELLS - 1))
+            context = context | (data[at - k] << 8 * k)
+        tag = 2 * k << 8 * (ORDER + 1)
+        pairs.append((context | data[at]) + tag)
+        contexts.append(context + tag + (1 << 8 * (ORDER + 1)))
     return pairs, contexts, of
 
 
 def _count(batches):
-    """(accepted, url) -> (cell, n): a task's counts; a cell's number is its class, kind, order and place."""
-    total = np.zeros((2, 2, ORDER + 1, CELLS), np.int64)
+    """(accepted, held, url) -> (key, class, n): a task's counts; class is 2 * held + accepted."""
     for batch in batches:
-        accepted, urls = np.array(batch.column(0).to_pylist(), bool), batch.column(1).to_pylist()
-        for kind in (0, 1):
-            pairs, contexts, _ = _cells([u for u, a in zip(urls, accepted.tolist(), strict=True) if a == bool(kind)])
-            for k in range(ORDER + 1):
-                total[kind, 0, k] += np.bincount(pairs[k], minlength=CELLS)
-                total[kind, 1, k] += np.bincount(contexts[k], minlength=CELLS)
-    cell = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total.ravel()[cell])], ["cell", "n"])
-
-
-def ratio(model: np.ndarray, urls: list) -> np.ndarray:
-    """Accepted minus rejected log-likelihood of each URL, by its characters (its end included)."""
-    pairs, contexts, of = _cells(urls)
-    total = np.zeros((2, len(of)))
-    for kind in (0, 1):
-        p = np.full(len(of), 1.0 / 256)
-        for k in range(ORDER + 1):
-            p = (model[kind, 0, k, pairs[k]] + BACK_OFF * p) / (model[kind, 1, k, contexts[k]] + BACK_OFF)
-        total[kind] = np.log(np.minimum(p, 1.0))
+        class_ = 2 * np.array(batch.column(1).to_pylist(), np.int64) + np.array(batch.column(0).to_pylist(), np.int64)
+        urls = batch.column(2).to_pylist()
+        for c in np.unique(class_).tolist():
+            pairs, contexts, _ = _grams([urls[k] for k in np.flatnonzero(class_ == c)])
+            key, n = np.unique(np.concatenate([*pairs, *contexts]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), c)), pa.array(n.astype(np.int64))], ["key", "class", "n"])
+
+
+def ratio(model: tuple[np.ndarray, np.ndarray], urls: list) -> np.ndarray:
+    """Accepted minus rejected log-likelihood of each URL, by its characters (its end included).
+
+    The model: sorted keys, and a row of counts for each class.
+    """
+    keys, counts = model
+    pairs, contexts, of = _grams(urls)
+
+    def seen(key: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros((2, len(key)))
+        own, back = np.unique(key, return_inverse=True)
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        return np.where(keys[at] == own, counts[:, at], 0)[:, back]
+
+    p = np.full((2, len(of)), 1.0 / 256)
+    for k in range(ORDER + 1):
+        p = (seen(pairs[k]) + BACK_OFF * p) / (seen(contexts[k]) + BACK_OFF)
+    total = np.log(p)
     n = np.bincount(of, minlength=len(urls))
     return np.bincount(of, total[1] - total[0], len(urls)) / np.maximum(n, 1)
 
 
-def fit(labelled: DataFrame) -> tuple[np.ndarray, float]:
+def fit(labelled: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], float]:
     """Model and threshold from all (accepted, url) rows.
 
-    Counts are summed over all rows of the corpus; what comes to the driver
-    is the table of fixed size and a histogram of BINS scores a class.
+    Counts of the real contexts are summed over all rows of the corpus; what
+    comes to the driver is a row for each distinct one and a histogram of BINS
+    scores a class.  The threshold is that of a model without the held-out
+    URLs; the model returned counts these too.
     """
     spark = labelled.sparkSession
     held = F.crc32(F.encode("url", "UTF-8")) % CALIBRATION == 0
-    counts = arrow(labelled.where(~held).select("accepted", "url"), _count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    model = np.zeros(2 * 2 * (ORDER + 1) * CELLS)
-    model[counts["cell"].to_numpy()] = counts["n"].to_numpy()
-    model = model.reshape(2, 2, ORDER + 1, CELLS)
+    sums = [F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(4)]
+    counted = arrow(labelled.select("accepted", held.alias("held"), "url"), _count, "key long, class long, n long").groupBy("key").agg(*sums).toArrow()
+    keys = counted["key"].to_numpy()
+    order = np.argsort(keys)
+    keys, counts = keys[order], np.stack([counted[f"n{c}"].to_numpy()[order] for c in range(4)])
+    model, whole = (keys, counts[:2]), (keys, counts[:2] + counts[2:])
     shared = spark.sparkContext.broadcast(model)
 
     def bins(batches):
@@ -109,14 +119,14 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, float]:
     for row in arrow(labelled.where(held).select("accepted", "url"), bins, "accepted boolean, bin int").groupBy("accepted", "bin").count().collect():
         seen[int(row["accepted"]), row["bin"]] = row["count"]
     if not seen.sum(1).all():
-        return model, -np.inf if not model[0].any() else 0.0
+        return whole, -np.inf if not whole[1][0].any() else 0.0
     # a threshold before bin t rejects the bins below it
     share = seen / seen.sum(1, keepdims=True)
     below = np.c_[np.zeros(2), np.cumsum(share, 1)]
     error = below[1] + 1 - below[0]
     best = np.flatnonzero(error <= error.min() + 1e-12)
     cut = best[len(best) // 2]
-    return model, ((cut - 0.5) / (BINS - 1) * 2 - 1) * SPAN
+    return whole, ((cut - 0.5) / (BINS - 1) * 2 - 1) * SPAN
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
