@@ -82,6 +82,17 @@ def test_many_stated_queries(spark):
     assert search.batch_scores(few, q).count() == 22_000
 
 
+def test_graph_queries_take_default_shards(monkeypatch):
+    from veclake import queries
+
+    seen = []
+    monkeypatch.setattr(queries, "records", lambda *a: None)
+    monkeypatch.setattr(queries.ann, "layer_stats", lambda index: index)
+    monkeypatch.setattr(queries.ann, "build", lambda rows, c: seen.append(c.shard_size))
+    queries.hnsw_layer_stats(None, "")
+    assert seen == [config.EngineConfig().shard_size]
+
+
 def test_neighbour_heuristic():
     x = np.array([[0, 0], [1, 0], [1.1, 0], [0, 2]])
     g = ann.Graph(x, "euclidean", config.EngineConfig(metric="euclidean"))
