@@ -183,15 +183,42 @@ def test_quality_window_paths(spark):
 
 
 def test_quality_adapts(spark):
-    """A source full of symbols keeps them; elsewhere the same text is an outlier."""
+    """A source full of symbols keeps them; elsewhere the same text is an outlier; a small source leans on its language."""
     from veclake.llm.quality import quality_rules
 
     rng = np.random.default_rng(3)
     plain = lambda: " ".join(f"w{x}" for x in rng.permutation(400)[:80])
     noisy = lambda: " ".join(f"w{x}*$%" for x in rng.permutation(400)[:80])
-    rows = [(i, plain(), "en", "prose") for i in range(60)] + [(100, noisy(), "en", "prose")] + [(200 + i, noisy(), "en", "code") for i in range(60)]
+    rows = [(i, plain(), "en", "prose") for i in range(400)] + [(1000, noisy(), "en", "prose")] + [(2000 + i, noisy(), "en", "code") for i in range(400)]
+    rows += [(3000 + i, plain(), "de", "alt") for i in range(300)] + [(4000, plain(), "de", "neu"), (4001, noisy(), "de", "neu")]
     got = {r["doc_id"]: r["kept"] for r in quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert not got.pop(100) and all(got.values())
+    assert not got.pop(1000) and not got.pop(4001) and all(got.values())
+
+
+def test_quality_bounds_differ(spark):
+    """On the 0.1 tables no bound is a constant: the sketches set every one of them."""
+    from pathlib import Path
+
+    from veclake.llm.quality import measures, sketches, thresholds
+
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not Path(path).exists():
+        pytest.skip("no tables")
+    docs = spark.read.parquet(path)
+    bounds = thresholds(sketches(docs.select("lang", "source", measures(F.col("text")).alias("m")))).toPandas().set_index(["lang", "source"])
+    assert all(bounds[c].nunique() >= 8 and bounds[c].value_counts().iloc[0] <= len(bounds) // 3 for c in bounds.columns)
+
+
+def test_quality_bins(spark):
+    """Bins ascend with the value, and each holds values within 1/64 of each other."""
+    from veclake.llm.quality import bin_of
+
+    values = [*range(2000), *(10**k + d for k in range(4, 7) for d in (-1, 0, 1)), 2**40 - 1, 2**40]
+    got = [r["b"] for r in spark.createDataFrame([(v,) for v in values], "v long").select(bin_of(F.col("v")).alias("b")).collect()]
+    assert got == sorted(got) and got[:128] == values[:128]
+    first = {}
+    for v, b in zip(values, got):
+        assert v <= first.setdefault(b, v) * 65 / 64
 
 
 def test_exact_dedup(docs, none):

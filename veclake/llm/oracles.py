@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import BIN_BITS, LEAST_GROUP, RULES
+from .quality import OCTAVE, PRIOR, RULES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = r"w AS (SELECT doc_id, lang, source, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)"
@@ -65,31 +65,33 @@ SELECT doc_id, domain, lang, source, n_tokens, (epochs + (rest > 0 AND sum(n_tok
 """
 
 
+def _bin(value: str) -> str:
+    drop = f"greatest(length(bin({value})) - {OCTAVE.bit_length()}, 0)"
+    return f"({drop} * {OCTAVE} + ({value} >> {drop}))"
+
+
 def _fences() -> tuple[str, str]:
     bounds, tests = [], []
-    for name, (down, up, least, below, above) in RULES.items():
-        mine, iqr = f"metric = '{name}'", f"greatest(q3 - q1, {least})"
-        if down is not None:
-            bounds.append(f"max(CASE WHEN {mine} THEN least(q1 - {down} * {iqr}, {below}) END) AS {name}_low")
-            tests.append(f"coalesce({name} >= {name}_low, true)")
-        if up is not None:
-            bounds.append(f"max(CASE WHEN {mine} THEN greatest(q3 + {up} * {iqr}, {above}) END) AS {name}_high")
-            tests.append(f"coalesce({name} <= {name}_high, true)")
+    for name, (down, up, least) in RULES.items():
+        for side, bound in (("low", down and f"q1 - {down} * greatest(q3 - q1, {least})"), ("high", f"q3 + {up} * greatest(q3 - q1, {least})")):
+            if bound:
+                bounds.append(f"max(CASE WHEN metric = '{name}' THEN {bound} END) AS {name}_{side}")
+                tests.append(f"coalesce({_bin(name)} {'<=' if side == 'high' else '>='} {name}_{side}, true)")
     return ", ".join(bounds), " AND ".join(tests)
 
 
 def _quartiles(name: str, keys: str) -> str:
     by = f"{keys}, " if keys else ""
     return f"""
-{name}_n AS (SELECT {by}metric, bin, sum(n) AS n FROM sketch GROUP BY ALL),
-{name}_u AS (SELECT *, sum(n) OVER (PARTITION BY {by}metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {by}metric) AS total FROM {name}_n),
-{name} AS (SELECT {by}metric, min(bin) FILTER (WHERE 4 * upto >= total) AS q1, min(bin) FILTER (WHERE 4 * upto >= 3 * total) AS q3, max(total) AS total FROM {name}_u GROUP BY ALL)"""
+{name}_n AS (SELECT {by}metric, bin, sum(n)::BIGINT AS n FROM sketch GROUP BY ALL),
+{name}_u AS (SELECT *, sum(n) OVER (PARTITION BY {by}metric ORDER BY bin)::BIGINT AS upto, sum(n) OVER (PARTITION BY {by}metric)::BIGINT AS total FROM {name}_n),
+{name} AS (SELECT {by}metric, min(bin) FILTER (WHERE 4 * upto >= total) AS q1, min(bin) FILTER (WHERE 4 * upto >= 3 * total) AS q3, max(total)::BIGINT AS total FROM {name}_u GROUP BY ALL)"""
 
 
 def quality() -> str:
     bounds, tests = _fences()
     names = list(RULES)
-    pick = ", ".join(f"CASE WHEN a.total >= {LEAST_GROUP} THEN a.{q} WHEN b.total >= {LEAST_GROUP} THEN b.{q} ELSE c.{q} END AS {q}" for q in ("q1", "q3"))
+    pick = ", ".join(f"(a.total * a.{q} + {PRIOR} * ((b.total * b.{q} + {PRIOR} * c.{q}) // (b.total + {PRIOR}))) // (a.total + {PRIOR}) AS {q}" for q in ("q1", "q3"))
     return rf"""
 WITH {WORDS}, {windows(3)},
 c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM win),
@@ -100,10 +102,10 @@ m AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to
              len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
       FROM w JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-             coalesce(1000 * n_symbols // nullif(word_chars, 0), 0) AS symbols_pm, coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0) AS dup_lines_pm,
-             coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0) AS repeat_words_pm, coalesce(100 * word_chars // nullif(n_words, 0), 0) AS word_len FROM m),
+             (n_symbols + 1) * 1000000 // (word_chars + 1) AS symbols, (n_dup_lines + 1) * 1000000 // (n_lines + 1) AS dup_lines,
+             (n_repeat_words + 1) * 1000000 // (n_words + 1) AS repeat_words, coalesce(100 * word_chars // nullif(n_words, 0), 0) AS word_len FROM m),
 x AS (SELECT lang, source, unnest({names}) AS metric, unnest([{', '.join(names)}]) AS value FROM v WHERE NOT base_failed),
-sketch AS (SELECT lang, source, metric, (value >> greatest(length(bin(value)) - {BIN_BITS}, 0)) << greatest(length(bin(value)) - {BIN_BITS}, 0) AS bin, count(*) AS n FROM x GROUP BY ALL),
+sketch AS (SELECT lang, source, metric, {_bin('value')} AS bin, count(*) AS n FROM x GROUP BY ALL),
 {_quartiles('leaf', 'lang, source')},{_quartiles('lng', 'lang')},{_quartiles('every', '')},
 t AS (SELECT a.lang, a.source, a.metric, {pick} FROM leaf a JOIN lng b ON a.lang IS NOT DISTINCT FROM b.lang AND a.metric = b.metric JOIN every c ON a.metric = c.metric),
 bounds AS (SELECT lang, source, {bounds} FROM t GROUP BY lang, source)

@@ -15,21 +15,16 @@ from .common import let, words, written
 SYMBOLS = r"[#*$%&|<>]"
 #: Position bits of a packed window: texts of more words take the plain comparison.
 POSITION_BITS = 24
-#: Leading bits of a value that its bin in a sketch keeps: relative error 1/32.
-BIN_BITS = 6
-#: Documents that a group's sketch needs before it sets thresholds; smaller groups use their language's, then the corpus's.
-LEAST_GROUP = 30
+#: Bins of a sketch for each doubling of a value: a relative error of 1/64.
+OCTAVE = 64
+#: Documents that a parent's quartile counts as when it is blended into that of a language or of a source.
+PRIOR = 30
 #: Largest threshold table that is broadcast, in rows of about 100 bytes.
 BROADCAST_ROWS = 200_000
 
-#: metric: (lower fence in IQRs or None, upper fence in IQRs or None, least IQR, never reject below, never reject above)
-#: All metrics are whole numbers: parts per thousand, and hundredths of a character for word_len.
-RULES = {
-    "symbols_pm": (None, 6, 10, None, 50),
-    "dup_lines_pm": (None, 6, 20, None, 500),
-    "repeat_words_pm": (None, 6, 20, None, 400),
-    "word_len": (4, 4, 50, 250, 1200),
-}
+#: metric: (spreads below the lower quartile or None, spreads above the upper one, least spread), a spread being the bins between the quartiles.
+#: The first three are shares, word_len is in hundredths of a character.
+RULES = {"symbols": (None, 2, OCTAVE), "dup_lines": (None, 2, OCTAVE), "repeat_words": (None, 3, OCTAVE), "word_len": (6, 6, OCTAVE // 16)}
 
 
 def repeated_positions(ws: Column) -> Column:
@@ -103,37 +98,54 @@ def base_failed(m: Column) -> Column:
 
 
 def metrics(m: Column) -> dict[str, Column]:
-    """The whole-number metrics of RULES; a document without words has zeros."""
+    """Whole numbers whose quantiles set the thresholds; word_len of a text without words is 0.
 
-    def share(a: str, b: str, unit: int) -> Column:
-        return F.coalesce(F.try_divide(unit * m[a], m[b]).cast("long"), F.lit(0).cast("long"))
+    Shares are parts per million of (n + 1) / (total + 1): one more of each
+    keeps the share of a text that has none apart from zero, by its length.
+    """
+
+    def share(a: str, b: str) -> Column:
+        return _div((m[a] + 1) * 1_000_000, m[b] + 1)
 
     return {
-        "symbols_pm": share("n_symbols", "word_chars", 1000),
-        "dup_lines_pm": share("n_dup_lines", "n_lines", 1000),
-        "repeat_words_pm": share("n_repeat_words", "n_words", 1000),
-        "word_len": share("word_chars", "n_words", 100),
+        "symbols": share("n_symbols", "word_chars"),
+        "dup_lines": share("n_dup_lines", "n_lines"),
+        "repeat_words": share("n_repeat_words", "n_words"),
+        "word_len": F.coalesce(F.try_divide(100 * m["word_chars"], m["n_words"]).cast("long"), F.lit(0).cast("long")),
     }
 
 
+def _div(a: Column, b: Column | int) -> Column:
+    return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
+
+
+def bin_of(value: Column) -> Column:
+    """A value's place in a sketch: itself up to 2 * OCTAVE, from there OCTAVE bins for each doubling."""
+    drop = F.greatest(F.length(F.bin(value)) - OCTAVE.bit_length(), F.lit(0))
+    return (drop * OCTAVE).cast("long") + F.call_function("shiftright", value, drop)
+
+
 def sketches(measured: DataFrame) -> DataFrame:
     """Quantile sketches: (language, source, metric, bin, n), summed to merge.
 
-    A bin is the value with all but its BIN_BITS leading bits cleared, so a
-    sketch of any number of documents has a few hundred rows at most, merging
-    is adding counts, and the outcome does not depend on the order of merging.
+    A sketch of any number of documents has some 1,300 rows at most, merging is
+    adding counts, and the outcome does not depend on the order of merging.
     Documents that fail the base rules do not count.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in metrics(measured["m"]).items()]))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), bin_of(v).alias("bin")) for k, v in metrics(measured["m"]).items()]))
     rows = measured.where(~base_failed(measured["m"])).select("lang", "source", each.alias("x"))
-    v = F.col("x.value")
-    drop = F.greatest(F.length(F.bin(v)) - BIN_BITS, F.lit(0))
-    cleared = F.call_function("shiftleft", F.call_function("shiftright", v, drop), drop)
-    return rows.groupBy("lang", "source", F.col("x.metric").alias("metric"), cleared.alias("bin")).agg(F.count("*").alias("n"))
+    return rows.groupBy("lang", "source", F.col("x.metric").alias("metric"), F.col("x.bin").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(language, source, one low and one high bound per rule) from merged sketches."""
+    """(language, source, the bins that bound each metric) from merged sketches.
+
+    A source has the quartiles of its own sketch, blended with those of its
+    language, and these with those of the corpus: a parent counts as PRIOR
+    documents, so a small group leans on its parent, a large one hardly does,
+    and no size switches from one to the other.  Quartiles are bins, so
+    blending and spreads are by ratio.
+    """
 
     def quartiles(keys: list[str]) -> DataFrame:
         by = Window.partitionBy(*keys, "metric")
@@ -152,17 +164,16 @@ def thresholds(sketch: DataFrame) -> DataFrame:
         .join(every.alias("c"), F.col("a.metric") == F.col("c.metric"))
     )
 
-    def of(q: str) -> Column:
-        return F.when(F.col("a.total") >= LEAST_GROUP, F.col(f"a.{q}")).when(F.col("b.total") >= LEAST_GROUP, F.col(f"b.{q}")).otherwise(F.col(f"c.{q}"))
+    def blended(own: str, q: str, parent: Column) -> Column:
+        return _div(F.col(f"{own}.total") * F.col(f"{own}.{q}") + PRIOR * parent, F.col(f"{own}.total") + PRIOR)
 
-    rows = joined.select("a.lang", "a.source", "a.metric", of("q1").alias("q1"), of("q3").alias("q3"))
+    rows = joined.select("a.lang", "a.source", "a.metric", *[blended("a", q, blended("b", q, F.col(f"c.{q}"))).alias(q) for q in ("q1", "q3")])
     aggs = []
-    for name, (down, up, least, below, above) in RULES.items():
-        mine, iqr = F.col("metric") == name, F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-        if down is not None:
-            aggs.append(F.max(F.when(mine, F.least(F.col("q1") - down * iqr, F.lit(below)))).alias(f"{name}_low"))
-        if up is not None:
-            aggs.append(F.max(F.when(mine, F.greatest(F.col("q3") + up * iqr, F.lit(above)))).alias(f"{name}_high"))
+    for name, (down, up, least) in RULES.items():
+        spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
+        for side, bound in (("low", None if down is None else F.col("q1") - down * spread), ("high", F.col("q3") + up * spread)):
+            if bound is not None:
+                aggs.append(F.max(F.when(F.col("metric") == name, bound)).alias(f"{name}_{side}"))
     return rows.groupBy("lang", "source").agg(*aggs)
 
 
@@ -180,11 +191,9 @@ def judged(measured: DataFrame, bounds: DataFrame) -> DataFrame:
     def verdict(v: Column) -> Column:
         fine = ~base_failed(v["m"])
         for name, value in metrics(v["m"]).items():
-            down, up, *_ = RULES[name]
-            if down is not None:
-                fine &= F.coalesce(value >= v["b"][f"{name}_low"], F.lit(True))
-            if up is not None:
-                fine &= F.coalesce(value <= v["b"][f"{name}_high"], F.lit(True))
+            fine &= F.coalesce(bin_of(value) <= v["b"][f"{name}_high"], F.lit(True))
+            if RULES[name][0] is not None:
+                fine &= F.coalesce(bin_of(value) >= v["b"][f"{name}_low"], F.lit(True))
         return fine
 
     # one expression over both sides: split up, its parts would go below the join and measure each text again
@@ -195,8 +204,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, base measures, base_failed and kept.
 
     The texts are read once: measures go to a written table, whose sketches
-    give each language and source its thresholds (quartile fences), joined
-    back for the verdict.  Null text has no words and fails the base rules; a
+    give each language and source its thresholds (quartile fences, no fixed
+    bounds), joined back for the verdict.  Null text has no words and fails the base rules; a
     null language or source is a group of its own; a null id stays null; ties
     and repeated rows are judged each on its own; extra columns are not read;
     an empty table gives none.
@@ -214,9 +223,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents that pass, all their columns as they were.
 
-    Whole rows stay where they are: one pass measures them for the sketches,
-    a second filters them against the joined thresholds.
+    The texts are measured once: whole rows are written with their measures,
+    and read again for the verdict.  Nulls, ties, repeated rows, extra columns
+    and empty tables as in ``quality_rules``.
     """
-    measured = written(docs.select(docs["lang"], docs["source"], measures(docs["text"]).alias("m")), "measures")
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["lang"].alias("lang"), docs["source"].alias("source"), measures(docs["text"]).alias("m"))
-    return judged(whole, thresholds(sketches(measured))).where("kept").select("row.*")
+    measured = written(whole, "measured")
+    return judged(measured, thresholds(sketches(measured.drop("row")))).where("kept").select("row.*")
