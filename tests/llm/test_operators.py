@@ -238,6 +238,27 @@ def test_exact_dedup(docs, none):
     assert exact_dedup(none).count() == 0 and distinct_texts(none).count() == 0
 
 
+def test_exact_dedup_rounds(docs, monkeypatch):
+    """Bitmaps sent in several rounds, groups and dropped keys joined by a shuffle: the same rows."""
+    from veclake.llm import common, exact_dedup as e
+
+    want, kept = Counter(map(tuple, e.exact_dedup(docs).collect())), e.distinct_texts(docs).count()
+    monkeypatch.setattr(e, "BITMAP_BYTES", 2)
+    monkeypatch.setattr(e, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(common, "BROADCAST_GONE", 0)
+    assert Counter(map(tuple, e.exact_dedup(docs).collect())) == want and e.distinct_texts(docs).count() == kept
+
+
+def test_exact_dedup_moves_suspects_only(spark):
+    """Of many texts those with a copy are suspects, and hardly any other."""
+    from veclake.llm.exact_dedup import _told
+
+    rows = [(i, f"text {i % 4900}") for i in range(5000)]
+    told = _told(spark.createDataFrame(rows, "id long, text string").repartition(6)).where("suspect").collect()
+    assert {r["id"] for r in told} >= {*range(100), *range(4900, 5000)} and len(told) < 200 + 5000 / 8
+    assert all(r["bytes"] is not None for r in told)
+
+
 def test_golomb_round_trip():
     from veclake.llm.golomb import decode, encode
 

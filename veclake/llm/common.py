@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ from ..session import on_workers
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+#: Keys of dropped documents that are broadcast, about 50 bytes each in memory.
+BROADCAST_GONE = 2_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return on_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is missing (a local test session) is a folder of
-    this machine used.
+    Where that setting is missing a local session takes a folder of this
+    machine; on a cluster, where executors would not see it, it is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="veclake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -84,7 +92,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose ``keyed`` doc_id is not in ``gone``, all their columns as they were."""
-    g = gone.select(F.col("doc_id.a").alias("_gone"), F.col("doc_id.b").alias("_key"))
+    """The documents whose ``keyed`` doc_id is not in ``gone``, all their columns as they were.
+
+    Up to BROADCAST_GONE keys are broadcast, so that no document moves; more
+    are joined by a shuffle.
+    """
+    g = written(gone.select(F.col("doc_id.a").alias("_gone"), F.col("doc_id.b").alias("_key")), "gone")
+    few = g.count() <= BROADCAST_GONE
     same = docs["doc_id"].eqNullSafe(g["_gone"]) & (F.xxhash64(docs["doc_id"].cast("string"), docs["text"]) == g["_key"])
-    return docs.join(g, same, "left_anti")
+    return docs.join(F.broadcast(g) if few else g, same, "left_anti")

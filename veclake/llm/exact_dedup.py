@@ -7,7 +7,6 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +17,14 @@ from .golomb import decode, encode
 BITS = 40
 #: Rows of a task that go into one parcel: bounds a sender's memory.
 PARCEL_ROWS = 200_000
+#: Cells of the bitmaps for each repeated fingerprint: one text in so many moves for nothing.
+CELLS = 16
+#: Bytes of bitmaps that are broadcast at once; more are sent in rounds, each for a range of fingerprints.
+BITMAP_BYTES = 128 << 20
+#: Tasks of a group's first round, so that a text that most tasks have is not gathered from all of them at once.
+SALTS = 64
+#: Groups that are broadcast to their members, about 100 bytes each; more are joined by a shuffle.
+BROADCAST_GROUPS = 500_000
 
 
 def normal(text: str | None) -> bytes:
@@ -25,88 +32,126 @@ def normal(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
+def prints_of(shas: np.ndarray) -> np.ndarray:
+    """The leading BITS of digests, 32 bytes a row."""
+    return (shas[:, :8].copy().view(">u8")[:, 0] >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def _send(owners: int):
-    """Documents -> one row for each parcel and owner: sorted coded fingerprints, and ids and digests in that order."""
+    """Texts -> one row for each parcel and owner: sorted distinct fingerprints, coded, and which of them this parcel has twice."""
+    span = (1 << BITS) // owners
 
-    def run(batches):
-        task, parcel, keys, digests = TaskContext.get().partitionId(), 0, [], []
-        id_type = None
-
-        def rows():
-            nonlocal parcel
-            shas = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 32)
-            prints = (shas[:, :8].copy().view(">u8")[:, 0] >> np.uint64(64 - BITS)).astype(np.int64)
-            order = np.argsort(prints, kind="stable")
-            prints, shas = prints[order], shas[order]
-            span = -(-(1 << BITS) // owners)
-            cuts = np.searchsorted(prints, np.arange(owners + 1) * span).tolist()
-            out = defaultdict(list)
-            for o, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                if a < b:
-                    distinct = np.unique(prints[a:b])
-                    own = [keys[j] for j in order[a:b].tolist()]
-                    for name, x in (("parcel", (task << 24) + parcel), ("owner", o), ("n", len(distinct)), ("code", encode(distinct - o * span, span)), ("ids", own), ("shas", shas[a:b].tobytes())):
-                        out[name].append(x)
-            parcel += 1
-            keys.clear()
-            digests.clear()
-            return pa.RecordBatch.from_arrays([pa.array(out["parcel"], pa.int64()), pa.array(out["owner"], pa.int32()), pa.array(out["n"], pa.int32()), pa.array(out["code"], pa.binary()), pa.array(out["ids"], pa.list_(id_type)), pa.array(out["shas"], pa.binary())], ["parcel", "owner", "n", "code", "ids", "shas"])
+    def rows(digests):
+        shas = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 32)
+        prints, n = np.unique(prints_of(shas), return_counts=True)
+        cuts = np.searchsorted(prints, np.arange(owners + 1) * span).tolist()
+        out = [(o, b - a, encode(prints[a:b] - o * span, span), np.packbits(n[a:b] > 1).tobytes()) for o, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["owner", "n", "code", "twice"])
 
+    def run(batches):
+        digests = []
         for batch in batches:
-            id_type = batch.column(0).type
-            keys += batch.column(0).to_pylist()
-            digests += [hashlib.sha256(normal(t)).digest() for t in batch.column(1).to_pylist()]
-            if len(keys) >= PARCEL_ROWS:
-                yield rows()
-        if keys:
-            yield rows()
+            digests += [hashlib.sha256(normal(t)).digest() for t in batch.column(0).to_pylist()]
+            if len(digests) >= PARCEL_ROWS:
+                yield rows(digests)
+                digests = []
+        if digests:
+            yield rows(digests)
 
     return run
 
 
 def _find(owners: int):
-    """All parcels of some owners -> for each parcel a bitmap of the fingerprints that another parcel has too."""
+    """All parcels of some owners -> the fingerprints of each owner's range that the corpus has twice, coded."""
+    span = (1 << BITS) // owners
 
     def run(batches):
-        span = -(-(1 << BITS) // owners)
         got = defaultdict(list)
         for batch in batches:
-            for parcel, owner, n, code in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got[owner].append((parcel, n, code))
+            for owner, n, code, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got[owner].append((n, code, twice))
         for owner, own in got.items():
-            values = [decode(code, n, span) for _, n, code in own]
-            every = np.sort(np.concatenate(values))
-            twice = np.unique(every[1:][every[1:] == every[:-1]])
-            maps = [np.packbits(np.isin(v, twice, assume_unique=True)).tobytes() for v in values]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, *_ in own], pa.int64()), pa.array([owner] * len(own), pa.int32()), pa.array(maps, pa.binary())], ["parcel", "owner", "bitmap"])
+            every = np.concatenate([decode(code, n, span) for n, code, _ in own])
+            twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=n) for n, _, t in own])
+            value, at, n = np.unique(every, return_inverse=True, return_counts=True)
+            value = value[(n > 1) | (np.bincount(at, twice) > 0)]
+            if len(value):
+                yield pa.RecordBatch.from_arrays([pa.array([owner], pa.int32()), pa.array([len(value)], pa.int64()), pa.array([encode(value, span)], pa.binary())], ["owner", "n", "code"])
 
     return run
 
 
-def _mark(batches):
-    """Parcels with their bitmaps -> (id, sha, suspect) of each document."""
-    for batch in batches:
-        for ids, shas, bitmap in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            digests = np.frombuffer(shas, np.uint8).reshape(-1, 32)
-            prints = digests[:, :8].copy().view(">u8")[:, 0] >> np.uint64(64 - BITS)
-            _, at, n = np.unique(prints, return_inverse=True, return_counts=True)
-            suspect = np.unpackbits(np.frombuffer(bitmap, np.uint8), count=len(n)).astype(bool) | (n > 1)
-            yield pa.RecordBatch.from_arrays([ids.values, pa.array([shas[32 * j : 32 * j + 32] for j in range(len(digests))], pa.binary()), pa.array(suspect[at])], ["id", "sha", "suspect"])
+def _bitmaps(owners: int, cells: int):
+    """Repeated fingerprints of each owner -> a bitmap over the cells of its range."""
+    span, width = (1 << BITS) // owners, (1 << BITS) // cells
 
+    def run(batches):
+        for batch in batches:
+            for owner, n, code in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                marked = np.zeros(cells // owners, bool)
+                marked[decode(code, n, span) // width] = True
+                yield pa.RecordBatch.from_arrays([pa.array([owner], pa.int32()), pa.array([np.packbits(marked).tobytes()], pa.binary())], ["owner", "bitmap"])
+
+    return run
 
-def _bytes(batches):
-    for batch in batches:
-        texts = [normal(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(texts, pa.binary())], ["id", "sha", "bytes"])
+
+def _read(shared, low: int, high: int, cells: int):
+    """Documents -> (id, sha, suspect, bytes) of those with a fingerprint in the range; the bytes of suspects only."""
+    width = (1 << BITS) // cells
+
+    def run(batches):
+        marked = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            texts = [normal(t) for t in batch.column(1).to_pylist()]
+            if not texts:
+                continue
+            digests = [hashlib.sha256(t).digest() for t in texts]
+            prints = prints_of(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 32))
+            own = np.flatnonzero((prints >= low) & (prints < high))
+            suspect = marked[(prints[own] - low) // width]
+            some = own.tolist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(own)), pa.array([digests[j] for j in some], pa.binary()), pa.array(suspect), pa.array([texts[j] if s else None for j, s in zip(some, suspect.tolist(), strict=True)], pa.binary())],
+                ["id", "sha", "suspect", "bytes"],
+            )
+
+    return run
+
+
+def _told(slim: DataFrame) -> DataFrame:
+    """(id, sha, suspect, bytes) of every document: the exchange, and a second reading that knows its outcome."""
+    spark, kind = slim.sparkSession, dict(slim.dtypes)["id"]
+    owners = 1 << max(3, (shuffle_width(spark) - 1).bit_length())
+    sent = arrow(slim.select("text"), _send(owners), "owner int, n int, code binary, twice binary")
+    found = written(arrow(sent.repartition(owners, "owner"), _find(owners), "owner int, n long, code binary"), "repeated")
+    n = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    cells = 1 << min(BITS, max((owners * 8 - 1).bit_length(), (CELLS * n).bit_length()))
+    rounds = min(max(1, cells // 8 // BITMAP_BYTES), owners)
+    each, out = owners // rounds, None
+    for r in range(rounds):
+        mine = np.zeros((each, cells // owners // 8), np.uint8)
+        answers = arrow(found.where(F.col("owner").between(r * each, (r + 1) * each - 1)), _bitmaps(owners, cells), "owner int, bitmap binary").toArrow()
+        for owner, bitmap in zip(answers["owner"].to_pylist(), answers["bitmap"].to_pylist(), strict=True):
+            mine[owner - r * each] = np.frombuffer(bitmap, np.uint8)
+        shared = spark.sparkContext.broadcast(mine.ravel())
+        part = arrow(slim, _read(shared, (r * each) * ((1 << BITS) // owners), (r + 1) * each * ((1 << BITS) // owners), cells), f"id {kind}, sha binary, suspect boolean, bytes binary")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256.
 
     1. Tasks send each owner of a fingerprint range their sorted fingerprints,
-       Golomb-coded.  2. Owners return bitmaps of those that others hold too.
-       3. The texts of the suspects alone are grouped by their bytes, after
-       partial grouping in each task, so a large group is one row per task.
+       Golomb-coded.  2. Owners answer with bitmaps over their ranges, which
+       mark what the corpus has twice.  3. Tasks read the texts again; those
+       that are not marked are alone and stay where they are.  Only the texts
+       of suspects move, and are grouped by their bytes: in each task, then by
+       SALTS parts of the tasks, then whole.
+
+    The bitmaps have CELLS bits for each repeated fingerprint.  More than
+    BITMAP_BYTES of them are broadcast in rounds, one range of fingerprints
+    and one reading of the texts after the other.
 
     Texts are equal when identical after lower-casing A-Z; null counts as
     empty.  The largest id of a group stays.  Rows that repeat an id and its
@@ -114,35 +159,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     id is smaller than any other; in a group of null ids all rows are kept.
     Extra columns are not read; an empty table gives none.
     """
-    spark = docs.sparkSession
-    slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    kind, owners = dict(slim.dtypes)["id"], shuffle_width(spark)
-    sent = written(arrow(slim, _send(owners), f"parcel long, owner int, n int, code binary, ids array<{kind}>, shas binary"), "parcels")
-    found = arrow(sent.select("parcel", "owner", "n", "code").repartition(owners, "owner"), _find(owners), "parcel long, owner int, bitmap binary")
-    back = sent.select("parcel", "owner", "ids", "shas").join(found, ["parcel", "owner"])
-    marked = written(arrow(back.select("ids", "shas", "bitmap"), _mark, f"id {kind}, sha binary, suspect boolean"), "marked")
-
-    suspects = marked.where("suspect").select(F.col("id").alias("_suspect"))
-    texts = slim.join(suspects, slim["id"].eqNullSafe(suspects["_suspect"]), "left_semi")
-    equal = arrow(texts, _bytes, f"id {kind}, sha binary, bytes binary")
+    told = written(_told(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))), "told")
+    salted = told.where("suspect").withColumn("salt", F.spark_partition_id() % SALTS)
+    parts = salted.groupBy("sha", "bytes", "salt").agg(F.max("id").alias("keep_id"), F.count("*").alias("n"))
     # the bytes decide; the digest of the bytes then names the group
-    groups = equal.groupBy("sha", "bytes").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1").select(F.col("sha").alias("_sha"), "keep_id", "group_size")
-    out = marked.join(groups, marked["sha"] == groups["_sha"], "left")
-    alone = F.col("group_size").isNull()
-    keep = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))
-    return out.select(
-        F.col("id").alias(id_col),
-        keep.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.col("id").eqNullSafe(keep).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
+    groups = parts.groupBy("sha", "bytes").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size")).where("group_size > 1")
+    groups = written(groups.select(F.col("sha").alias("_sha"), "keep_id", "group_size"), "groups")
+    few = groups.count() <= BROADCAST_GROUPS
+    members = told.where("suspect").select("id", "sha")
+    members = members.join(F.broadcast(groups) if few else groups, members["sha"] == groups["_sha"], "left").select("id", "sha", F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"))
+    out = told.where("not suspect").select("id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")).union(members)
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """The documents that exact deduplication keeps, all their columns as they were.
 
     Rows that repeat id and text stay together; of rows that share an id but
-    not the case of their letters one stays.
+    not the case of their letters one stays.  Nulls, extra columns and empty
+    tables as in ``exact_dedup``.
     """
     return without(docs, exact_dedup(keyed(docs)).where("not kept"))

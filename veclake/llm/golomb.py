@@ -1,4 +1,8 @@
-"""Golomb (Rice) coding of sorted fingerprints in numpy."""
+"""Golomb (Rice) coding of sorted fingerprints in numpy.
+
+All quotients come first, in unary, then all remainders: both are read back
+without a step for each value.
+"""
 
 from __future__ import annotations
 
@@ -11,18 +15,15 @@ def parameter(n: int, universe: int) -> int:
 
 
 def encode(values: np.ndarray, universe: int) -> bytes:
-    """Gaps of sorted values: each quotient in unary, then the remainder's bits."""
+    """Gaps of sorted values: quotients in unary, then the remainders' bits."""
     if not len(values):
         return b""
     k = parameter(len(values), universe)
     gaps = np.diff(values.astype(np.int64), prepend=0)
-    quotient, rest = gaps >> k, gaps & ((1 << k) - 1)
-    ends = np.cumsum(quotient + 1 + k)
-    bits = np.zeros(int(ends[-1]), np.uint8)
-    bits[ends - k - 1] = 1
-    for j in range(k):
-        bits[ends - k + j] = (rest >> (k - 1 - j)) & 1
-    return np.packbits(bits).tobytes()
+    unary = np.zeros(int((gaps >> k).sum()) + len(gaps), np.uint8)
+    unary[np.cumsum((gaps >> k) + 1) - 1] = 1
+    rest = (gaps[:, None] >> np.arange(k - 1, -1, -1)) & 1
+    return np.packbits(np.concatenate([unary, rest.astype(np.uint8).ravel()])).tobytes()
 
 
 def decode(blob: bytes, n: int, universe: int) -> np.ndarray:
@@ -31,25 +32,8 @@ def decode(blob: bytes, n: int, universe: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     k = parameter(n, universe)
     bits = np.unpackbits(np.frombuffer(blob, np.uint8))
-    ones = np.flatnonzero(bits)
-    # the marker of a value is the first set bit behind the remainder of the value before
-    markers, at = np.empty(n, np.int64), 0
-    if k == 0:
-        markers = ones[:n]
-    else:
-        following = np.searchsorted(ones, ones + k + 1)
-        for i, step in enumerate(_walk(following, n)):
-            markers[i] = step
-        markers = ones[markers]
-    starts = np.r_[0, markers[:-1] + k + 1]
-    rest = np.zeros(n, np.int64)
-    for j in range(k):
-        rest = (rest << 1) | bits[markers + 1 + j]
-    return np.cumsum(((markers - starts) << k) | rest)
-
-
-def _walk(following: np.ndarray, n: int):
-    at, steps = 0, following.tolist()
-    for _ in range(n):
-        yield at
-        at = steps[at] if at < len(steps) else at
+    # a quotient sum is at most universe / 2**k, so the n-th marker lies within the head
+    ends = np.flatnonzero(bits[: n + (universe >> k) + 1])[:n]
+    start = int(ends[-1]) + 1
+    rest = bits[start : start + n * k].reshape(n, k).astype(np.int64) @ (1 << np.arange(k - 1, -1, -1, dtype=np.int64))
+    return np.cumsum((np.diff(ends, prepend=-1) - 1 << k) + rest)
