@@ -328,7 +328,9 @@ def test_links_find_all(spark, radius, monkeypatch):
                 x ^= 1 << int(b)
             values.add(x)
     nodes = sorted(values)
-    monkeypatch.setattr(simhash, "LARGE_SHARD", 16)
+    monkeypatch.setattr(simhash, "LARGE", 16)
+    monkeypatch.setattr(simhash, "LEADERS", 3)
+    monkeypatch.setattr(simhash, "BLOCK_NODES", 100)
     df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in nodes], "print long")
     got = {r["node"]: r["root"] for r in components(simhash.links(df, radius)).collect()}
     root = linked(nodes, lambda a, b: (a ^ b).bit_count() <= radius)
@@ -368,7 +370,9 @@ def test_similar_groups_keep_less_similar_texts(spark, slices, monkeypatch):
     rows += [(400 + k, " ".join([*base[: 5 * k], f"new{k}", *base[5 * k + 1 :]])) for k in range(30)]  # one group of near copies
     if slices:
         monkeypatch.setattr(simhash, "SHINGLES", 2000)
-        monkeypatch.setattr(simhash, "LARGE_SHARD", 8)
+        monkeypatch.setattr(simhash, "LARGE", 8)
+        monkeypatch.setattr(simhash, "LEADERS", 2)
+        monkeypatch.setattr(simhash, "BLOCK_ELEMENTS", 2500)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = dict(map(tuple, simhash.similar_groups(df, 1, 0.8).collect()))
     want = similar_words(rows)
@@ -386,8 +390,42 @@ def test_similar_groups_find_pairs_at_the_threshold(spark):
     assert len(set(want.values())) == 250 and all(got[i] in (i, want[i]) for i in want)
     missed = sum(got[i] != want[i] for i in want)
     assert missed <= 6  # 250 pairs, 1 in 100 expected at the threshold
-    masks = len(simhash.wide_masks(0.8))
-    assert simhash.expected_recall(masks, 0.8) >= 0.99 and simhash.expected_recall(masks, 0.85) >= 0.998
+    assert simhash.expected_recall(0.8) >= 0.99 and simhash.expected_recall(0.85) >= 0.998
+
+
+def test_similar_groups_edges(spark, docs, none):
+    """Nulls, empty and very long texts, repeated rows, null ids, extra columns, an empty table."""
+    from veclake.llm.simhash import distinct_by_both, similar_groups
+
+    got = similar_groups(docs, 5, 0.8).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in ROWS)
+    sets = [frozenset(zip(*(lower(t).split()[k:] for k in range(5)))) or frozenset([tuple(lower(t).split())] if words(t) else []) for _, t, *_ in ROWS]
+    root = linked(sets, lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b) > 0)
+    least = defaultdict(lambda: None)
+    for (i, *_), r in zip(ROWS, root):
+        if i is not None and (least[r] is None or i < least[r]):
+            least[r] = i
+    # a null id is the smallest and stands for its group
+    want = {}
+    for (i, *_), r in zip(ROWS, root):
+        want.setdefault(i, set()).add(least[r])
+    assert all(r["component_id"] in want[r["doc_id"]] for r in got if r["doc_id"] is not None)
+    assert similar_groups(none).count() == 0
+    out = distinct_by_both(docs, 3, 3, 5, 0.8)
+    assert out.columns == docs.columns and 0 < out.count() < len(ROWS) and distinct_by_both(none, 3, 3, 5, 0.8).count() == 0
+
+
+def test_bands_meet_with_the_similarity():
+    from veclake.llm.simhash import BAND, BANDS, bands_of
+
+    rng = np.random.default_rng(5)
+    met = 0
+    for _ in range(400):
+        h = rng.integers(0, 1 << 63, 220, dtype=np.uint64) * np.uint64(2)
+        a, b = np.unique(h[:200]), np.unique(h[20:])  # 180 of 220 in common
+        met += bool(set(bands_of(a)) & set(bands_of(b)))
+    assert met >= 400 * (1 - (1 - (180 / 220) ** BAND) ** BANDS) - 8
+    assert bands_of(np.zeros(0, np.uint64)) == [] and len(bands_of(np.ones(1, np.uint64))) == BANDS
 
 
 def test_components(spark):

@@ -18,8 +18,14 @@ from .components import components
 CHUNK_ROWS = 400_000
 #: Steps of the frontier of a search: bounds its arrays.
 FRONTIER = 2_000_000
-#: Shards of more fingerprints are searched by several tasks, each with the whole tree and a slice of the queries.
-LARGE_SHARD = 4096
+#: Shards (or classes) of more nodes are searched by all tasks, which get trees of a part of them by broadcast.
+LARGE = 16_384
+#: Nodes of a large shard that the others are held against first.
+LEADERS = 16
+#: Nodes whose trees are broadcast at once, and elements of their sets.
+BLOCK_NODES, BLOCK_ELEMENTS = 200_000, 2_000_000
+#: Rows of a table of large shards or of their nodes that is broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def fingerprints(shingle: int):
@@ -66,14 +72,14 @@ class Forest:
     shards descend together, one level a round.
     """
 
-    def __init__(self, prints: np.ndarray, first: np.ndarray):
-        """``prints``: a row of 64-bit parts for each node; ``first``: index of the first node of its shard, its root."""
-        self.prints, self.root = prints, first
+    def __init__(self, prints: np.ndarray, root: np.ndarray):
+        """``prints``: a row of 64-bit parts for each node; ``root``: index of the first node of its shard."""
+        self.prints = prints
         n, self.step = len(prints), 64 * prints.shape[1] + 1
-        at, active = first.copy(), np.flatnonzero(first != np.arange(n))
+        at, active = root.copy(), np.flatnonzero(root != np.arange(n))
         keys, children = [], []
         while len(active):
-            key = at[active] * self.step + self.apart(active, at[active])
+            key = at[active] * self.step + np.bitwise_count(prints[active] ^ prints[at[active]]).sum(1, dtype=np.int64)
             order = np.argsort(key, kind="stable")
             key, active = key[order], active[order]
             new = np.r_[True, key[1:] != key[:-1]]
@@ -85,16 +91,12 @@ class Forest:
         order = np.argsort(key)
         self.keys, self.child = key[order], child[order]
 
-    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hamming distances of nodes."""
-        return np.bitwise_count(self.prints[a] ^ self.prints[b]).sum(1, dtype=np.int64)
-
-    def links(self, queries: np.ndarray, radius: int):
-        """Arrays (query, node) of nodes within the radius, following only edges within it."""
-        query, node = queries, self.root[queries]
+    def links(self, prints: np.ndarray, roots: np.ndarray, radius: int):
+        """Arrays (query, node) of nodes within the radius of each query in its own tree, following only edges within it."""
+        query, node = np.arange(len(prints)), roots
         while len(query):
-            d = self.apart(query, node)
-            hit = (d <= radius) & (query != node)
+            d = np.bitwise_count(prints[query] ^ self.prints[node]).sum(1, dtype=np.int64)
+            hit = d <= radius
             if hit.any():
                 yield query[hit], node[hit]
             low = np.searchsorted(self.keys, node * self.step + np.maximum(d - radius, 0))
@@ -117,31 +119,29 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def _search(radius: int, parts: int):
-    """Sorted (mask, key, part, node, asks, print's parts) -> (node, root): a spanning forest of the links in each shard.
+def _pairs(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (a, b)], ["a", "b"])
 
-    With one part the node is the print itself.
-    """
 
-    def solve(mask, key, part, node, asks, *columns):
-        n = len(node)
-        new = np.r_[True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
-        start = np.flatnonzero(new)
-        size = np.diff(np.r_[start, n])
+def _in_shards(radius: int):
+    """Sorted (group, node, print's parts) -> (a, b): a spanning forest of the links in each shard."""
+
+    def solve(group, node, *parts):
+        new = np.r_[True, group[1:] != group[:-1]]
+        size = np.diff(np.r_[np.flatnonzero(new), len(node)])
         keep = np.repeat(size > 1, size)
-        node, asks, size = node[keep], asks[keep], size[size > 1]
+        node, size = node[keep], size[size > 1]
         if not len(node):
             return None
-        prints = np.stack([c[keep] for c in columns] or [node], axis=1).view(np.uint64)
-        first = np.repeat(np.cumsum(size) - size, size)
-        forest, label = Forest(prints, first), np.arange(len(prints))
-        queries = np.flatnonzero(asks)
-        work = np.cumsum(np.repeat(size, size)[queries]) // FRONTIER
-        for part_ in np.split(queries, np.flatnonzero(np.diff(work)) + 1):
-            for a, b in forest.links(part_, radius):
-                label = merge(label, a, b)
+        prints = np.stack([c[keep] for c in parts], axis=1).view(np.uint64)
+        root = np.repeat(np.cumsum(size) - size, size)
+        forest, label = Forest(prints, root), np.arange(len(prints))
+        work = np.cumsum(np.repeat(size, size)) // FRONTIER
+        for own in np.split(np.arange(len(prints)), np.flatnonzero(np.diff(work)) + 1):
+            for a, b in forest.links(prints[own], root[own], radius):
+                label = merge(label, own[a], b)
         linked = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], ["a", "b"]) if len(linked) else None
+        return _pairs([node[linked]], [node[label[linked]]]) if len(linked) else None
 
     def run(batches):
         held: list = []
@@ -150,17 +150,14 @@ def _search(radius: int, parts: int):
         def flush(last: bool):
             nonlocal held, rows
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            mask, key, part = columns[:3]
-            end = len(mask)
+            end = len(columns[0])
             if not last:  # the last shard may go on
-                same = (mask == mask[-1]) & (key == key[-1]) & (part == part[-1])
-                end = int(np.argmax(same))
-            held, rows = [[c[end:] for c in columns]], len(mask) - end
+                end = int(np.argmax(columns[0] == columns[0][-1]))
+            held, rows = [[c[end:] for c in columns]], len(columns[0]) - end
             return solve(*(c[:end] for c in columns)) if end else None
 
         for batch in batches:
-            kinds = (np.int32, np.int64, np.int32, np.int64, bool) + (np.int64,) * (parts if parts > 1 else 0)
-            held.append([batch.column(k).to_numpy(zero_copy_only=False).astype(t, copy=False) for k, t in enumerate(kinds)])
+            held.append([c.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in batch.columns])
             rows += batch.num_rows
             if rows >= CHUNK_ROWS and (out := flush(False)) is not None:
                 yield out
@@ -170,27 +167,160 @@ def _search(radius: int, parts: int):
     return run
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _tree_of(block: pa.Table, parts: int) -> tuple:
+    """What a broadcast holds of a block of rows: groups, the root of each, nodes, their trees, and their sets if they have some."""
+    block = block.combine_chunks().sort_by("group")
+    group, node, *prints = (block.column(k).to_numpy().astype(np.int64, copy=False) for k in range(2 + parts))
+    names, first = np.unique(group, return_index=True)
+    root = np.repeat(first, np.diff(np.r_[first, len(group)]))
+    sets = None
+    if block.num_columns > 2 + parts:
+        lists = block.column(2 + parts).combine_chunks()
+        sets = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))], lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    return names, first, node, Forest(np.stack(prints, axis=1).view(np.uint64), root), sets
+
+
+class _Found:
+    """The links between passing rows and a block's nodes, as a spanning forest: one edge a row, and what joins the block's nodes."""
+
+    def __init__(self, nodes: np.ndarray):
+        self.nodes, self.label, self.a, self.b = nodes, np.arange(len(nodes)), [], []
+
+    def start(self, rows: np.ndarray) -> None:
+        self.rows, self.first = rows, np.full(len(rows), -1)
+
+    def add(self, row: np.ndarray, node: np.ndarray) -> None:
+        fresh = np.flatnonzero(self.first[row] < 0)
+        who, at = np.unique(row[fresh], return_index=True)
+        self.first[who] = node[fresh[at]]
+        self.a.append(self.rows[who])
+        self.b.append(self.nodes[self.first[who]])
+        x, y = self.first[row], node
+        open_ = np.flatnonzero(self.label[x] != self.label[y])
+        if len(open_):
+            x, y = x[open_], y[open_]
+            _, at = np.unique(self.label[x] * len(self.nodes) + self.label[y], return_index=True)
+            self.a.append(self.nodes[x[at]])
+            self.b.append(self.nodes[y[at]])
+            self.label = merge(self.label, x[at], y[at])
+
+    def take(self) -> pa.RecordBatch:
+        out = _pairs(self.a, self.b)
+        self.a, self.b = [], []
+        return out
+
+
+def _past_trees(shared, radius: int, similarity: float | None):
+    """Rows that pass a block's trees -> (a, b) of links; with a similarity the sets of both ends must bear them out."""
+
+    def run(batches):
+        names, roots, nodes, forest, sets = shared.value
+        found, parts = _Found(nodes), forest.prints.shape[1]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                group, node, *prints = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for k in range(2 + parts))
+                place = np.minimum(np.searchsorted(names, group), max(len(names) - 1, 0))
+                own = np.flatnonzero(names[place] == group)
+                if not len(own):
+                    continue
+                found.start(node[own])
+                hits = forest.links(np.stack(prints, axis=1).view(np.uint64)[own], roots[place[own]], radius)
+                if similarity is None:
+                    for row, other in hits:
+                        found.add(row, other)
+                else:
+                    lists = batch.column(2 + parts).take(pa.array(own))
+                    _bear_out(found, list(hits), sets, lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), similarity)
+                yield found.take()
+
+    return run
 
 
-def _searched(rows: DataFrame, radius: int, parts: int) -> DataFrame:
-    """(mask, key, node and the print's parts) -> pairs (a, b) of nodes that connect all that are linked in a shard.
+def _bear_out(found: _Found, hits: list, sets: tuple, n: np.ndarray, flat: np.ndarray, similarity: float) -> None:
+    """Test candidate links exactly, but those that join what is joined."""
+    row, other = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (tuple(zip(*hits, strict=True)) or ((), ())))
+    start = np.cumsum(n) - n
+    for b in np.unique(other).tolist():
+        mine = row[other == b]
+        known = found.first[mine]
+        mine = mine[((known < 0) | (found.label[known] != found.label[b])) & (n[mine] > 0)]
+        own = sets[1][sets[0][b] : sets[0][b + 1]]
+        if not len(mine) or not len(own):
+            continue
+        size = n[mine]
+        first = np.cumsum(size) - size
+        values = flat[np.arange(int(size.sum())) + np.repeat(start[mine] - first, size)]
+        both = np.add.reduceat((own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values).astype(np.int64), first)
+        good = mine[both >= similarity * (size + len(own) - both) - 1e-9]
+        if len(good):
+            found.add(good, np.full(len(good), b))
 
-    Tasks build the trees of their shards and search each print in its own
-    shards only.  A large shard's tree is handed to several tasks, each of
-    which searches a slice of its prints.
+
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, a written table, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _through_blocks(rows: DataFrame, asked: DataFrame, parts: int, radius: int, similarity: float | None) -> list[DataFrame]:
+    """Links between all ``rows`` of large groups and those of ``asked``, whose trees are broadcast in blocks of a bounded size."""
+    elements = F.sum(F.size("shingles")) if similarity is not None else F.lit(0)
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(elements, F.lit(0)).alias("elements")).first()
+    blocks, out = max(-(-size["n"] // BLOCK_NODES), -(-size["elements"] // BLOCK_ELEMENTS)), []
+    for k in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(blocks)) == k).toArrow()
+        if block.num_rows:
+            shared = rows.sparkSession.sparkContext.broadcast(_tree_of(block, parts))
+            out.append(written(arrow(rows, _past_trees(shared, radius, similarity), "a long, b long"), "swept"))
+            shared.unpersist()
+    return out
+
+
+def _swept(rows: DataFrame, large: DataFrame, parts: int, radius: int, similarity: float | None = None) -> DataFrame:
+    """Pairs that connect all linked nodes of large groups, none of which is gathered or copied.
+
+    First all rows pass the trees of a few leaders of each group.  What they
+    link is one class for most groups of near copies.  Any link that is still
+    open has an end outside the class that most of its group belongs to, so
+    then all rows pass the trees of those nodes, block by block.
     """
-    more = [c for c in rows.columns if c not in ("mask", "key", "node")]
-    large = written(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE_SHARD), "large-shards")
+    rows = written(rows, "large-groups")
+    sizes = large.withColumnRenamed("group", "_group")
+    some = F.pmod(F.xxhash64("node", F.lit(1)), F.greatest(F.floor(F.col("n") / LEADERS), F.lit(1)))
+    edges = _through_blocks(rows, rows.join(_few(sizes), rows["group"] == sizes["_group"]).where(some == 0).select(rows.columns), parts, radius, similarity)
+    none = rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    classes = components(_union(edges, none)).select(F.col("node").alias("_node"), "root")
+    named = rows.select("group", "node").join(classes, rows["node"] == classes["_node"], "left").select("group", "node", F.coalesce("root", "node").alias("root"))
+    named = written(named, "named")
+    most = named.groupBy("group", "root").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("root", "n").alias("most"))
+    most = written(most.select(F.col("group").alias("_group"), "most"), "most")
+    rest = named.join(_few(most), named["group"] == most["_group"]).where("root <> most").select(F.col("group").alias("_group"), F.col("node").alias("_node"))
+    rest = written(rest, "rest")
+    asked = rows.join(_few(rest), (rows["group"] == rest["_group"]) & (rows["node"] == rest["_node"]), "left_semi")
+    return _union([*edges, *_through_blocks(rows, asked, parts, radius, similarity)], none)
+
+
+def _union(parts: list[DataFrame], none: DataFrame) -> DataFrame:
+    out = none
+    for part in parts:
+        out = out.union(part)
+    return out
+
+
+def _searched(rows: DataFrame, radius: int, parts: int) -> DataFrame:
+    """(group, node and the print's parts) -> pairs (a, b) of nodes that connect all that are linked in a shard."""
+    large = written(rows.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > LARGE), "large")
     if large.isEmpty():
-        dealt = rows.select("mask", "key", F.lit(0).alias("part"), "node", F.lit(True).alias("asks"), *more)
-    else:
-        slices = F.coalesce(F.ceil(F.col("n") / LARGE_SHARD), F.lit(1)).cast("int")
-        cut = rows.join(large, ["mask", "key"], "left").withColumn("slices", slices).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        dealt = cut.select("mask", "key", "part", "node", (F.pmod(F.xxhash64("node"), F.col("slices")) == F.col("part")).alias("asks"), *more)
-    by = ("mask", "key", "part")
-    return arrow(dealt.repartition(*by).sortWithinPartitions(*by), _search(radius, parts), "a long, b long")
+        return arrow(rows.repartition("group").sortWithinPartitions("group"), _in_shards(radius), "a long, b long")
+    few, names = _few(large), large.select(F.col("group").alias("_group"))
+    names = _few(names) if few is not large else names
+    small = rows.join(names, rows["group"] == names["_group"], "left_anti")
+    found = arrow(small.repartition("group").sortWithinPartitions("group"), _in_shards(radius), "a long, b long")
+    return found.union(_swept(rows.join(names, rows["group"] == names["_group"], "left_semi"), large, parts, radius))
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def links(prints: DataFrame, radius: int) -> DataFrame:
@@ -198,8 +328,8 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
 
     A shard holds the prints that agree on one of ``shard_masks``.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.col("print").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("key")) for k, m in enumerate(shard_masks(radius))])).alias("s")
-    return _searched(prints.select(F.col("print").alias("node"), each).select("s.mask", "s.key", "node"), radius, 1)
+    each = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("print").bitwiseAND(F.lit(_signed(m)).cast("long"))) for k, m in enumerate(shard_masks(radius))])).alias("group")
+    return _searched(prints.select(each, F.col("print").alias("node"), F.col("print").alias("p0")), radius, 1)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,14 +355,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 3, id_col:
 
 
 #: A longer print's bits, in parts of 64, and the bits that two prints of a candidate pair may differ in.
-WIDE_PARTS, WIDE_RADIUS = 4, 60
-WIDE_SCHEMA = "node long, size long, " + ", ".join(f"p{k} long" for k in range(WIDE_PARTS))
-#: Bits of a mask, whatever the number of prints: the pairs that meet do not depend on the corpus.
-MASK_BITS = 16
-#: Shingles of a slice of candidates that are compared at once.
+WIDE_PARTS, WIDE_RADIUS = 4, 56
+#: Shards of a document for the longer prints, and the least shingle hashes, each of its own range, that a shard's key is made of.
+BANDS, BAND = 8, 3
+_PRINTS = [f"p{k}" for k in range(WIDE_PARTS)]
+WIDE_SCHEMA = "node long, size long, " + ", ".join(f"{p} long" for p in _PRINTS) + ", bands array<long>"
+#: Elements of a class of candidates that one task compares.
 SHINGLES = 1 << 21
-#: Share of the pairs right at the similarity that become candidates, over all distances of their prints.
-WIDE_RECALL = 0.99
 
 
 def shingle_set(text, shingle: int) -> np.ndarray:
@@ -251,17 +380,44 @@ def _set_node(h: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(h.tobytes(), 42))
 
 
+def bands_of(h: np.ndarray) -> list[int]:
+    """Keys of the shards of a sorted set: BANDS hashes of BAND elements, each the first at or after the start of its own range.
+
+    An element is the least one of a range for two sets alike with the
+    probability of their similarity, and two sets meet if one band agrees in
+    all of its elements.  Sets with little in common share no key, whatever
+    the size of the corpus.
+    """
+    if not len(h):
+        return []
+    starts = np.arange(BANDS * BAND, dtype=np.uint64) * np.uint64((1 << 64) // (BANDS * BAND))
+    least = h[np.searchsorted(h, starts) % len(h)].astype("<u8").reshape(BANDS, BAND)
+    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), k)) for k, row in enumerate(least)]
+
+
+def expected_recall(similarity: float) -> float:
+    """Share of pairs of sets with this Jaccard similarity that meet in a shard within WIDE_RADIUS.
+
+    Such sets have cosine 2s / (1 + s), and their prints differ in each bit
+    with the angle's share of a half turn, so their distance is binomial.
+    """
+    n, differ = 64 * WIDE_PARTS, math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    within = sum(math.comb(n, d) * differ**d * (1 - differ) ** (n - d) for d in range(WIDE_RADIUS + 1))
+    return within * (1 - (1 - similarity**BAND) ** BANDS)
+
+
 def wide_fingerprints(shingle: int):
-    """(id, text) batches -> (id, node, size, p0..p3): hash and size of the set of shingles, and its print of WIDE_PARTS * 64 bits."""
+    """(id, text) batches -> (id, node, size, p0..p3, bands): hash and size of the set of shingles, its print of WIDE_PARTS * 64 bits, its shards."""
 
     def run(batches):
         for batch in batches:
             out = np.zeros((batch.num_rows, WIDE_PARTS), np.int64)
-            nodes, sizes = [], []
+            nodes, sizes, bands = [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 h = shingle_set(text, shingle)
                 nodes.append(_set_node(h))
                 sizes.append(len(h))
+                bands.append(bands_of(h))
                 for part in range(WIDE_PARTS if len(h) else 0):
                     if part:
                         h = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(part)
@@ -272,35 +428,11 @@ def wide_fingerprints(shingle: int):
                     for k in range(0, len(h), 65536):
                         ones += np.unpackbits(h[k : k + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                     out[row, part] = np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(c) for c in out.T]], ["id", "node", "size", *[f"p{k}" for k in range(WIDE_PARTS)]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(c) for c in out.T], pa.array(bands, pa.list_(pa.int64()))], ["id", "node", "size", *_PRINTS, "bands"])
 
     return run
 
 
-def expected_recall(masks: int, similarity: float) -> float:
-    """Share of pairs of sets with Jaccard ``similarity`` that are within WIDE_RADIUS and agree on one of so many masks.
-
-    Such sets have cosine 2s / (1 + s), and their prints differ in each bit
-    with the angle's share of a half turn, so their distance is binomial.
-    """
-    n, differ = 64 * WIDE_PARTS, math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return sum(math.comb(n, d) * differ**d * (1 - differ) ** (n - d) * (1 - (1 - math.comb(n - d, MASK_BITS) / math.comb(n, MASK_BITS)) ** masks) for d in range(WIDE_RADIUS + 1))
-
-
-def wide_masks(similarity: float) -> list[list[int]]:
-    """Random masks of MASK_BITS over the parts of a print, the least number that gives WIDE_RECALL."""
-    masks = 1
-    while expected_recall(masks, similarity) < WIDE_RECALL:
-        masks += 1
-        if masks > 1000:
-            raise ValueError(f"prints of {64 * WIDE_PARTS} bits do not find pairs of similarity {similarity}")
-    rng, out = np.random.default_rng(MASK_BITS), []
-    for _ in range(masks):
-        chosen = rng.choice(64 * WIDE_PARTS, MASK_BITS, replace=False).tolist()
-        out.append([sum(1 << (c % 64) for c in chosen if c // 64 == k) for k in range(WIDE_PARTS)])
-    return out
-
-
 def similar_pairs(prints: np.ndarray, sizes: np.ndarray, flat: np.ndarray, similarity: float):
     """Pairs of sets (their elements one after the other in ``flat``) that connect all within WIDE_RADIUS whose Jaccard similarity reaches the least one."""
     _, flat = np.unique(flat, return_inverse=True)
@@ -327,13 +459,13 @@ def similar_pairs(prints: np.ndarray, sizes: np.ndarray, flat: np.ndarray, simil
 
 
 def _verified(similarity: float):
-    """Sorted (class, part, node, p0..p3, shingles) -> (a, b): links of a class that its sets of shingles bear out."""
+    """Sorted (class, node, p0..p3, shingles) -> (a, b): links of a class that its sets of shingles bear out."""
 
     def solve(held):
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        class_, part, node, sizes, flat = *columns[:3], columns[-2], columns[-1]
-        prints = np.stack(columns[3:-2], axis=1).view(np.uint64)
-        edge = np.r_[np.flatnonzero(np.r_[True, (class_[1:] != class_[:-1]) | (part[1:] != part[:-1])]), len(node)]
+        class_, node, sizes, flat = *columns[:2], columns[-2], columns[-1]
+        prints = np.stack(columns[2:-2], axis=1).view(np.uint64)
+        edge = np.r_[np.flatnonzero(np.r_[True, class_[1:] != class_[:-1]]), len(node)]
         at = np.r_[0, np.cumsum(sizes)]
         a, b = [], []
         for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -341,7 +473,7 @@ def _verified(similarity: float):
                 i, j = similar_pairs(prints[x:y], sizes[x:y], flat[at[x] : at[y]], similarity)
                 a.append(node[x + i])
                 b.append(node[x + j])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b)], ["a", "b"])
+        return _pairs(a, b)
 
     def rows_of(batch):
         fixed = [c.to_numpy(zero_copy_only=False).astype(np.int64, copy=False) for c in batch.columns[:-1]]
@@ -351,10 +483,10 @@ def _verified(similarity: float):
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            class_, part = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
-            last = int(np.argmax((class_ == class_[-1]) & (part == part[-1]))) if len(class_) else 0
+            class_ = batch.column(0).to_numpy(zero_copy_only=False)
+            last = int(np.argmax(class_ == class_[-1])) if len(class_) else 0
             if held and n >= SHINGLES:  # what is held ends where another class starts
-                if len(class_) and (held[-1][0][-1], held[-1][1][-1]) != (class_[0], part[0]):
+                if len(class_) and held[-1][0][-1] != class_[0]:
                     yield solve(held)
                     held, n = [], 0
                 elif last:
@@ -373,16 +505,18 @@ def _borne_out(texts: DataFrame, sets: DataFrame, classes: DataFrame, shingle: i
     """Links (a, b) between sets of shingles in one candidate class, by their exact similarity.
 
     ``sets``: one row (node, id, size, print, p0..p3) a set; ``classes``: (node, root)
-    of prints.  Only texts in a class of two sets or more are read again.  A
-    class of more than SHINGLES is cut into slices that meet in pairs.
+    of prints.  Only texts in a class of two sets or more are read again, and
+    their sets move once.  A class of more than SHINGLES elements stays where it is and passes
+    the sets of others of its nodes in blocks.
     """
-    names = [f"p{k}" for k in range(WIDE_PARTS)]
     c = classes.select(F.col("node").alias("_print"), F.col("root").alias("_root"))
-    classed = written(sets.join(c, sets["print"] == c["_print"], "left").select(F.coalesce("_root", "print").alias("class"), "node", "id", "size", *names), "candidates")
-    large = F.greatest(F.ceil(F.sum("size") / SHINGLES), F.ceil(F.count("*") / LARGE_SHARD)).cast("int")
-    many = classed.groupBy("class").agg(F.count("*").alias("n"), large.alias("slices")).where("n > 1").select(F.col("class").alias("_class"), "slices")
-    asked = classed.join(many, classed["class"] == many["_class"]).select(F.col("id").alias("_id"), "class", "node", "slices", *names)
-    again = texts.join(asked, texts["id"].eqNullSafe(asked["_id"])).select("text", "class", "node", "slices", *names)
+    classed = written(sets.join(c, sets["print"] == c["_print"], "left").select(F.coalesce("_root", "print").alias("class"), "node", "id", "size", *_PRINTS), "candidates")
+    sizes = classed.groupBy("class").agg(F.count("*").alias("n"), F.sum("size").alias("elements")).where("n > 1")
+    sizes = written(sizes.withColumn("large", (F.col("elements") > SHINGLES) | (F.col("n") > LARGE)), "class-sizes")
+    many = sizes.select(F.col("class").alias("_class"), "large")
+    asked = written(classed.join(many, classed["class"] == many["_class"]).select(F.col("id").alias("_id"), F.col("class").alias("group"), "node", *_PRINTS, "large"), "asked")
+    a = _few(asked)
+    again = texts.join(a, texts["id"].eqNullSafe(a["_id"])).select("text", "group", "node", *_PRINTS, "large")
 
     def sets_of(batches):
         for batch in batches:
@@ -392,24 +526,23 @@ def _borne_out(texts: DataFrame, sets: DataFrame, classes: DataFrame, shingle: i
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(found[k]) for k in same]]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *[found[k] for k in same]]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([*[x.take(pa.array(same)) for x in batch.columns[1:]], lists], [*batch.schema.names[1:], "shingles"])
 
-    rows = arrow(again, sets_of, "class long, node long, slices int, " + ", ".join(f"{n} long" for n in names) + ", shingles array<long>")
-    own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: F.least(own, k) * F.col("slices") + F.greatest(own, k))
-    dealt = rows.select("class", F.explode(parts).alias("part"), "node", *names, "shingles")
-    return arrow(dealt.repartition("class", "part").sortWithinPartitions("class", "part"), _verified(similarity), "a long, b long")
+    rows = arrow(again, sets_of, "group long, node long, " + ", ".join(f"{n} long" for n in _PRINTS) + ", large boolean, shingles array<long>")
+    columns = ["group", "node", *_PRINTS, "shingles"]
+    large = sizes.where("large").select(F.col("class").alias("group"), "n")
+    if large.isEmpty():
+        return arrow(rows.select(columns).repartition("group").sortWithinPartitions("group"), _verified(similarity), "a long, b long")
+    rows = written(rows, "sets")
+    small = arrow(rows.where("not large").select(columns).repartition("group").sortWithinPartitions("group"), _verified(similarity), "a long, b long")
+    return small.union(_swept(rows.where("large").select(columns), large, WIDE_PARTS, WIDE_RADIUS, similarity))
 
 
 def _similar(texts: DataFrame, printed: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Rows of ``wide_fingerprints`` -> (one row a node, links between nodes): nodes are distinct sets of shingles."""
-    names = [f"p{k}" for k in range(WIDE_PARTS)]
-    sets = printed.groupBy("node").agg(F.min("id").alias("id"), *[F.first(n).alias(n) for n in ("size", *names)])
-    sets = written(sets.withColumn("print", F.xxhash64(*names)), "wide-nodes")
-    prints = written(sets.groupBy("print").agg(*[F.first(n).alias(n) for n in names]), "wide-distinct").withColumnRenamed("print", "node")
-    masks = wide_masks(similarity)
-    keys = [F.struct(F.lit(k).alias("mask"), F.xxhash64(*[F.col(n).bitwiseAND(F.lit(_signed(m)).cast("long")) for n, m in zip(names, mask, strict=True)]).alias("key")) for k, mask in enumerate(masks)]
-    rows = prints.select(F.explode(F.array(*keys)).alias("s"), "node", *names).select("s.mask", "s.key", "node", *names)
-    candidates = components(_searched(rows, WIDE_RADIUS, WIDE_PARTS))
-    return sets, _borne_out(texts, sets, candidates, shingle, similarity)
+    sets = printed.groupBy("node").agg(F.min("id").alias("id"), *[F.first(n).alias(n) for n in ("size", *_PRINTS, "bands")])
+    sets = written(sets.withColumn("print", F.xxhash64(*_PRINTS)), "wide-nodes")
+    rows = sets.select(F.explode("bands").alias("group"), F.col("print").alias("node"), *_PRINTS).dropDuplicates(["group", "node"])
+    candidates = components(_searched(written(rows, "shards"), WIDE_RADIUS, WIDE_PARTS))
+    return sets.drop("bands"), _borne_out(texts, sets.drop("bands"), candidates, shingle, similarity)
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -417,15 +550,16 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, i
 
     For shingle sets whose Jaccard similarity is ``similarity`` or more: their
     prints are 39 bits apart on average at 0.8, with a deviation of 6, so
-    WIDE_RADIUS takes all but a few in ten thousand, while texts that have
-    little in common are about 110 bits apart.  Prints meet in shards that
-    agree on one of many random masks, the same ones for any corpus;
-    WIDE_RECALL of the pairs at the threshold are expected to meet within the
-    radius, and more of the closer ones.  Prints only make candidates: a link is kept if the sets of shingles themselves are
+    WIDE_RADIUS takes nearly all, while texts that have little in common are
+    about 110 bits apart.  Prints meet in BANDS shards a document, whatever
+    the corpus (``bands_of``), and are searched there by BK-trees.  They only
+    make candidates: a link is kept if the sets of shingles themselves are
     similar enough, so documents are never joined by less than that.
+    ``expected_recall`` is the share of pairs that are found.
 
-    Null texts, ids and repeated rows as in ``near_duplicates``, but texts
-    without words are alike only among themselves.
+    Null texts, ids, repeated rows, extra columns and empty tables as in
+    ``near_duplicates``, but texts without words are alike only among
+    themselves.  Very long texts are whole sets like any other.
     """
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
