@@ -549,6 +549,42 @@ def test_mixing(docs, none):
     assert mix(none, F.col("source"), weights, 0.5, 1).count() == 0
 
 
+def test_mixing_leaves_out_weight_zero(spark, docs):
+    """A name of weight 0 at any level gets nothing, however much is short; a negative weight is an error."""
+    from veclake.llm.mixing import mix
+
+    for weights, gone in (({"domain": {"src0": 0}}, lambda r: r["source"] == "src0"), ({"lang": {"en": 0, "de": 0}}, lambda r: r["lang"] in ("en", "de")), ({"source": {"src1": 0, "src2": 0.0}}, lambda r: r["source"] in ("src1", "src2"))):
+        rows = mix(docs, F.col("source"), weights, 3.0, 2, 7).collect()
+        assert len(rows) == len(ROWS) and all(r["copies"] == (0 if gone(r) else 2) for r in rows if r["n_tokens"])
+    assert all(r["copies"] == 0 for r in mix(docs, F.lit("d"), {"domain": {"d": 0}}, 0.5, 2).collect())
+    with pytest.raises(ValueError, match="negative"):
+        mix(docs, F.lit("d"), {"lang": {"en": -1}}, 0.5, 1)
+
+
+def test_token_estimate_by_language(spark):
+    """The rate of a language makes estimates of whole languages right within a few hundredths."""
+    from veclake.llm.mixing import token_estimate
+    from veclake.llm.registry import MIX_BYTES
+
+    df = spark.createDataFrame([("en", "x" * 263), ("xx", "x" * 252), (None, "é" * 126), ("de", None), ("de", "")], "lang string, text string")
+    assert [r[0] for r in df.select(token_estimate(F.col("text"), F.col("lang"), MIX_BYTES)).collect()] == [100, 100, 100, 0, 0]
+    assert df.select(token_estimate(F.col("text"))).first()[0] == 66
+
+
+def test_mixing_hot_leaf(spark, monkeypatch):
+    """A leaf's last bin is cut again and again; repeated ids share one place."""
+    from veclake.llm import mixing
+
+    rng = np.random.default_rng(1)
+    rows = [(int(i), "x" * int(4 * n), "en", "s") for i, n in zip(rng.integers(0, 1500, 3000), rng.integers(1, 30, 3000))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = mixing.mix(df, F.lit("d"), {}, 0.4, 1, 5).collect()
+    monkeypatch.setattr(mixing, "LAST_ROWS", 1)
+    assert Counter(map(tuple, mixing.mix(df, F.lit("d"), {}, 0.4, 1, 5).collect())) == Counter(map(tuple, want))
+    taken = sum(r["n_tokens"] * r["copies"] for r in want)
+    assert 0 <= 0.4 * sum(len(r[1]) // 4 for r in rows) - taken < 200
+
+
 def test_budgets_redistribute(spark):
     """A short source's share goes to its siblings first; only a full language passes on to other languages."""
     from veclake.llm.mixing import budgets

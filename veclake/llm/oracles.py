@@ -35,28 +35,32 @@ FROM w LEFT JOIN r USING (doc_id)
 
 def _poured(name: str, source: str, parents: str, child: str, budget: str) -> str:
     by = f"PARTITION BY {parents}" if parents else ""
-    order = f"{by} ORDER BY cap / weight, {child}"
+    order = f"{by} ORDER BY ratio, {child}"
     return f"""
-{name}_a AS (SELECT *, ({budget} - coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT) / sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM {source}),
-{name}_b AS (SELECT *, min(CASE WHEN cap > level * weight THEN struct_pack(r := cap / weight, c := {child}, l := level) END) OVER ({by}) AS final FROM {name}_a),
-{name} AS (SELECT * EXCLUDE (level, final), (CASE WHEN final IS NULL THEN cap ELSE least(cap, floor(greatest(final.l, 0.0) * weight)) END)::BIGINT AS budget FROM {name}_b)"""
+{name}_r AS (SELECT *, CASE WHEN weight > 0 THEN cap / weight ELSE 0.0 END AS ratio FROM {source}),
+{name}_a AS (SELECT *, ({budget} - coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT) / nullif(sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS level FROM {name}_r),
+{name}_b AS (SELECT *, min(CASE WHEN cap > level * weight THEN struct_pack(r := ratio, c := {child}, l := level) END) OVER ({by}) AS final FROM {name}_a),
+{name} AS (SELECT * EXCLUDE (ratio, level, final), (CASE WHEN final IS NULL THEN cap ELSE least(cap, floor(greatest(final.l, 0.0) * weight)) END)::BIGINT AS budget FROM {name}_b)"""
 
 
-def _weight(column: str, weights: dict) -> str:
-    return "(CASE " + " ".join(f"WHEN {column} = '{k}' THEN {float(v)}" for k, v in weights.items()) + " ELSE 1.0 END)::DOUBLE" if weights else "1.0::DOUBLE"
+def _named(column: str, values: dict, other: float) -> str:
+    cases = " ".join(f"WHEN {column} = '{k}' THEN {float(v)}" for k, v in values.items() if k is not None)
+    return f"(CASE {cases} ELSE {other} END)::DOUBLE" if cases else f"{other}::DOUBLE"
 
 
-def mixing(weights: dict, share: float, epochs: int, seed: int) -> str:
+def mixing(weights: dict, share: float, epochs: int, seed: int, rates: dict) -> str:
+    of = {c: _named(c, weights.get(c, {}), 1.0) for c in ("domain", "lang", "source")}
     return f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce('d' || (try_cast(right(nullif(regexp_extract(source, '([0-9]+)$', 1), ''), 9) AS BIGINT) % 3)::VARCHAR, 'other') AS domain,
-                  ceil(coalesce(strlen(text), 0) / 4.0)::BIGINT AS n_tokens FROM documents),
-leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, (sum(n_tokens) * {epochs})::BIGINT AS cap FROM d GROUP BY ALL),
-dom AS (SELECT domain, sum(cap)::BIGINT AS cap, sum(tokens)::BIGINT AS tokens, {_weight('domain', weights.get('domain', {}))} AS weight FROM leaf GROUP BY domain),
+                  ceil(coalesce(strlen(text), 0) / {_named('lang', rates, rates[None])})::BIGINT AS n_tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, {of['source']} AS weight, (({of['source']} > 0)::INT * sum(n_tokens) * {epochs})::BIGINT AS cap FROM d GROUP BY domain, lang, source),
+lng AS (SELECT domain, lang, sum(tokens)::BIGINT AS tokens, {of['lang']} AS weight, (({of['lang']} > 0)::INT * sum(cap))::BIGINT AS cap FROM leaf GROUP BY domain, lang),
+dom AS (SELECT domain, sum(tokens)::BIGINT AS tokens, {of['domain']} AS weight, (({of['domain']} > 0)::INT * sum(cap))::BIGINT AS cap FROM lng GROUP BY domain),
 dom2 AS (SELECT *, floor(sum(tokens) OVER ()::BIGINT * {share}::DOUBLE)::BIGINT AS total FROM dom),
 {_poured('domains', 'dom2', '', 'domain', 'total')},
-lng AS (SELECT leaf.domain, leaf.lang, sum(leaf.cap)::BIGINT AS cap, {_weight('leaf.lang', weights.get('lang', {}))} AS weight, any_value(domains.budget) AS up FROM leaf JOIN domains ON leaf.domain IS NOT DISTINCT FROM domains.domain GROUP BY leaf.domain, leaf.lang),
-{_poured('langs', 'lng', 'domain', 'lang', 'up')},
-src AS (SELECT leaf.*, {_weight('leaf.source', weights.get('source', {}))} AS weight, langs.budget AS up FROM leaf JOIN langs ON leaf.domain IS NOT DISTINCT FROM langs.domain AND leaf.lang IS NOT DISTINCT FROM langs.lang),
+lng2 AS (SELECT lng.*, domains.budget AS up FROM lng JOIN domains ON lng.domain IS NOT DISTINCT FROM domains.domain),
+{_poured('langs', 'lng2', 'domain', 'lang', 'up')},
+src AS (SELECT leaf.*, langs.budget AS up FROM leaf JOIN langs ON leaf.domain IS NOT DISTINCT FROM langs.domain AND leaf.lang IS NOT DISTINCT FROM langs.lang),
 {_poured('sources', 'src', 'domain, lang', 'source', 'up')},
 p AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs FROM sources),
 o AS (SELECT d.*, p.epochs, p.budget - p.epochs * p.tokens AS rest, md5('{seed}:' || p.epochs || ':' || coalesce(d.doc_id::VARCHAR, '')) AS place
