@@ -453,16 +453,43 @@ def removed(rows, size=13):
     return out
 
 
+def longest(rows, size=13):
+    """For each row the largest of 13, 26, 52... words of a window that stands under another id too, by windows whose halves do."""
+    out, alive = [0] * len(rows), [set(range(len((t or "").split()))) for _, t, *_ in rows]
+    texts = [(t or "").encode().split() for _, t, *_ in rows]
+    while any(alive):
+        ids = defaultdict(set)
+        alive = [{k for k in own if k + size <= len(w)} for own, w in zip(alive, texts)]
+        for (i, *_), own, w in zip(rows, alive, texts):
+            for k in own:
+                ids[tuple(w[k : k + size])].add(i)
+        again = [{k for k in own if len(ids[tuple(w[k : k + size])]) > 1} for own, w in zip(alive, texts)]
+        for j, own in enumerate(again):
+            out[j] = size if own else out[j]
+        alive, size = [{k for k in own if k + size in own} for own in again], 2 * size
+    return out
+
+
 def test_substring_dedup(docs, none):
     from veclake.llm.substring_dedup import substring_dedup
 
     want = removed(ROWS)
-    assert Counter(map(tuple, substring_dedup(docs).collect())) == Counter(w[:4] for w in want)
-    texts = by_id(substring_dedup(docs, with_text=True).collect())
+    got = substring_dedup(docs, with_text=True).collect()
+    assert Counter(tuple(r)[:5] for r in got) == Counter((*w[:4], n) for w, n in zip(want, longest(ROWS)))
+    assert max(longest(ROWS)) > 100
+    texts = by_id(got)
     assert all(r["kept_text"] is None or r["kept_text"] in {w[4] for w in want if w[0] == i} for i, own in texts.items() for r in own)
     assert substring_dedup(none).count() == 0
 
 
+def test_substring_dedup_in_small_parcels(docs, monkeypatch):
+    """Passages within a parcel and between parcels come to the same."""
+    from veclake.llm import substring_dedup as s
+
+    monkeypatch.setattr(s, "PARCEL_CHARS", 2000)
+    assert Counter(map(tuple, s.substring_dedup(docs).collect())) == Counter((*w[:4], n) for w, n in zip(removed(ROWS), longest(ROWS)))
+
+
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 

@@ -22,14 +22,28 @@ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
 """
 
+#: Levels of substring deduplication that the SQL spells out: windows of up to 13 * 2**12 words.
+LEVELS = 13
+
+
+def _levels() -> str:
+    out = ["lv0 AS (SELECT doc_id, i, md5(s) AS h FROM win)"]
+    for k in range(LEVELS):
+        if k:
+            out.append(f"lv{k} AS (SELECT a.doc_id, a.i, md5(a.h || b.h) AS h FROM r{k - 1} a JOIN r{k - 1} b ON a.doc_id = b.doc_id AND b.i = a.i + {13 << (k - 1)})")
+        out.append(f"r{k} AS (SELECT doc_id, i, h FROM lv{k} JOIN (SELECT h FROM lv{k} GROUP BY h HAVING count(DISTINCT doc_id) > 1) USING (h))")
+    every = " UNION ALL ".join(f"SELECT doc_id, {13 << k} AS n FROM r{k}" for k in range(LEVELS))
+    return ", ".join(out) + f", longest AS (SELECT doc_id, max(n) AS longest_repeat FROM ({every}) GROUP BY doc_id)"
+
+
 SUBSTRING_DEDUP = f"""
-WITH {WORDS}, {windows(13)},
+WITH {WORDS}, {windows(13)}, {_levels()},
 f AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
 hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM win JOIN f USING (s) WHERE m < doc_id),
 r AS (SELECT doc_id, list(j) AS js, count(*) AS n FROM hit GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
-       sha256(array_to_string(list_filter(ws, lambda x, i: js IS NULL OR NOT list_contains(js, i)), ' ')) AS kept_sha256
-FROM w LEFT JOIN r USING (doc_id)
+       sha256(array_to_string(list_filter(ws, lambda x, i: js IS NULL OR NOT list_contains(js, i)), ' ')) AS kept_sha256, coalesce(longest_repeat, 0)::BIGINT AS longest_repeat
+FROM w LEFT JOIN r USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
 

@@ -1,14 +1,15 @@
 """Substring deduplication: windows of words that repeat, found level by level.
 
-Level one looks at windows of 7 words, level two at windows of 13, twice 7
-with one word shared, and only where a window of level one repeats.  Longer
-windows need no level of their own: a repeated one consists of repeated
-windows of 13 words, which already cover its words.
+The first level looks at all windows of WINDOW words.  Those that repeat, and
+they alone, are extended to twice their length where the window behind them
+repeats too, and so on until none is left.  Texts are written once, dealt to
+buckets by parcel, and never shuffled: only codes of windows and bitmaps move.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -18,24 +19,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import arrow, forget, shuffle_width, written
+from .common import arrow, scratch_root, shuffle_width, written
 from .golomb import decode, encode
 
-SHORT, WINDOW = 7, 13
+#: Words of a window that counts as repeated.
+WINDOW = 13
 #: Characters of the texts of one parcel.
 PARCEL_CHARS = 4_000_000
-#: Hash bits that level one exchanges; it only has to rule windows out.
-SHORT_BITS = 44
-#: Documents whose keys are broadcast at most, 8 bytes each.
-BROADCAST_KEYS = 4_000_000
-_PARCEL = "parcel long, bucket int, n int, codes binary, least binary, more binary, docs binary, places binary, new binary, keys binary, ids binary"
-_FIELDS = [x.split()[0] for x in _PARCEL.split(", ")]
-_TYPES = [pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 8
+#: Hash bits that find candidates; what is removed is told equal by 128 bits.
+CODE_BITS = 48
+#: What a row of a parcel is, besides the codes for a bucket (its number).
+DOCUMENT, ENTRIES, GONE, LONGEST = -1, -2, -3, -4
+_FIELDS = {"parcel": pa.int64(), "bucket": pa.int32(), "n": pa.int32(), "codes": pa.binary(), "least": pa.binary(), "more": pa.binary(), "docs": pa.binary(), "places": pa.binary(), "ranks": pa.binary(), "hashes": pa.binary(), "ids": pa.binary(), "at": pa.int32(), "id": pa.int64(), "text": pa.binary()}
+_SCHEMA = "parcel long, bucket int, n int, codes binary, least binary, more binary, docs binary, places binary, ranks binary, hashes binary, ids binary, at int, id long, text binary"
+_FOUND = "parcel long, bucket int, first binary, second binary"
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: bytes | None) -> list[bytes]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; none for null."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
+    return (text or b"").split()
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -46,262 +48,316 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def window_hashes(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of 7 and of 13 words that start at each word, by doubling."""
+def window_hashes(word: np.ndarray) -> np.ndarray:
+    """Hash of the windows of 13 words that start at each word, by doubling."""
     two = pair(word[:-1], word[1:])
     four = pair(two[:-2], two[2:])
-    seven = pair(four[:-3], four[3:])
-    return seven, pair(seven[:-6], seven[6:])
+    eight = pair(four[:-4], four[4:])
+    twelve = pair(eight[:-4], four[8:])
+    return pair(twelve[:-1], word[12:])
 
 
-def _hashes(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all texts in a row, the text of each word, and its place there."""
-    hash_ = xxhash.xxh64_intdigest
+def _windows(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """128-bit hashes (two parts) of the windows of all texts in a row, the text of each and its place there."""
+    hash_ = xxhash.xxh3_128_digest
     each = [words_of(t) for t in texts]
     n = np.fromiter(map(len, each), np.int64, len(each))
-    word = np.fromiter((hash_(w) for ws in each for w in ws), np.uint64, int(n.sum()))
-    return word, np.repeat(np.arange(len(each)), n), np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+    word = np.frombuffer(b"".join([hash_(w) for ws in each for w in ws]), "<u8").reshape(-1, 2)
+    if len(word) < WINDOW:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(each)), n)
+    place = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+    at = np.flatnonzero(doc[: len(doc) - WINDOW + 1] == doc[WINDOW - 1 :])
+    return window_hashes(word[:, 0].copy())[at], window_hashes(word[:, 1].copy())[at], doc[at], place[at]
 
 
-def minimizers(seven: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """Starts of the 7-word windows that are the least of the seven in some 13-word window.
+def _rows(rows: list[dict]) -> pa.Table:
+    return pa.table({k: pa.array([r.get(k) for r in rows], t) for k, t in _FIELDS.items()})
 
-    The choice depends on the 13 words only, so every repeated window of 13
-    words has a chosen window of 7 that repeats with it.
-    """
-    at = np.lib.stride_tricks.sliding_window_view(seven, 7)[: len(inside)].argmin(1) + np.arange(len(inside))
-    return np.unique(at[inside])
 
+def _codes(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CODE_BITS)).astype(np.int64)
 
-class _Parcels:
-    """Turns (hash, text, place) entries into one row for each bucket."""
-
-    def __init__(self, buckets: int, bits: int, exact: bool):
-        self.buckets, self.bits, self.exact, self.next = buckets, bits, exact, TaskContext.get().partitionId() << 24
-
-    def batch(self, code: np.ndarray, doc: np.ndarray, place: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((place, doc, code))
-        code, doc, place = code[order], doc[order], place[order]
-        span = -(-(1 << self.bits) // self.buckets)
-        inner = np.searchsorted(code, np.array([k * span for k in range(1, self.buckets)], np.uint64))
-        cuts = [0, *inner.tolist(), len(code)]
-        rows = [(self.next, -1, 0, None, None, None, None, None, None, keys.tobytes(), ids.tobytes())]
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if a == b:
-                continue
-            c, d = code[a:b], doc[a:b]
-            new = np.r_[True, c[1:] != c[:-1]]
-            start = np.flatnonzero(new)
-            low = np.minimum.reduceat(ids[d], start)
-            if self.exact:
-                codes, least, more = c[new].tobytes(), low.tobytes(), None
-            else:
-                codes, least, more = encode((c[new] - np.uint64(k * span)).astype(np.int64), span), None, np.packbits(np.maximum.reduceat(keys[d], start) != np.minimum.reduceat(keys[d], start)).tobytes()
-            rows.append((self.next, k, len(start), codes, least, more, d.astype("<u4").tobytes(), place[a:b].astype("<u4").tobytes(), np.packbits(new).tobytes(), None, None))
-        self.next += 1
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _FIELDS)
 
+def _cuts(codes: np.ndarray, buckets: int) -> tuple[int, list[int]]:
+    """The span of a bucket's codes, and where each bucket starts and ends in sorted codes."""
+    span = -(-(1 << CODE_BITS) // buckets)
+    return span, np.searchsorted(codes, np.arange(buckets + 1) * span).tolist()
 
-def _send_short(buckets: int):
-    """(key, id, text) -> parcels of the chosen 7-word windows."""
 
-    def run(batches):
-        parcels = _Parcels(buckets, SHORT_BITS, False)
-        for batch in batches:
-            keys, ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            for a, b in slices(texts, PARCEL_CHARS):
-                word, doc, place = _hashes(texts[a:b])
-                if len(word) < WINDOW:
-                    continue
-                seven, _ = window_hashes(word)
-                at = minimizers(seven, doc[: len(doc) - WINDOW + 1] == doc[WINDOW - 1 :])
-                if len(at):
-                    yield parcels.batch(seven[at] >> np.uint64(64 - SHORT_BITS), doc[at], place[at], keys[a:b], ids[a:b])
+def _asking(parcel: int, hashes: np.ndarray, of: np.ndarray, ids: np.ndarray, buckets: int) -> list[dict]:
+    """A row for each bucket: a parcel's distinct codes, and which of them texts of different ids have."""
+    order = np.argsort(hashes, kind="stable")
+    code, own = _codes(hashes[order]), ids[of[order]]
+    start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+    code = code[start]
+    more = np.maximum.reduceat(own, start) != np.minimum.reduceat(own, start) if len(start) else np.zeros(0, bool)
+    span, cuts = _cuts(code, buckets)
+    return [
+        {"parcel": parcel, "bucket": k, "n": b - a, "codes": encode(code[a:b] - k * span, span), "more": np.packbits(more[a:b]).tobytes()}
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
+        if a < b
+    ]
 
-    return run
+
+def _answers(hashes: np.ndarray, found: pa.Table, buckets: int) -> np.ndarray:
+    """What the buckets say of each of a parcel's hashes."""
+    code, back = np.unique(_codes(hashes), return_inverse=True)
+    flags = np.zeros(len(code), bool)
+    _, cuts = _cuts(code, buckets)
+    for k, bits in zip(found["bucket"].to_pylist(), found["first"].to_pylist(), strict=True):
+        flags[cuts[k] : cuts[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=cuts[k + 1] - cuts[k])
+    return flags[back]
 
 
-def _send_window(buckets: int):
-    """(key, id, text, places of repeated 7-word windows) -> parcels of the 13-word windows around them."""
+def _send(buckets: int):
+    """(id, text) -> the documents of a parcel and the codes of all their windows."""
 
     def run(batches):
-        parcels = _Parcels(buckets, 64, True)
+        parcel = TaskContext.get().partitionId() << 24
         for batch in batches:
-            keys, ids, texts, found = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in slices(texts, PARCEL_CHARS):
-                word, doc, place = _hashes(texts[a:b])
-                if len(word) < WINDOW:
-                    continue
-                _, thirteen = window_hashes(word)
-                n = np.bincount(doc, minlength=b - a)
-                first = np.cumsum(n) - n
-                at = np.concatenate([np.frombuffer(f, "<u4").astype(np.int64) + s for f, s in zip(found[a:b], first.tolist(), strict=True)])
-                near = np.zeros(len(thirteen) + 1, np.int64)  # windows that contain a repeated one
-                np.add.at(near, np.maximum(at - (WINDOW - SHORT), 0), 1)
-                np.add.at(near, np.minimum(at + 1, len(thirteen)), -1)
-                inside = doc[: len(thirteen)] == doc[WINDOW - 1 :]
-                at = np.flatnonzero((np.cumsum(near[:-1]) > 0) & inside)
-                if len(at):
-                    yield parcels.batch(thirteen[at], doc[at], place[at], keys[a:b], ids[a:b])
+                hashes, _, of, _ = _windows(texts[a:b])
+                rows = [{"parcel": parcel, "bucket": DOCUMENT, "at": k, "id": int(ids[a + k]), "text": texts[a + k]} for k in range(b - a)]
+                yield from _rows(rows + _asking(parcel, hashes, of, ids[a:b], buckets)).to_batches()
+                parcel += 1
 
     return run
 
 
-def _find(buckets: int, exact: bool):
-    """All parcels of some buckets -> for each parcel a bitmap of its hashes that count as repeated.
-
-    Level one: another parcel has the hash, or two texts of this one.  Level
-    two: another parcel has it with a smaller id than the least here.
-    """
+def _find(buckets: int):
+    """All parcels' codes of some buckets -> for each parcel a bitmap of those that another has too, or two ids of this one."""
+    span = -(-(1 << CODE_BITS) // buckets)
 
     def run(batches):
         got: dict[int, list] = {}
-        span = -(-(1 << SHORT_BITS) // buckets)
         for batch in batches:
-            for parcel, bucket, n, codes, least, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if exact:
-                    held = np.frombuffer(codes, "<u8"), np.frombuffer(least, "<i8")
-                else:
-                    held = decode(codes, n, span), np.unpackbits(np.frombuffer(more, np.uint8), count=n).astype(bool)
-                got.setdefault(bucket, []).append((parcel, *held))
+            for parcel, bucket, n, codes, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got.setdefault(bucket, []).append((parcel, n, codes, more))
         for bucket, own in got.items():
-            code = np.concatenate([c for _, c, _ in own])
-            other = np.concatenate([x for *_, x in own])
-            _, at, n = np.unique(code, return_inverse=True, return_counts=True)
-            if exact:
-                low = np.full(len(n), np.iinfo(np.int64).max)
-                np.minimum.at(low, at, other)
-                flags = low[at] < other
-            else:
-                flags = (n[at] > 1) | other
-            ends = np.cumsum([len(c) for _, c, _ in own])[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, *_ in own], pa.int64()), pa.array([bucket] * len(own), pa.int32()), pa.array([np.packbits(f).tobytes() for f in np.split(flags, ends)], pa.binary())], ["parcel", "bucket", "bitmap"])
+            code = np.concatenate([decode(c, n, span) for _, n, c, _ in own])
+            more = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for _, n, _, m in own]).astype(bool)
+            _, back, count = np.unique(code, return_inverse=True, return_counts=True)
+            flags = np.split((count[back] > 1) | more, np.cumsum([n for _, n, *_ in own])[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, *_ in own], pa.int64()), pa.array([bucket] * len(own), pa.int32()), pa.array([np.packbits(f).tobytes() for f in flags], pa.binary()), pa.nulls(len(own), pa.binary())], ["parcel", "bucket", "first", "second"])
 
     return run
 
 
-def _resolve(exact: bool):
-    """Rows of whole parcels, in order, with their bitmaps -> (key, places) of each text that has any."""
+def _find_exactly(batches):
+    """Parcels' 128-bit hashes of some buckets -> bitmaps: first, a smaller id than the least here has it; second, another id has it."""
+    got: dict[int, list] = {}
+    for batch in batches:
+        for parcel, bucket, codes, least, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            got.setdefault(bucket, []).append((parcel, np.frombuffer(codes, "<u8").reshape(-1, 2), np.frombuffer(least, "<i8"), more))
+    for bucket, own in got.items():
+        code, least = np.concatenate([c for _, c, *_ in own]), np.concatenate([x for *_, x, _ in own])
+        more = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(x)) for *_, x, m in own]).astype(bool)
+        order = np.lexsort((code[:, 1], code[:, 0]))
+        new = np.r_[True, (code[order][1:] != code[order][:-1]).any(1)]
+        start = np.flatnonzero(new)
+        low = np.empty(len(code), np.int64)
+        high = np.empty(len(code), np.int64)
+        low[order] = np.repeat(np.minimum.reduceat(least[order], start), np.diff(np.r_[start, len(code)]))
+        high[order] = np.repeat(np.maximum.reduceat(least[order], start), np.diff(np.r_[start, len(code)]))
+        some = np.empty(len(code), bool)
+        some[order] = np.repeat(np.logical_or.reduceat(more[order], start), np.diff(np.r_[start, len(code)]))
+        ends = np.cumsum([len(x) for *_, x, _ in own])[:-1]
+        bits = [[np.packbits(f).tobytes() for f in np.split(flags, ends)] for flags in (low < least, (low < high) | some)]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, *_ in own], pa.int64()), pa.array([bucket] * len(own), pa.int32()), *(pa.array(b, pa.binary()) for b in bits)], ["parcel", "bucket", "first", "second"])
+
+
+def _candidates(buckets: int):
+    """A parcel's documents and bitmaps -> its repeated windows, and their 128-bit hashes with the least id here for each bucket."""
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        if not rows.num_rows or not found.num_rows:
+            return _rows([])
+        rows = rows.sort_by("at")
+        parcel, ids = rows["parcel"][0].as_py(), rows["id"].to_numpy()
+        a, b, of, place = _windows(rows["text"].to_pylist())
+        keep = np.flatnonzero(_answers(a, found, buckets))
+        if not len(keep):
+            return _rows([])
+        a, b, of, place = a[keep], b[keep], of[keep], place[keep]
+        order = np.lexsort((b, a))
+        new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
+        start, rank = np.flatnonzero(new), np.empty(len(a), "<u4")
+        rank[order] = np.cumsum(new) - 1
+        least = np.minimum.reduceat(ids[of[order]], start)
+        more = np.maximum.reduceat(ids[of[order]], start) != least
+        codes = np.stack([a[order][start], b[order][start]], axis=1).astype("<u8")
+        _, cuts = _cuts(_codes(codes[:, 0]), buckets)
+        out = [
+            {"parcel": parcel, "bucket": k, "n": y - x, "codes": codes[x:y].tobytes(), "least": least[x:y].astype("<i8").tobytes(), "more": np.packbits(more[x:y]).tobytes()}
+            for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))
+            if x < y
+        ]
+        return _rows([*out, _entries(parcel, a, of, place, ids) | {"ranks": rank.tobytes()}])
 
-    def solve(rows):
-        keys = ids = None
-        parts: dict[int, dict] = {}
-        for bucket, docs, places, new, key, id_, bitmap in rows:
-            if bucket < 0:
-                keys, ids = np.frombuffer(key, "<i8"), np.frombuffer(id_, "<i8")
-            else:
-                part = parts.setdefault(bucket, {})
-                if bitmap is None:
-                    part |= {"docs": np.frombuffer(docs, "<u4"), "places": np.frombuffer(places, "<u4"), "new": new}
-                else:
-                    part["bitmap"] = bitmap
-        doc, place = [], []
-        for p in parts.values():
-            of = np.cumsum(np.unpackbits(np.frombuffer(p["new"], np.uint8), count=len(p["docs"]))) - 1
-            flags = np.unpackbits(np.frombuffer(p["bitmap"], np.uint8), count=int(of[-1]) + 1).astype(bool)[of]
-            if exact:  # the least id is in this parcel: its other texts repeat it
-                own = ids[p["docs"]]
-                low = np.minimum.reduceat(own, np.flatnonzero(np.r_[True, np.diff(of) > 0]))[of]
-                flags |= own > low
-            doc.append(p["docs"][flags])
-            place.append(p["places"][flags])
-        doc, place = np.concatenate(doc), np.concatenate(place)
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order].astype("<u4")
-        start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-        blobs = [x.tobytes() for x in np.split(place, start[1:])] if len(start) else []
-        return pa.RecordBatch.from_arrays([pa.array(keys[doc[start]]), pa.array(blobs, pa.binary())], ["key", "places"])
+    return run
 
-    def run(batches):
-        current, rows = None, []
-        for batch in batches:
-            for parcel, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if parcel != current and rows:
-                    yield solve(rows)
-                    rows = []
-                current = parcel
-                rows.append(row)
-        if rows:
-            yield solve(rows)
+
+def _entries(parcel: int, hashes: np.ndarray, of: np.ndarray, place: np.ndarray, ids: np.ndarray) -> dict:
+    """Windows in the order of their texts and places."""
+    return {"parcel": parcel, "bucket": ENTRIES, "hashes": hashes.tobytes(), "docs": of.astype("<u4").tobytes(), "places": place.astype("<u4").tobytes(), "ids": ids.astype("<i8").tobytes()}
+
+
+def _held(rows: pa.Table) -> tuple:
+    r = rows.slice(0, 1).to_pylist()[0]
+    return r["parcel"], np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["docs"], "<u4").astype(np.int64), np.frombuffer(r["places"], "<u4").astype(np.int64), np.frombuffer(r["ids"], "<i8"), r["ranks"]
+
+
+def _next_level(parcel: int, hashes: np.ndarray, of: np.ndarray, place: np.ndarray, ids: np.ndarray, length: int, buckets: int) -> list[dict]:
+    """Rows of a parcel's repeated windows of a length: the texts that have one, and those windows of twice the length whose halves both repeat."""
+    out = [{"parcel": parcel, "bucket": LONGEST, "n": length, "docs": np.unique(of).astype("<u4").tobytes()}]
+    at = (of << 32) | place
+    second = np.minimum(np.searchsorted(at, at + length), len(at) - 1)
+    both = np.flatnonzero(at[second] == at + length)
+    if len(both):
+        longer = pair(hashes[both], hashes[second[both]])
+        out += [_entries(parcel, longer, of[both], place[both], ids), *_asking(parcel, longer, of[both], ids, buckets)]
+    return out
+
+
+def _settle(buckets: int):
+    """A parcel's candidates and the exact answers -> the windows to remove, and the next level."""
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        if not rows.num_rows or not found.num_rows:
+            return _rows([])
+        parcel, hashes, of, place, ids, ranks = _held(rows)
+        rank = np.frombuffer(ranks, "<u4").astype(np.int64)
+        found = found.sort_by("bucket")
+        first, second = ([np.frombuffer(b, np.uint8) for b in found[c].to_pylist()] for c in ("first", "second"))
+        # distinct hashes are dealt in order, so the buckets' bits follow one another
+        code = np.zeros(int(rank.max()) + 1, np.uint64)
+        code[rank] = hashes
+        _, cuts = _cuts(_codes(code), buckets)
+        n = [cuts[k + 1] - cuts[k] for k in found["bucket"].to_pylist()]
+        below, repeated = (np.concatenate([np.unpackbits(b, count=m) for b, m in zip(bits, n, strict=True)]).astype(bool) for bits in (first, second))
+        least = np.full(len(code), np.iinfo(np.int64).max)
+        np.minimum.at(least, rank, ids[of])
+        gone = below[rank] | (ids[of] > least[rank])
+        out = [{"parcel": parcel, "bucket": GONE, "docs": of[gone].astype("<u4").tobytes(), "places": place[gone].astype("<u4").tobytes()}]
+        keep = np.flatnonzero(repeated[rank])
+        return _rows(out + (_next_level(parcel, hashes[keep], of[keep], place[keep], ids, WINDOW, buckets) if len(keep) else []))
 
     return run
 
 
-def _level(sent: DataFrame, exact: bool) -> DataFrame:
-    """Parcels -> (key, places of the windows that count as repeated), distinct by key."""
-    buckets = shuffle_width(sent.sparkSession)
-    ask = sent.where("bucket >= 0").select("parcel", "bucket", "n", "codes", "least" if exact else F.lit(None).cast("binary").alias("least"), "more")
-    found = arrow(ask.repartition(buckets, "bucket"), _find(buckets, exact), "parcel long, bucket int, bitmap binary")
-    none = F.lit(None).cast("binary")
-    back = sent.select("parcel", "bucket", "docs", "places", "new", "keys", "ids", none.alias("bitmap")).union(found.select("parcel", "bucket", none, none, none, none, none, "bitmap"))
-    rows = back.repartition(buckets, "parcel").sortWithinPartitions("parcel")
-    # rows that repeat an id and its text have one key and the same places
-    return arrow(rows, _resolve(exact), "key long, places binary").dropDuplicates(["key"])
+def _extend(length: int, buckets: int):
+    """A parcel's windows of a length and the answers -> the next level of those that repeat."""
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        if not rows.num_rows or not found.num_rows:
+            return _rows([])
+        parcel, hashes, of, place, ids, _ = _held(rows)
+        keep = np.flatnonzero(_answers(hashes, found, buckets))
+        return _rows(_next_level(parcel, hashes[keep], of[keep], place[keep], ids, length, buckets) if len(keep) else [])
 
+    return run
 
-def _with_text(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(key, id, text, places) of the documents that have any; few keys are broadcast so that only their texts move."""
-    few = places.count() <= BROADCAST_KEYS
-    keys = places.select(F.col("key").alias("_key"))
-    own = docs.join(F.broadcast(keys), docs["key"] == keys["_key"], "left_semi") if few else docs
-    other = places.select(F.col("key").alias("_key"), "places").hint("merge")
-    return own.join(other, own["key"] == other["_key"]).select("key", "id", "text", "places")
 
+def _finish(with_text: bool):
+    """A parcel's documents and what was found of them -> the result's rows."""
 
-def _summary(batches):
-    for batch in batches:
-        each = [words_of(t) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, each), pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in each])], ["key", "id", "n_words", "sha"])
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        rows = rows.sort_by("at")
+        texts, n = rows["text"].to_pylist(), rows.num_rows
+        longest, gone = np.zeros(n, np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for r in found.to_pylist():
+            docs = np.frombuffer(r["docs"], "<u4").astype(np.int64)
+            if r["bucket"] == GONE:
+                gone = docs, np.frombuffer(r["places"], "<u4").astype(np.int64)
+            else:
+                longest[docs] = np.maximum(longest[docs], r["n"])
+        at, out = np.searchsorted(gone[0], np.arange(n + 1)), []
+        for k, t in enumerate(texts):
+            kept = ws = words_of(t)
+            places = gone[1][at[k] : at[k + 1]]
+            if len(places):
+                near = np.zeros(len(ws) + 1, np.int64)
+                np.add.at(near, places, 1)
+                np.add.at(near, places + WINDOW, -1)
+                kept = [w for w, g in zip(ws, (np.cumsum(near[:-1]) > 0).tolist(), strict=True) if not g]
+            text = b" ".join(kept)
+            out.append((len(ws), len(ws) - len(kept), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "replace") if with_text and len(places) else None))
+        columns = list(zip(*out, strict=True)) or [[], [], [], []]
+        return pa.table({"id": rows["id"], "n_words": pa.array(columns[0], pa.int64()), "n_removed": pa.array(columns[1], pa.int64()), "kept_sha256": pa.array(columns[2], pa.string()), "longest_repeat": pa.array(longest), "kept_text": pa.array(columns[3], pa.string())})
+
+    return run
 
 
-def _cut(batches):
-    for batch in batches:
-        n, shas, kept_texts = [], [], []
-        for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            ws = words_of(text)
-            near = np.zeros(len(ws) + 1, np.int64)
-            at = np.frombuffer(places, "<u4")
-            np.add.at(near, at, 1)
-            np.add.at(near, at + WINDOW, -1)
-            gone = np.cumsum(near[:-1]) > 0
-            kept = b" ".join([w for w, g in zip(ws, gone.tolist(), strict=True) if not g])
-            n.append(int(gone.sum()))
-            shas.append(hashlib.sha256(kept).hexdigest())
-            kept_texts.append(kept.decode("utf-8", "replace"))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(kept_texts, pa.string())], ["key", "n_removed", "sha_kept", "kept_text"])
-
-
-def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents with key, id and text; key and places of the windows to remove)."""
-    width = shuffle_width(docs.sparkSession)
-    id_ = F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63)))
-    keyed = docs.select(F.xxhash64(id_, docs[text_col]).alias("key"), id_.alias("id"), docs[text_col].alias("text"))
-    sent = written(arrow(keyed, _send_short(width), _PARCEL), "short-windows")
-    short = written(_level(sent, False), "short-repeats")
-    forget(sent)
-    sent = written(arrow(_with_text(keyed, short), _send_window(width), _PARCEL), "windows")
-    places = written(_level(sent, True), "repeats")
-    forget(sent)
-    return keyed, places
+class _Parcels:
+    """Tables of parcels in the shared folder, dealt to buckets, so that joining them by parcel moves the smaller side alone."""
+
+    def __init__(self, spark):
+        self.spark, self.width = spark, shuffle_width(spark)
+
+    def write(self, df: DataFrame) -> tuple[DataFrame, str]:
+        name = f"parcels_{uuid.uuid4().hex}"
+        path = f"{scratch_root(self.spark).rstrip('/')}/{self.spark.sparkContext.applicationId}/{name}"
+        df.write.bucketBy(self.width, "parcel").format("parquet").option("path", path).saveAsTable(name)
+        return self.spark.table(name), name
+
+    def drop(self, name: str) -> None:
+        """Forget a table that nothing reads any more, files included."""
+        path = f"{scratch_root(self.spark).rstrip('/')}/{self.spark.sparkContext.applicationId}/{name}"
+        self.spark.sql(f"DROP TABLE {name}")
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def asked(self, table: DataFrame, run, *columns: str) -> DataFrame:
+        """What the buckets answer to the codes of a table."""
+        codes = table.where("bucket >= 0").select("parcel", "bucket", *columns)
+        return arrow(codes.repartition(self.width, "bucket"), run, _FOUND)
+
+    def joined(self, rows: DataFrame, found: DataFrame, run, schema: str = _SCHEMA) -> DataFrame:
+        """Each parcel's own rows beside what was found of it."""
+        return rows.groupBy("parcel").cogroup(found.groupBy("parcel")).applyInArrow(run, schema)
 
 
 def substring_dedup(docs: DataFrame, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_words, n_removed, kept_sha256 (and kept_text).
+    """One row per document: id, n_words, n_removed, kept_sha256, longest_repeat (and kept_text, where words went).
 
     A word goes if a window of 13 words that covers it also starts in a
-    document with a smaller id; windows are judged on the input.  Of each
-    level only hashes travel: every parcel of texts sends each bucket a hash
-    once, with the least id that has it, and gets a bitmap back, so a passage
-    that most documents share costs one entry for each parcel.
+    document with a smaller id; windows are judged on the input.
+    ``longest_repeat`` is the length of the last level, 13, 26, 52 and so on,
+    at which a window of the document stands under another id too; 0 without.
+
+    1. Each task writes its texts in parcels, and sends each bucket the coded
+       hashes of their windows, which answers with a bitmap of the repeated.
+    2. Those windows alone are told equal by 128 bits and by the least id.
+    3. Windows that repeat, with the window right behind them, make windows of
+       twice the length, which are asked for like the first, until none is left.
+
+    Every parcel sends a hash once, so a passage that most documents share
+    costs one entry for each parcel; no text moves, whatever the input.
 
     Ids are whole numbers.  Null text has no words.  A null id counts as the
     smallest; rows with one id do not remove each other's words, whether
     repeated or not; extra columns are not read; an empty table gives none.
     """
-    keyed, places = repeated_words(docs, id_col, text_col)
-    cut = arrow(_with_text(keyed, places).select("key", "text", "places"), _cut, "key long, n_removed long, sha_kept string, kept_text string")
-    cut = cut.select(F.col("key").alias("_key"), "n_removed", "sha_kept", *["kept_text"] * with_text).dropDuplicates(["_key"])
-    every = arrow(keyed, _summary, "key long, id long, n_words long, sha string")
-    out = every.join(cut, every["key"] == cut["_key"], "left")
-    columns = [F.nullif("id", F.lit(-(1 << 63))).alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("sha_kept", "sha").alias("kept_sha256")]
-    return out.select(*columns, *["kept_text"] * with_text)
+    spark = docs.sparkSession
+    parcels = _Parcels(spark)
+    buckets = parcels.width
+    slim = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63))).alias("id"), F.encode(F.coalesce(docs[text_col], F.lit("")), "UTF-8").alias("text"))
+    texts, _ = parcels.write(arrow(slim, _send(buckets), _SCHEMA))
+    documents = texts.where(f"bucket = {DOCUMENT}").select("parcel", "at", "id", "text")
+    table, old = parcels.write(parcels.joined(documents, parcels.asked(texts, _find(buckets), "n", "codes", "more"), _candidates(buckets)))
+    entries = ["parcel", "hashes", "docs", "places", "ids", "ranks"]
+    answers, run, length, found = parcels.asked(table, _find_exactly, "codes", "least", "more"), _settle(buckets), WINDOW, None
+    while True:
+        after, name = parcels.write(parcels.joined(table.where(f"bucket = {ENTRIES}").select(entries), answers, run))
+        told = written(after.where(F.col("bucket").isin(GONE, LONGEST)).select("parcel", "bucket", "n", "docs", "places"), "repeats")
+        parcels.drop(old)
+        found = told if found is None else found.union(told)
+        table, old, length = after, name, 2 * length
+        if table.where("bucket >= 0").isEmpty():
+            break
+        answers, run = parcels.asked(table, _find(buckets), "n", "codes", "more"), _extend(length, buckets)
+    parcels.drop(old)
+    out = parcels.joined(documents, found, _finish(with_text), "id long, n_words long, n_removed long, kept_sha256 string, longest_repeat long, kept_text string")
+    return out.select(F.nullif("id", F.lit(-(1 << 63))).alias(id_col), "n_words", "n_removed", "kept_sha256", "longest_repeat", *["kept_text"] * with_text)
