@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import arrow, shuffle_width
+from .common import arrow, shuffle_width, written
 
 #: Lengths of the n-grams, buckets they are hashed to, buckets that travel together.
 LENGTHS, BUCKETS, BLOCK = (1, 2, 3), 1 << 15, 256
 #: Added to each count.
 SMOOTHING = 0.5
-#: Languages at most: bounds the matrix that is collected and broadcast (4 bytes * BUCKETS each).
-MOST_LANGUAGES = 1000
+#: Languages whose matrix is collected and broadcast at once (4 bytes * BUCKETS each); more are scored block by block.
+AT_ONCE = 500
+#: Languages that a task counts at once (8 bytes * BUCKETS each).
+COUNTED = 200
 #: Characters that are worked on at once.
 CHARS = 1_000_000
 
@@ -52,6 +54,13 @@ def _count(batches):
     """(lang, text) -> (lang, block, docs, counts): a task's sums."""
     total: dict = {}
     docs: dict = {}
+
+    def sums():
+        rows = [(x, k, docs[x] if k == 0 else 0, v[k * BLOCK : (k + 1) * BLOCK].tobytes()) for x, v in total.items() for k in range(BUCKETS // BLOCK)]
+        total.clear()
+        docs.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["lang", "block", "docs", "counts"])
+
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for a, b in slices(texts, CHARS):
@@ -63,9 +72,10 @@ def _count(batches):
                 mine = total.setdefault(x, np.zeros(BUCKETS, np.int64))
                 for g, n in zip(grams, bounds, strict=True):
                     mine += np.bincount(g[np.repeat(of == k, n)], minlength=BUCKETS)
-    rows = [(x, k, docs[x] if k == 0 else 0, v[k * BLOCK : (k + 1) * BLOCK].tobytes()) for x, v in total.items() for k in range(BUCKETS // BLOCK)]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["lang", "block", "docs", "counts"])
+                if len(total) >= COUNTED:
+                    yield sums()
+    if total:
+        yield sums()
 
 
 def _merge(batches):
@@ -79,47 +89,36 @@ def _merge(batches):
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total]), pa.array([k[1] for k in total], pa.int32()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1].tobytes() for v in total.values()], pa.binary())], ["lang", "block", "docs", "counts"])
 
 
-def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log-probability matrix (language, bucket) and log-priors from all (lang, text) rows."""
+def fit(labelled: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """(lang, block, docs, counts) sums over all (lang, text) rows, written, and the documents of each language."""
     schema = "lang string, block int, docs long, counts binary"
-    n = labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
-    if n > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages: the matrix would outgrow its bound")
     sums = arrow(labelled.select("lang", "text"), _count, schema).repartition(shuffle_width(labelled.sparkSession), "lang", "block")
-    rows = arrow(sums, _merge, schema).toArrow()
-    names = sorted(set(rows["lang"].to_pylist()))
-    counts, docs = np.zeros((len(names), BUCKETS)), np.zeros(len(names))
-    for lang, block, d, c in zip(*(rows[x].to_pylist() for x in ("lang", "block", "docs", "counts")), strict=True):
-        k = names.index(lang)
-        counts[k, block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(c, np.int64)
-        docs[k] += d
-    p = (counts + SMOOTHING) / (counts + SMOOTHING).sum(1, keepdims=True)
-    return names, np.log(p).astype(np.float32), np.log(docs / max(docs.sum(), 1)) if len(names) else docs
-
-
-def predict(names: list[str], matrix: np.ndarray, prior: np.ndarray, texts: list) -> tuple[list[str], list[float]]:
-    """Most probable language of each text and its posterior probability."""
-    langs, scores = [], []
+    sums = written(arrow(sums, _merge, schema), "language-counts")
+    rows = sums.where("block = 0").select("lang", "docs").toArrow()
+    return sums, dict(sorted(zip(rows["lang"].to_pylist(), rows["docs"].to_pylist(), strict=True)))
+
+
+def matrix_of(sums: DataFrame, names: list[str]) -> np.ndarray:
+    """Log-probabilities (language, bucket) of some languages."""
+    rows = sums.where(F.col("lang").isin(names)).toArrow()
+    at, counts = {x: k for k, x in enumerate(names)}, np.zeros((len(names), BUCKETS))
+    for lang, block, c in zip(*(rows[x].to_pylist() for x in ("lang", "block", "counts")), strict=True):
+        counts[at[lang], block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(c, np.int64)
+    return np.log((counts + SMOOTHING) / (counts + SMOOTHING).sum(1, keepdims=True)).astype(np.float32)
+
+
+def logits(matrix: np.ndarray, prior: np.ndarray, texts: list) -> np.ndarray:
+    """(text, language): log-probability of the language and the text together."""
+    out = np.tile(prior, (len(texts), 1))
     for a, b in slices(texts, CHARS):
-        part = texts[a:b]
-        total = np.tile(prior, (len(part), 1))
-        if names:
-            grams, bounds = buckets_of(part)
-            for g, n in zip(grams, bounds, strict=True):
-                some = np.flatnonzero(n)
-                if len(some):
-                    start = (np.cumsum(n) - n)[some]
-                    for k in range(len(names)):
-                        total[some, k] += np.add.reduceat(matrix[k][g], start, dtype=np.float64)
-        for t, x in zip(part, total, strict=True):
-            if not names or t is None or not _letter(t):
-                langs.append("und")
-                scores.append(0.0)
-            else:
-                k = int(x.argmax())
-                langs.append(names[k])
-                scores.append(float(1 / np.exp(x - x[k]).sum()))
-    return langs, scores
+        grams, bounds = buckets_of(texts[a:b])
+        for g, n in zip(grams, bounds, strict=True):
+            some = np.flatnonzero(n)
+            if len(some):
+                start = (np.cumsum(n) - n)[some]
+                for k in range(len(prior)):
+                    out[a + some, k] += np.add.reduceat(matrix[k][g], start, dtype=np.float64)
+    return out
 
 
 def language_id(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -136,17 +135,32 @@ def language_id(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     empty table gives none.
     """
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"), held_out.alias("held_out"))
-    names, matrix, prior = fit(slim.where("not held_out and lang is not null and text is not null").select("lang", "text"))
-    shared = docs.sparkSession.sparkContext.broadcast((names, matrix, prior))
-
-    def run(batches):
-        for batch in batches:
-            langs, scores = predict(*shared.value, batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "held_out", "lang_pred", "score"])
-
+    sums, learned = fit(slim.where("not held_out and lang is not null and text is not null").select("lang", "text"))
+    names, total = list(learned), max(sum(learned.values()), 1)
     kind = dict(slim.dtypes)["id"]
-    out = arrow(slim.select("id", "held_out", "text"), run, f"id {kind}, held_out boolean, lang_pred string, score double")
-    return out.select(F.col("id").alias(id_col), "held_out", "lang_pred", "score")
+    # the best language so far, its log-probability, and the sum of all by its own
+    out = slim.select("id", "held_out", "text", F.lit(None).cast("string").alias("lang_pred"), F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("sum"))
+    for at in range(0, len(names), AT_ONCE):
+        part = names[at : at + AT_ONCE]
+        shared = docs.sparkSession.sparkContext.broadcast((part, matrix_of(sums, part), np.log([learned[x] / total for x in part])))
+
+        def run(batches, shared=shared):
+            names, matrix, prior = shared.value
+            for batch in batches:
+                texts, langs = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                top, total = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+                x = logits(matrix, prior, texts)
+                best = x.argmax(1)
+                mine = x[np.arange(len(texts)), best]
+                high = np.maximum(top, mine)
+                total = total * np.exp(top - high) + np.exp(x - high[:, None]).sum(1)
+                langs = [names[k] if m > t else old for k, m, t, old in zip(best.tolist(), mine.tolist(), top.tolist(), langs, strict=True)]
+                langs = ["und" if t is None or not _letter(t) else x for t, x in zip(texts, langs, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(langs, pa.string()), pa.array(high), pa.array(total)], batch.schema.names)
+
+        out = arrow(out, run, f"id {kind}, held_out boolean, text string, lang_pred string, top double, sum double")
+    lang = F.coalesce("lang_pred", F.lit("und"))
+    return out.select(F.col("id").alias(id_col), "held_out", lang.alias("lang_pred"), F.when(lang == "und", 0.0).otherwise(1 / F.col("sum")).alias("score"))
 
 
 def by_id(id_: Column, of: int = 4, part: int = 2) -> Column:

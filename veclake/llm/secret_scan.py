@@ -79,12 +79,12 @@ def _spelled(spans: Column) -> Column:
 
 
 def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, base spans, weak parts): one pass over the texts.  key tells rows apart by id and text."""
+    """(id, key, base spans, weak parts): one pass over the texts.  key, the id and a hash of the text, tells rows apart."""
     text = F.coalesce(docs[text_col], F.lit(""))
     none = F.array().cast(SPAN)
     base = [F.when(text.rlike(quick), found(text, pattern, k, group, least)).otherwise(none).alias(f"b{k}") for k, (quick, pattern, group, least) in enumerate(BASE.values())]
     weak = [F.when(text.rlike(pattern), found(text, pattern, len(BASE) + k)).otherwise(none) for k, (pattern, _) in enumerate(WEAK.values())]
-    return docs.select(docs[id_col].alias("id"), F.xxhash64(docs[id_col].cast("string"), text).alias("key"), *base, F.concat(*weak).alias("weak"))
+    return docs.select(docs[id_col].alias("id"), F.struct(docs[id_col].alias("id"), F.xxhash64(text).alias("hash")).alias("key"), *base, F.concat(*weak).alias("weak"))
 
 
 def linked(scan: DataFrame) -> DataFrame:
