@@ -3,7 +3,7 @@
 The first level looks at all windows of WINDOW words.  Those that repeat, and
 they alone, are extended to twice their length where the window behind them
 repeats too, and so on until none is left.  Texts are written once, dealt to
-buckets by parcel, and never shuffled: only codes of windows and bitmaps move.
+buckets by parcel, and never shuffled: only coded windows and bitmaps move.
 """
 
 from __future__ import annotations
@@ -19,20 +19,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import arrow, scratch_root, shuffle_width, written
+from .common import arrow, forget, scratch_root, shuffle_width, written
 from .golomb import decode, encode
 
 #: Words of a window that counts as repeated.
 WINDOW = 13
 #: Characters of the texts of one parcel.
 PARCEL_CHARS = 4_000_000
-#: Hash bits that find candidates; what is removed is told equal by 128 bits.
-CODE_BITS = 48
-#: What a row of a parcel is, besides the codes for a bucket (its number).
-DOCUMENT, ENTRIES, GONE, LONGEST = -1, -2, -3, -4
-_FIELDS = {"parcel": pa.int64(), "bucket": pa.int32(), "n": pa.int32(), "codes": pa.binary(), "least": pa.binary(), "more": pa.binary(), "docs": pa.binary(), "places": pa.binary(), "ranks": pa.binary(), "hashes": pa.binary(), "ids": pa.binary(), "at": pa.int32(), "id": pa.int64(), "text": pa.binary()}
-_SCHEMA = "parcel long, bucket int, n int, codes binary, least binary, more binary, docs binary, places binary, ranks binary, hashes binary, ids binary, at int, id long, text binary"
-_FOUND = "parcel long, bucket int, first binary, second binary"
+#: Hash bits that find candidates, beyond those that number the windows: one in so many powers of two is a candidate by chance.
+SPARE_BITS = 5
+#: What a row of a parcel is.
+DOCUMENT, FIRST, EXACT, ENTRIES, GONE, LONGEST = range(6)
+_FIELDS = {"parcel": pa.int64(), "kind": pa.int32(), "n": pa.int32(), "starts": pa.binary(), "lengths": pa.binary(), "hashes": pa.binary(), "ids": pa.binary()}
+_ROWS = "parcel long, kind int, n int, starts binary, lengths binary, hashes binary, ids binary"
+_ASKED = {"parcel": pa.int64(), "bucket": pa.int32(), "n": pa.int32(), "codes": pa.binary(), "rest": pa.binary(), "base": pa.int64(), "least": pa.binary(), "more": pa.binary()}
+_ASK = "parcel long, bucket int, n int, codes binary, rest binary, base long, least binary, more binary"
+_FOUND = "parcel long, kind int, bucket int, first binary, second binary"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -68,194 +70,241 @@ def _windows(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     doc = np.repeat(np.arange(len(each)), n)
     place = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
     at = np.flatnonzero(doc[: len(doc) - WINDOW + 1] == doc[WINDOW - 1 :])
-    return window_hashes(word[:, 0].copy())[at], window_hashes(word[:, 1].copy())[at], doc[at], place[at]
+    return *(window_hashes(word[:, k].copy())[at] for k in (0, 1)), doc[at], place[at]
 
 
-def _rows(rows: list[dict]) -> pa.Table:
-    return pa.table({k: pa.array([r.get(k) for r in rows], t) for k, t in _FIELDS.items()})
+def _table(rows: list[dict], fields: dict = _FIELDS) -> pa.Table:
+    return pa.table({k: pa.array([r.get(k) for r in rows], t) for k, t in fields.items()})
 
 
-def _codes(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - CODE_BITS)).astype(np.int64)
+def _runs(of: np.ndarray, place: np.ndarray) -> dict:
+    """Places of texts, in order, as runs."""
+    at = (of << 32) | place
+    first = np.flatnonzero(np.r_[True, np.diff(at) != 1]) if len(at) else np.zeros(0, np.int64)
+    return {"starts": at[first].astype("<i8").tobytes(), "lengths": np.diff(np.r_[first, len(at)]).astype("<u4").tobytes()}
 
 
-def _cuts(codes: np.ndarray, buckets: int) -> tuple[int, list[int]]:
-    """The span of a bucket's codes, and where each bucket starts and ends in sorted codes."""
-    span = -(-(1 << CODE_BITS) // buckets)
-    return span, np.searchsorted(codes, np.arange(buckets + 1) * span).tolist()
+def _unrun(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    starts, n = np.frombuffer(row["starts"], "<i8"), np.frombuffer(row["lengths"], "<u4").astype(np.int64)
+    at = np.repeat(starts, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return at >> 32, at & 0xFFFFFFFF
 
 
-def _asking(parcel: int, hashes: np.ndarray, of: np.ndarray, ids: np.ndarray, buckets: int) -> list[dict]:
-    """A row for each bucket: a parcel's distinct codes, and which of them texts of different ids have."""
-    order = np.argsort(hashes, kind="stable")
-    code, own = _codes(hashes[order]), ids[of[order]]
-    start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
-    code = code[start]
-    more = np.maximum.reduceat(own, start) != np.minimum.reduceat(own, start) if len(start) else np.zeros(0, bool)
-    span, cuts = _cuts(code, buckets)
-    return [
-        {"parcel": parcel, "bucket": k, "n": b - a, "codes": encode(code[a:b] - k * span, span), "more": np.packbits(more[a:b]).tobytes()}
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
-        if a < b
-    ]
+class Codes:
+    """The leading bits of hashes, dealt to buckets by ranges."""
 
+    def __init__(self, bits: int, buckets: int):
+        self.bits, self.buckets, self.span = bits, buckets, -(-(1 << bits) // buckets)
 
-def _answers(hashes: np.ndarray, found: pa.Table, buckets: int) -> np.ndarray:
-    """What the buckets say of each of a parcel's hashes."""
-    code, back = np.unique(_codes(hashes), return_inverse=True)
-    flags = np.zeros(len(code), bool)
-    _, cuts = _cuts(code, buckets)
-    for k, bits in zip(found["bucket"].to_pylist(), found["first"].to_pylist(), strict=True):
-        flags[cuts[k] : cuts[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=cuts[k + 1] - cuts[k])
-    return flags[back]
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def parts(self, codes: np.ndarray):
+        """(bucket, start, end) in sorted codes."""
+        cuts = np.searchsorted(codes, np.arange(self.buckets + 1) * self.span).tolist()
+        return [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
 
-def _send(buckets: int):
-    """(id, text) -> the documents of a parcel and the codes of all their windows."""
+    def coded(self, codes: np.ndarray, bucket: int) -> bytes:
+        return encode(codes - bucket * self.span, self.span)
 
-    def run(batches):
-        parcel = TaskContext.get().partitionId() << 24
-        for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for a, b in slices(texts, PARCEL_CHARS):
-                hashes, _, of, _ = _windows(texts[a:b])
-                rows = [{"parcel": parcel, "bucket": DOCUMENT, "at": k, "id": int(ids[a + k]), "text": texts[a + k]} for k in range(b - a)]
-                yield from _rows(rows + _asking(parcel, hashes, of, ids[a:b], buckets)).to_batches()
-                parcel += 1
+    def asking(self, parcel: int, hashes: np.ndarray, of: np.ndarray, ids: np.ndarray) -> list[dict]:
+        """A row for each bucket: a parcel's distinct codes, and which of them texts of different ids have."""
+        order = np.argsort(hashes, kind="stable")
+        code, own = self.of(hashes[order]), ids[of[order]]
+        start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+        code = code[start]
+        more = np.maximum.reduceat(own, start) != np.minimum.reduceat(own, start) if len(start) else np.zeros(0, bool)
+        return [{"parcel": parcel, "bucket": k, "n": b - a, "codes": self.coded(code[a:b], k), "more": np.packbits(more[a:b]).tobytes()} for k, a, b in self.parts(code)]
+
+    def answers(self, hashes: np.ndarray, found: list[dict]) -> np.ndarray:
+        """Which of a parcel's hashes the buckets have marked."""
+        code, back = np.unique(self.of(hashes), return_inverse=True)
+        flags, parts = np.zeros(len(code), bool), {k: (a, b) for k, a, b in self.parts(code)}
+        for r in found:
+            a, b = parts[r["bucket"]]
+            flags[a:b] = np.unpackbits(np.frombuffer(r["first"], np.uint8), count=b - a)
+        return flags[back]
+
+
+def _deal(batches):
+    """(id, text) -> the documents of parcels, numbered in each."""
+    parcel = TaskContext.get().partitionId() << 24
+    for batch in batches:
+        for a, b in slices(batch.column(1).to_pylist(), PARCEL_CHARS):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, parcel)), pa.array(np.arange(b - a, dtype=np.int32)), *batch.slice(a, b - a).columns], ["parcel", "at", "id", "text"])
+            parcel += 1
+
+
+def _send(codes: Codes):
+    """A parcel's documents -> the codes of all their windows."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("at")
+        hashes, _, of, _ = _windows(rows["text"].to_pylist())
+        return _table(codes.asking(rows["parcel"][0].as_py(), hashes, of, rows["id"].to_numpy()), _ASKED)
 
     return run
 
 
-def _find(buckets: int):
+def _find(codes: Codes, kind: int):
     """All parcels' codes of some buckets -> for each parcel a bitmap of those that another has too, or two ids of this one."""
-    span = -(-(1 << CODE_BITS) // buckets)
 
     def run(batches):
         got: dict[int, list] = {}
         for batch in batches:
-            for parcel, bucket, n, codes, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got.setdefault(bucket, []).append((parcel, n, codes, more))
+            for parcel, bucket, n, blob, more in zip(*(batch.column(c).to_pylist() for c in ("parcel", "bucket", "n", "codes", "more")), strict=True):
+                got.setdefault(bucket, []).append((parcel, n, blob, more))
         for bucket, own in got.items():
-            code = np.concatenate([decode(c, n, span) for _, n, c, _ in own])
+            code = np.concatenate([decode(c, n, codes.span) for _, n, c, _ in own])
             more = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for _, n, _, m in own]).astype(bool)
-            _, back, count = np.unique(code, return_inverse=True, return_counts=True)
-            flags = np.split((count[back] > 1) | more, np.cumsum([n for _, n, *_ in own])[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, *_ in own], pa.int64()), pa.array([bucket] * len(own), pa.int32()), pa.array([np.packbits(f).tobytes() for f in flags], pa.binary()), pa.nulls(len(own), pa.binary())], ["parcel", "bucket", "first", "second"])
+            order = np.argsort(code, kind="stable")
+            same = code[order][1:] == code[order][:-1]
+            more[order[1:][same]] = more[order[:-1][same]] = True
+            flags = np.split(more, np.cumsum([n for _, n, *_ in own])[:-1])
+            yield _answer(kind, bucket, [p for p, *_ in own], flags, [None] * len(own))
 
     return run
 
 
-def _find_exactly(batches):
-    """Parcels' 128-bit hashes of some buckets -> bitmaps: first, a smaller id than the least here has it; second, another id has it."""
-    got: dict[int, list] = {}
-    for batch in batches:
-        for parcel, bucket, codes, least, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            got.setdefault(bucket, []).append((parcel, np.frombuffer(codes, "<u8").reshape(-1, 2), np.frombuffer(least, "<i8"), more))
-    for bucket, own in got.items():
-        code, least = np.concatenate([c for _, c, *_ in own]), np.concatenate([x for *_, x, _ in own])
-        more = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(x)) for *_, x, m in own]).astype(bool)
-        order = np.lexsort((code[:, 1], code[:, 0]))
-        new = np.r_[True, (code[order][1:] != code[order][:-1]).any(1)]
-        start = np.flatnonzero(new)
-        low = np.empty(len(code), np.int64)
-        high = np.empty(len(code), np.int64)
-        low[order] = np.repeat(np.minimum.reduceat(least[order], start), np.diff(np.r_[start, len(code)]))
-        high[order] = np.repeat(np.maximum.reduceat(least[order], start), np.diff(np.r_[start, len(code)]))
-        some = np.empty(len(code), bool)
-        some[order] = np.repeat(np.logical_or.reduceat(more[order], start), np.diff(np.r_[start, len(code)]))
-        ends = np.cumsum([len(x) for *_, x, _ in own])[:-1]
-        bits = [[np.packbits(f).tobytes() for f in np.split(flags, ends)] for flags in (low < least, (low < high) | some)]
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, *_ in own], pa.int64()), pa.array([bucket] * len(own), pa.int32()), *(pa.array(b, pa.binary()) for b in bits)], ["parcel", "bucket", "first", "second"])
-
-
-def _candidates(buckets: int):
-    """A parcel's documents and bitmaps -> its repeated windows, and their 128-bit hashes with the least id here for each bucket."""
+def _answer(kind: int, bucket: int, parcels: list, first: list, second: list) -> pa.RecordBatch:
+    bits = [pa.array([None if f is None else np.packbits(f).tobytes() for f in flags], pa.binary()) for flags in (first, second)]
+    return pa.RecordBatch.from_arrays([pa.array(parcels, pa.int64()), pa.array([kind] * len(parcels), pa.int32()), pa.array([bucket] * len(parcels), pa.int32()), *bits], ["parcel", "kind", "bucket", "first", "second"])
+
+
+def _candidates(codes: Codes, rows: pa.Table, found: list[dict]) -> tuple:
+    """A parcel's windows that the first answers have marked, distinct hashes of them in order, and the place of each in these."""
+    rows = rows.sort_by("at")
+    a, b, of, place = _windows(rows["text"].to_pylist())
+    keep = np.flatnonzero(codes.answers(a, [r for r in found if r["kind"] == FIRST]))
+    a, b, of, place = a[keep], b[keep] >> np.uint64(32), of[keep], place[keep]
+    order = np.lexsort((b, a))
+    new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])][: len(a)]
+    rank = np.empty(len(a), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    start = np.flatnonzero(new)
+    return a, of, place, rank, order, start, a[order][start], b[order][start], rows["id"].to_numpy()
+
+
+def _ask_exactly(codes: Codes):
+    """A parcel's documents and the first answers -> the 96-bit hashes of its candidates for each bucket, with the least id that has each here."""
+    wide = Codes(62, codes.buckets)
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         if not rows.num_rows or not found.num_rows:
-            return _rows([])
-        rows = rows.sort_by("at")
-        parcel, ids = rows["parcel"][0].as_py(), rows["id"].to_numpy()
-        a, b, of, place = _windows(rows["text"].to_pylist())
-        keep = np.flatnonzero(_answers(a, found, buckets))
-        if not len(keep):
-            return _rows([])
-        a, b, of, place = a[keep], b[keep], of[keep], place[keep]
-        order = np.lexsort((b, a))
-        new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
-        start, rank = np.flatnonzero(new), np.empty(len(a), "<u4")
-        rank[order] = np.cumsum(new) - 1
-        least = np.minimum.reduceat(ids[of[order]], start)
-        more = np.maximum.reduceat(ids[of[order]], start) != least
-        codes = np.stack([a[order][start], b[order][start]], axis=1).astype("<u8")
-        _, cuts = _cuts(_codes(codes[:, 0]), buckets)
-        out = [
-            {"parcel": parcel, "bucket": k, "n": y - x, "codes": codes[x:y].tobytes(), "least": least[x:y].astype("<i8").tobytes(), "more": np.packbits(more[x:y]).tobytes()}
-            for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))
-            if x < y
-        ]
-        return _rows([*out, _entries(parcel, a, of, place, ids) | {"ranks": rank.tobytes()}])
+            return _table([], _ASKED)
+        _, of, _, _, order, start, a, b, ids = _candidates(codes, rows, found.to_pylist())
+        if not len(a):
+            return _table([], _ASKED)
+        own = ids[of[order]]
+        least = np.minimum.reduceat(own, start)
+        more, base = np.maximum.reduceat(own, start) != least, int(ids.min())
+        above = (least - base).astype(np.uint64)
+        # 62 bits are coded, the last two go with the 32 of the other hash
+        code, rest = wide.of(a), (a & np.uint64(3)) << np.uint64(32) | b
+        kind = "<u4" if int(above.max()) < 1 << 32 else "<u8"
+        out = []
+        for k, x, y in wide.parts(code):
+            out.append({"parcel": rows["parcel"][0].as_py(), "bucket": k, "n": y - x, "codes": wide.coded(code[x:y], k), "rest": rest[x:y].view("u1").reshape(-1, 8)[:, :5].tobytes(), "base": base, "least": above[x:y].astype(kind).tobytes(), "more": np.packbits(more[x:y]).tobytes()})
+        return _table(out, _ASKED)
 
     return run
 
 
-def _entries(parcel: int, hashes: np.ndarray, of: np.ndarray, place: np.ndarray, ids: np.ndarray) -> dict:
-    """Windows in the order of their texts and places."""
-    return {"parcel": parcel, "bucket": ENTRIES, "hashes": hashes.tobytes(), "docs": of.astype("<u4").tobytes(), "places": place.astype("<u4").tobytes(), "ids": ids.astype("<i8").tobytes()}
+def _find_exactly(codes: Codes):
+    """Parcels' hashes of some buckets -> bitmaps: first, a smaller id than the least here has it; second, another id has it."""
+    wide = Codes(62, codes.buckets)
 
+    def run(batches):
+        got: dict[int, list] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                got.setdefault(r["bucket"], []).append(r)
+        for bucket, own in got.items():
+            n = [r["n"] for r in own]
+            code = np.concatenate([decode(r["codes"], r["n"], wide.span) for r in own])
+            rest = np.zeros((len(code), 8), "u1")
+            rest[:, :5] = np.frombuffer(b"".join(r["rest"] for r in own), "u1").reshape(-1, 5)
+            rest = rest.view("<u8")[:, 0]
+            least = np.concatenate([np.frombuffer(r["least"], "<u4" if len(r["least"]) == 4 * r["n"] else "<u8").astype(np.int64) + r["base"] for r in own])
+            more = np.concatenate([np.unpackbits(np.frombuffer(r["more"], np.uint8), count=r["n"]) for r in own]).astype(bool)
+            order = np.lexsort((rest, code))
+            new = np.r_[True, (code[order][1:] != code[order][:-1]) | (rest[order][1:] != rest[order][:-1])]
+            start, group = np.flatnonzero(new), np.empty(len(code), np.int64)
+            group[order] = np.cumsum(new) - 1
+            low, high = np.minimum.reduceat(least[order], start)[group], np.maximum.reduceat(least[order], start)[group]
+            some = np.logical_or.reduceat(more[order], start)[group]
+            ends = np.cumsum(n)[:-1]
+            yield _answer(EXACT, bucket, [r["parcel"] for r in own], np.split(low < least, ends), np.split((low < high) | some, ends))
 
-def _held(rows: pa.Table) -> tuple:
-    r = rows.slice(0, 1).to_pylist()[0]
-    return r["parcel"], np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["docs"], "<u4").astype(np.int64), np.frombuffer(r["places"], "<u4").astype(np.int64), np.frombuffer(r["ids"], "<i8"), r["ranks"]
+    return run
 
 
-def _next_level(parcel: int, hashes: np.ndarray, of: np.ndarray, place: np.ndarray, ids: np.ndarray, length: int, buckets: int) -> list[dict]:
+def _next_level(parcel: int, hashes: np.ndarray, of: np.ndarray, place: np.ndarray, ids: np.ndarray, length: int) -> list[dict]:
     """Rows of a parcel's repeated windows of a length: the texts that have one, and those windows of twice the length whose halves both repeat."""
-    out = [{"parcel": parcel, "bucket": LONGEST, "n": length, "docs": np.unique(of).astype("<u4").tobytes()}]
+    if not len(hashes):
+        return []
+    texts = np.unique(of)
+    out = [{"parcel": parcel, "kind": LONGEST, "n": length, **_runs(texts, np.zeros_like(texts))}]
     at = (of << 32) | place
     second = np.minimum(np.searchsorted(at, at + length), len(at) - 1)
     both = np.flatnonzero(at[second] == at + length)
     if len(both):
-        longer = pair(hashes[both], hashes[second[both]])
-        out += [_entries(parcel, longer, of[both], place[both], ids), *_asking(parcel, longer, of[both], ids, buckets)]
+        out.append({"parcel": parcel, "kind": ENTRIES, "hashes": pair(hashes[both], hashes[second[both]]).tobytes(), "ids": ids.astype("<i8").tobytes(), **_runs(of[both], place[both])})
     return out
 
 
-def _settle(buckets: int):
-    """A parcel's candidates and the exact answers -> the windows to remove, and the next level."""
+def _settle(codes: Codes):
+    """A parcel's documents and all answers of the first length -> the windows to remove, and the next level."""
+    wide = Codes(62, codes.buckets)
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         if not rows.num_rows or not found.num_rows:
-            return _rows([])
-        parcel, hashes, of, place, ids, ranks = _held(rows)
-        rank = np.frombuffer(ranks, "<u4").astype(np.int64)
-        found = found.sort_by("bucket")
-        first, second = ([np.frombuffer(b, np.uint8) for b in found[c].to_pylist()] for c in ("first", "second"))
-        # distinct hashes are dealt in order, so the buckets' bits follow one another
-        code = np.zeros(int(rank.max()) + 1, np.uint64)
-        code[rank] = hashes
-        _, cuts = _cuts(_codes(code), buckets)
-        n = [cuts[k + 1] - cuts[k] for k in found["bucket"].to_pylist()]
-        below, repeated = (np.concatenate([np.unpackbits(b, count=m) for b, m in zip(bits, n, strict=True)]).astype(bool) for bits in (first, second))
-        least = np.full(len(code), np.iinfo(np.int64).max)
+            return _table([])
+        parcel, told = rows["parcel"][0].as_py(), found.to_pylist()
+        hashes, of, place, rank, _, _, a, _, ids = _candidates(codes, rows, told)
+        if not len(hashes):
+            return _table([])
+        below, repeated = np.zeros(len(a), bool), np.zeros(len(a), bool)
+        parts = {k: (x, y) for k, x, y in wide.parts(wide.of(a))}
+        for r in told:
+            if r["kind"] == EXACT:
+                x, y = parts[r["bucket"]]
+                below[x:y], repeated[x:y] = (np.unpackbits(np.frombuffer(r[c], np.uint8), count=y - x) for c in ("first", "second"))
+        least = np.full(len(a), np.iinfo(np.int64).max)
         np.minimum.at(least, rank, ids[of])
         gone = below[rank] | (ids[of] > least[rank])
-        out = [{"parcel": parcel, "bucket": GONE, "docs": of[gone].astype("<u4").tobytes(), "places": place[gone].astype("<u4").tobytes()}]
         keep = np.flatnonzero(repeated[rank])
-        return _rows(out + (_next_level(parcel, hashes[keep], of[keep], place[keep], ids, WINDOW, buckets) if len(keep) else []))
+        return _table([{"parcel": parcel, "kind": GONE, **_runs(of[gone], place[gone])}, *_next_level(parcel, hashes[keep], of[keep], place[keep], ids, WINDOW)])
+
+    return run
+
+
+def _held(row: dict) -> tuple:
+    return np.frombuffer(row["hashes"], "<u8"), *_unrun(row), np.frombuffer(row["ids"], "<i8")
+
+
+def _ask(codes: Codes):
+    """Windows of a later level -> their codes."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                hashes, of, _, ids = _held(row)
+                yield from _table(codes.asking(row["parcel"], hashes, of, ids), _ASKED).to_batches()
 
     return run
 
 
-def _extend(length: int, buckets: int):
+def _extend(codes: Codes, length: int):
     """A parcel's windows of a length and the answers -> the next level of those that repeat."""
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         if not rows.num_rows or not found.num_rows:
-            return _rows([])
-        parcel, hashes, of, place, ids, _ = _held(rows)
-        keep = np.flatnonzero(_answers(hashes, found, buckets))
-        return _rows(_next_level(parcel, hashes[keep], of[keep], place[keep], ids, length, buckets) if len(keep) else [])
+            return _table([])
+        row = rows.to_pylist()[0]
+        hashes, of, place, ids = _held(row)
+        keep = np.flatnonzero(codes.answers(hashes, found.to_pylist()))
+        return _table(_next_level(row["parcel"], hashes[keep], of[keep], place[keep], ids, length))
 
     return run
 
@@ -268,10 +317,10 @@ def _finish(with_text: bool):
         texts, n = rows["text"].to_pylist(), rows.num_rows
         longest, gone = np.zeros(n, np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for r in found.to_pylist():
-            docs = np.frombuffer(r["docs"], "<u4").astype(np.int64)
-            if r["bucket"] == GONE:
-                gone = docs, np.frombuffer(r["places"], "<u4").astype(np.int64)
+            if r["kind"] == GONE:
+                gone = _unrun(r)
             else:
+                docs = _unrun(r)[0]
                 longest[docs] = np.maximum(longest[docs], r["n"])
         at, out = np.searchsorted(gone[0], np.arange(n + 1)), []
         for k, t in enumerate(texts):
@@ -299,7 +348,7 @@ class _Parcels:
     def write(self, df: DataFrame) -> tuple[DataFrame, str]:
         name = f"parcels_{uuid.uuid4().hex}"
         path = f"{scratch_root(self.spark).rstrip('/')}/{self.spark.sparkContext.applicationId}/{name}"
-        df.write.bucketBy(self.width, "parcel").format("parquet").option("path", path).saveAsTable(name)
+        df.write.bucketBy(self.width, "parcel").format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
         return self.spark.table(name), name
 
     def drop(self, name: str) -> None:
@@ -309,12 +358,11 @@ class _Parcels:
         place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
-    def asked(self, table: DataFrame, run, *columns: str) -> DataFrame:
-        """What the buckets answer to the codes of a table."""
-        codes = table.where("bucket >= 0").select("parcel", "bucket", *columns)
-        return arrow(codes.repartition(self.width, "bucket"), run, _FOUND)
+    def told(self, asked: DataFrame, run) -> DataFrame:
+        """What the buckets answer."""
+        return written(arrow(asked.repartition(self.width, "bucket"), run, _FOUND), "answers")
 
-    def joined(self, rows: DataFrame, found: DataFrame, run, schema: str = _SCHEMA) -> DataFrame:
+    def joined(self, rows: DataFrame, found: DataFrame, run, schema: str = _ROWS) -> DataFrame:
         """Each parcel's own rows beside what was found of it."""
         return rows.groupBy("parcel").cogroup(found.groupBy("parcel")).applyInArrow(run, schema)
 
@@ -327,9 +375,9 @@ def substring_dedup(docs: DataFrame, with_text: bool = False, id_col: str = "doc
     ``longest_repeat`` is the length of the last level, 13, 26, 52 and so on,
     at which a window of the document stands under another id too; 0 without.
 
-    1. Each task writes its texts in parcels, and sends each bucket the coded
-       hashes of their windows, which answers with a bitmap of the repeated.
-    2. Those windows alone are told equal by 128 bits and by the least id.
+    1. Each task writes its texts in parcels, which send each bucket the coded
+       hashes of their windows, and get a bitmap of the repeated back.
+    2. Those windows alone are told equal by 96 bits and by the least id.
     3. Windows that repeat, with the window right behind them, make windows of
        twice the length, which are asked for like the first, until none is left.
 
@@ -340,24 +388,28 @@ def substring_dedup(docs: DataFrame, with_text: bool = False, id_col: str = "doc
     smallest; rows with one id do not remove each other's words, whether
     repeated or not; extra columns are not read; an empty table gives none.
     """
-    spark = docs.sparkSession
-    parcels = _Parcels(spark)
-    buckets = parcels.width
+    parcels = _Parcels(docs.sparkSession)
     slim = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63))).alias("id"), F.encode(F.coalesce(docs[text_col], F.lit("")), "UTF-8").alias("text"))
-    texts, _ = parcels.write(arrow(slim, _send(buckets), _SCHEMA))
-    documents = texts.where(f"bucket = {DOCUMENT}").select("parcel", "at", "id", "text")
-    table, old = parcels.write(parcels.joined(documents, parcels.asked(texts, _find(buckets), "n", "codes", "more"), _candidates(buckets)))
-    entries = ["parcel", "hashes", "docs", "places", "ids", "ranks"]
-    answers, run, length, found = parcels.asked(table, _find_exactly, "codes", "least", "more"), _settle(buckets), WINDOW, None
+    texts, _ = parcels.write(arrow(slim, _deal, "parcel long, at int, id long, text binary"))
+    # every window has a word of a byte and a blank at least
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    codes = Codes(min(62, max(20, (size // 2).bit_length() - 2 + SPARE_BITS)), parcels.width)
+    first = parcels.told(texts.groupBy("parcel").applyInArrow(_send(codes), _ASK), _find(codes, FIRST))
+    exact = parcels.told(texts.groupBy("parcel").cogroup(first.groupBy("parcel")).applyInArrow(_ask_exactly(codes), _ASK), _find_exactly(codes))
+    table, name = parcels.write(parcels.joined(texts, first.union(exact), _settle(codes)))
+    length, found = WINDOW, None
     while True:
-        after, name = parcels.write(parcels.joined(table.where(f"bucket = {ENTRIES}").select(entries), answers, run))
-        told = written(after.where(F.col("bucket").isin(GONE, LONGEST)).select("parcel", "bucket", "n", "docs", "places"), "repeats")
-        parcels.drop(old)
+        told = written(table.where(F.col("kind").isin(GONE, LONGEST)).select("parcel", "kind", "n", "starts", "lengths"), "repeats")
         found = told if found is None else found.union(told)
-        table, old, length = after, name, 2 * length
-        if table.where("bucket >= 0").isEmpty():
+        entries = table.where(f"kind = {ENTRIES}")
+        if entries.isEmpty():
+            parcels.drop(name)
             break
-        answers, run = parcels.asked(table, _find(buckets), "n", "codes", "more"), _extend(length, buckets)
-    parcels.drop(old)
-    out = parcels.joined(documents, found, _finish(with_text), "id long, n_words long, n_removed long, kept_sha256 string, longest_repeat long, kept_text string")
+        length *= 2
+        answers = parcels.told(arrow(entries, _ask(codes), _ASK), _find(codes, ENTRIES))
+        old = name
+        table, name = parcels.write(parcels.joined(entries, answers, _extend(codes, length)))
+        parcels.drop(old)
+        forget(answers)
+    out = parcels.joined(texts, found, _finish(with_text), "id long, n_words long, n_removed long, kept_sha256 string, longest_repeat long, kept_text string")
     return out.select(F.nullif("id", F.lit(-(1 << 63))).alias(id_col), "n_words", "n_removed", "kept_sha256", "longest_repeat", *["kept_text"] * with_text)
