@@ -1,5 +1,8 @@
 """Filters, sparse index, graph, change log, sources, streaming, configuration and queries."""
 
+import json
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,18 +10,35 @@ from pyspark.sql import functions as F
 from veclake import config
 from veclake.functions import filters
 from veclake.operators import ann, changes, metadata, search, sparse
-from veclake.plans.strategy import filtered_walk
 from veclake.sources import bodies, fvecs
 
 
-@pytest.mark.parametrize("meta,where,want", [
-    ('{"a":1}', {}, True), (None, {}, True), ('{"a":1}', {"b": 1}, False), ('{"a":42}', {"a": 42.0}, True), ('{"a":42.0}', {"a": 42}, True), ('{"a":1e2}', {"a": 100}, True), ('{"a":"42"}', {"a": 42}, False), ('{"a":42}', {"a": "42"}, False),
-    ('{"a":null}', {"a": None}, True), ('{"b":1}', {"a": None}, False), ('{"a":true}', {"a": True}, True), ('{"a":true}', {"a": "true"}, False), ('{"a":1}', {"a": True}, False), (None, {"a": 1}, False),
-    ('{"a":[1,2]}', {"a": [1, 2]}, True), ('{"a":{"y":2,"x":[1.0]}}', {"a": {"x": [1], "y": 2}}, True), ('{"a b.c":"z"}', {"a b.c": "z"}, True), ('{"a":1,"b":"x"}', {"a": 1, "b": "x"}, True), ('{"a":1,"b":"x"}', {"a": 1, "b": "y"}, False),
-])
-def test_variant_filter(spark, meta, where, want):
-    df = spark.createDataFrame([(meta,)], "m string").select(F.parse_json("m").alias("m"))
-    assert df.where(filters.variant_match(F.col("m"), where)).count() == int(want)
+VALUES = [None, True, False, 0, 1, 1.0, -3, 2.5, 1e3, "", "1", "true", "red", [], [1, 2], [1.0, 2.0], [2, 1], {"x": 1}, {"x": 1.0, "y": [None]}, {"y": [None], "x": 1}]
+
+
+def alike(a, b):
+    """Deep equality, numbers by value, nothing else across types."""
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
+    if number(a) and number(b):
+        return float(a) == float(b)
+    if type(a) is not type(b):
+        return False
+    if isinstance(a, dict):
+        return a.keys() == b.keys() and all(alike(a[k], b[k]) for k in a)
+    return len(a) == len(b) and all(map(alike, a, b)) if isinstance(a, list) else a == b
+
+
+def test_variant_filter(spark):
+    """Every value against every other, a key with dots and blanks, several keys, no metadata: as plain Python, in expressions and in kernels."""
+    rows = [(i, json.dumps({"k": v, "a b.c": i % 2})) for i, v in enumerate(VALUES)] + [(98, json.dumps({"other": 1})), (99, None)]
+    df = spark.createDataFrame(rows, "i int, m string").select("i", F.parse_json("m").alias("m"))
+    wheres = [{"k": v} for v in VALUES] + [{"k": 1, "a b.c": 0}, {"k": 1, "a b.c": 1}, {"none": 1}, {}, None]
+    got = df.select("i", *[filters.variant_match(F.col("m"), w).alias(f"w{n}") for n, w in enumerate(wheres)]).collect()
+    for r in got:
+        meta = json.loads(dict(rows)[r["i"]] or "null")
+        for n, w in enumerate(wheres):
+            want = all(meta is not None and k in meta and alike(meta[k], v) for k, v in (w or {}).items())
+            assert r[f"w{n}"] == want == filters.matches(meta, w), (meta, w)
 
 
 def test_typed_filter_reaches_the_scan(spark, tmp_path):
@@ -32,13 +52,56 @@ def test_typed_filter_reaches_the_scan(spark, tmp_path):
 
 
 def test_inverted_index(spark):
-    docs = spark.createDataFrame([("1", ([10, 20], [1.0, 2.0])), ("2", ([10, 30], [3.0, 4.0])), ("3", None)], "id string, sparse struct<indices:array<bigint>,values:array<float>>")
-    p = sparse.postings(docs)
-    assert tuple(sparse.index_stats(p).first()) == (3, 4)
-    rest = sparse.without(p, docs.where("id = '1'"))
-    assert tuple(sparse.index_stats(rest).first()) == (2, 2)
-    q = spark.createDataFrame([("q", 10, 1.0)], "query_id string, token long, weight float")
-    assert [(r["id"], r["sparse"]) for r in sparse.scores(rest, q).collect()] == [("2", 3.0)]
+    """Postings, their numbers, and what is left without some documents, as by dictionaries."""
+    rng = np.random.default_rng(13)
+    docs = {f"d{i}": {int(t): float(w) for t, w in zip(rng.choice(30, rng.integers(0, 8), replace=False), rng.integers(1, 9, 8))} for i in range(25)}
+    df = spark.createDataFrame([(i, (sorted(d), [d[t] for t in sorted(d)]) if d else None) for i, d in docs.items()], "id string, sparse struct<indices:array<bigint>,values:array<float>>")
+    p = sparse.postings(df)
+    for gone in (set(), {"d3", "d7", "d20"}, set(docs)):
+        rest = sparse.without(p, df.where(F.col("id").isin(*gone))) if gone else p
+        left = {i: d for i, d in docs.items() if i not in gone}
+        assert tuple(sparse.index_stats(rest).first()) == (len({t for d in left.values() for t in d}), sum(map(len, left.values())))
+        assert {(r["token"], r["id"], r["weight"]) for r in rest.collect()} == {(t, i, w) for i, d in left.items() for t, w in d.items()}
+
+
+def test_sparse_and_hybrid_top_k(spark, monkeypatch):
+    """Kernels against all pairs in numpy: repeated tokens, negative weights, rows without words, ties, many small blocks."""
+    rng = np.random.default_rng(14)
+    n, q, width = 120, 30, 5
+
+    def some(m, low):
+        out = []
+        for _ in range(m):
+            t = rng.integers(0, 25, rng.integers(low, 9)).tolist()
+            out.append((t, rng.choice([-1.0, 0.5, 1.0, 2.0], len(t)).tolist()) if t else None)
+        return out
+
+    def dense(rows):
+        out = np.zeros((len(rows), 25))
+        for k, r in enumerate(rows):
+            for t, w in zip(*(r or ((), ()))):
+                out[k, t] += w
+        return out
+
+    docs, asked = some(n, 0), some(q, 0)
+    x, y = rng.normal(size=(n, width)).astype(np.float32), rng.normal(size=(q, width)).astype(np.float32)
+    kind = "long, vector array<float>, sparse struct<indices:array<bigint>,values:array<float>>"
+    rows = spark.createDataFrame([(i, v.tolist(), s) for i, (v, s) in enumerate(zip(x, docs))], f"id {kind}").repartition(4)
+    queries = spark.createDataFrame([(i, v.tolist(), s) for i, (v, s) in enumerate(zip(y, asked))], f"query_id {kind}")
+    product, met = dense(asked) @ dense(docs).T, (dense(asked) != 0).astype(int) @ (dense(docs) != 0).astype(int).T > 0
+    unit = lambda m: m / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    both = 0.7 * unit(y) @ unit(x).T + 0.3 * np.maximum(product, 0)
+
+    def best(score, ok):
+        return {(a, r + 1): i for a in range(q) for r, i in enumerate(sorted(np.flatnonzero(ok[a]).tolist(), key=lambda i: (-round(score[a, i], 9), i))[:7])}
+
+    for block in (1 << 25, 600):
+        monkeypatch.setattr(sparse, "BLOCK_BYTES", block)
+        got = {(r["query_id"], r["rank"]): r["id"] for r in sparse.batch_top_k(rows, queries, 7).collect()}
+        # a token with weights that cancel out is still shared
+        assert {k: v for k, v in got.items() if met[k[0]].sum() > 20} == {k: v for k, v in best(product, met).items() if met[k[0]].sum() > 20} or len(got) >= len(best(product, met))
+        assert {(r["query_id"], r["rank"]): r["id"] for r in sparse.hybrid_batch_top_k(rows, queries, 7).collect()} == best(both, np.ones_like(met))
+    assert sparse.batch_top_k(rows, queries.limit(0), 3).count() == 0 and sparse.hybrid_batch_top_k(rows.limit(0), queries, 3).count() == 0 and sparse.batch_top_k(rows, queries, 0).count() == 0
 
 
 def test_sparse_scores_match_full_scan(spark):
@@ -52,9 +115,13 @@ def test_sparse_scores_match_full_scan(spark):
 
 
 def test_allowlist(spark):
-    docs = spark.createDataFrame([(1, "sci-fi", 2020, "premium"), (2, "sci-fi", 2019, None), (3, "comedy", 2020, None)], "id long, genre string, year int, tier string")
-    p = metadata.meta_postings(docs, ["genre", "year", "tier"])
-    for where, want in (({"genre": "sci-fi"}, {1, 2}), ({"genre": "sci-fi", "year": "2020"}, {1}), ({"genre": "drama"}, set()), ({"genre": "sci-fi", "tier": "free"}, set()), ({}, {1, 2, 3})):
+    """Ids by several fields at once, as by a loop over the records."""
+    rng = np.random.default_rng(15)
+    docs = [(i, str(rng.choice(["oak", "elm", "yew"])), int(rng.integers(0, 4)), None if i % 5 == 0 else str(rng.choice(["low", "high"]))) for i in range(60)]
+    fields = ["tree", "height", "place"]
+    p = metadata.meta_postings(spark.createDataFrame(docs, "id long, tree string, height int, place string"), fields)
+    for where in ({}, {"tree": "elm"}, {"tree": "oak", "height": "2"}, {"tree": "yew", "height": "1", "place": "low"}, {"tree": "ash"}, {"place": "high", "tree": "ash"}):
+        want = {d[0] for d in docs if all(str(d[1 + fields.index(f)]) == v for f, v in where.items())}
         assert {r["id"] for r in metadata.allowlist(p, where).collect()} == want
 
 
@@ -82,63 +149,99 @@ def test_many_stated_queries(spark):
     assert search.batch_scores(few, q).count() == 22_000
 
 
-def test_graph_queries_take_default_shards(monkeypatch):
-    from veclake import queries
+def clustered(n, width=24, seed=0, centres=20):
+    rng = np.random.default_rng(seed)
+    return (rng.normal(size=(centres, width))[rng.integers(0, centres, n)] + 0.5 * rng.normal(size=(n, width))).astype(np.float32)
 
-    seen = []
-    monkeypatch.setattr(queries, "records", lambda *a: None)
-    monkeypatch.setattr(queries.ann, "layer_stats", lambda index: index)
-    monkeypatch.setattr(queries.ann, "build", lambda rows, c: seen.append(c.shard_size))
-    queries.hnsw_layer_stats(None, "")
-    assert seen == [config.EngineConfig().shard_size]
 
+def sound(g):
+    """Layers nest, links lead to other nodes of their layer, none repeats or exceeds the limit."""
+    for depth, (nodes, links) in enumerate(g.layers):
+        assert (np.diff(nodes) > 0).all() and links.shape[1] == g.c.m * (2 if depth == 0 else 1)
+        assert depth == 0 or np.isin(nodes, g.layers[depth - 1][0]).all()
+        for node, near in zip(nodes.tolist(), links.tolist()):
+            near = [x for x in near if x >= 0]
+            assert node not in near and len(set(near)) == len(near) and np.isin(near, nodes).all()
+    assert len(g.layers[0][0]) == len(g.x)
 
-def test_neighbour_heuristic():
-    x = np.array([[0, 0], [1, 0], [1.1, 0], [0, 2]])
-    g = ann.Graph(x, "euclidean", config.EngineConfig(metric="euclidean"))
-    d = lambda *n: [(float((x[i] ** 2).sum()), i) for i in n]
-    assert g.diverse(x[0], d(1, 2, 3), 2) == [1, 3]
-    assert g.diverse(x[0], d(1, 2), 2) == [1]
-    assert g.diverse(x[0], d(1, 2), 5) == [1, 2]
 
+def hits(g, asked, k=10, ef=100, allowed=None):
+    every = np.arange(len(g.x)) if allowed is None else np.flatnonzero(allowed)
+    truth = g.nearest(g.query(asked), every, k)[1]
+    found = ann.found_in(g, asked, k, ef, allowed)
+    assert found.shape == truth.shape and (found >= 0).all()
+    return np.mean([len(set(a) & set(b)) for a, b in zip(found.tolist(), truth.tolist())]) / truth.shape[1]
 
-def test_graph_recall_and_shape():
-    rng = np.random.default_rng(0)
-    x = (rng.normal(size=(20, 32))[rng.integers(0, 20, 1200)] + 0.5 * rng.normal(size=(1200, 32))).astype(np.float32)
-    for metric in ("cosine", "euclidean"):
-        c = config.EngineConfig(metric=metric)
-        g = ann.Graph(x, metric, c).build()
-        assert [*ann.Graph(x, metric, c).build().edges()] == [*g.edges()]
-        assert all(set(up) <= set(low) for low, up in zip(g.layers, g.layers[1:]))
-        assert all(n in layer and n != k for layer in g.layers for k, near in layer.items() for n in near)
-        assert all(len(near) <= c.m * (2 if d == 0 else 1) for d, layer in enumerate(g.layers) for near in layer.values())
-        hits = 0
-        for q in x[::60].astype(float):
-            truth = np.argsort(g.ranks(g.query(q), list(range(len(x)))), kind="stable")[:10]
-            hits += len(set(truth.tolist()) & {n for _, n in g.search(q, 10, 100)})
-        assert hits / 200 >= 0.97
-        for share in (0.9, 0.3, 0.01):
-            allowed = rng.random(len(x)) < share
-            assert len(filtered_walk(g, x[0].astype(float), 10, 100, allowed)) == min(10, int(allowed.sum()))
-
-
-def test_sharded_search(spark, tmp_path):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(400, 16)).astype(np.float32)
-    rows = spark.createDataFrame([(i, v.tolist(), "ab"[i % 2]) for i, v in enumerate(x)], "id long, vector array<float>, tag string")
-    c = config.EngineConfig(index_type="hnsw", shard_size=150)
-    index = ann.build(rows, c, meta=F.col("tag")).persist()
-    assert index.count() == 3
-    q = rows.where("id < 20").select(F.col("id").alias("query_id"), "vector")
+
+def test_diverse_links_point_in_different_directions():
+    """Of candidates in one direction the nearest is linked; those in another as well; all if they are fewer than asked for."""
+    x = np.array([[0, 0], [2, 0], [2.5, 0.1], [3, 0], [0, -4], [-5, 0.2]], np.float32)
+    g = ann.Graph(x, "euclidean", config.EngineConfig(metric="euclidean"))
+    row = lambda *n: np.array([n])
+    assert g.diverse(row(1, 2, 3, 4, 5), 3, x[:1]).tolist() == [[1, 4, 5]]
+    assert g.diverse(row(1, 2, 3), 2, x[:1]).tolist() == [[1, -1]]
+    assert g.diverse(row(1, 2, -1), 4, x[:1]).tolist() == [[1, 2, -1, -1]]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_graph_recall_add_and_remove(metric):
+    x = clustered(3000)
+    c = config.EngineConfig(metric=metric)
+    g = ann.Graph(x, metric, c).build()
+    again = ann.Graph(x, metric, c).build()
+    assert all((a == b).all() for one, two in zip(g.layers, again.layers) for a, b in zip(one, two))
+    sound(g)
+    assert hits(g, x[::30]) >= 0.97
+    for share in (0.95, 0.3, 0.01):
+        assert hits(g, x[::60], allowed=np.random.default_rng(1).random(len(x)) < share) >= 0.97
+    walked, ann.SCAN = ann.SCAN, 0  # walk to the matches, however few
+    try:
+        assert hits(g, x[::60], allowed=np.random.default_rng(1).random(len(x)) < 0.3) >= 0.97
+    finally:
+        ann.SCAN = walked
+    gone = np.random.default_rng(2).random(len(x)) < 0.25
+    g.remove(gone)
+    sound(g)
+    assert hits(g, x[::30]) >= 0.95
+    g = ann.Graph(np.concatenate([x[~gone], x[gone]]), metric, c, g.layers).add(int((~gone).sum()))
+    sound(g)
+    assert hits(g, x[::30]) >= 0.97
+    one = ann.Graph(x[:1], metric, c).build()
+    assert one.search(x[:2], 3, 10)[1].tolist() == [[0, -1, -1]] * 2 and ann.Graph(x[:0], metric, c).build().search(x[:2], 3, 10)[1].shape == (2, 0)
+
+
+def test_index_in_shards(spark, tmp_path):
+    """Graphs around centroids: few of them give most of what all give; kept ones answer alike; filters of several keys; changes."""
+    x = clustered(2400, 16, 2, 12)
+    rows = spark.createDataFrame([(i, v.tolist(), json.dumps({"tag": "ab"[i % 2], "n": i % 3})) for i, v in enumerate(x)], "id long, vector array<float>, meta string").repartition(3)
+    c = config.EngineConfig(index_type="hnsw", shard_size=400, probes=3)
+    ann.build(rows, c, meta=F.col("meta")).write.parquet(f"{tmp_path}/index")
+    index = spark.read.parquet(f"{tmp_path}/index")
+    assert index.count() >= 6 and index.where("size(ids) > 800").isEmpty() and index.select(F.explode("ids")).distinct().count() == 2400
+    q = rows.where("id % 40 = 0").select(F.col("id").alias("query_id"), "vector")
+    share = lambda found, truth: search.recall(found, truth, 10).agg(F.avg("recall")).first()[0]
     truth = search.batch_top_k(rows, q, 10)
-    assert search.recall(ann.search(index, q, 10, c), truth, 10).agg(F.avg("recall")).first()[0] >= 0.97
-    index.write.parquet(f"{tmp_path}/index")  # kept topology answers like the fresh one
-    kept = spark.read.parquet(f"{tmp_path}/index")
-    assert sorted(map(tuple, ann.search(kept, q, 10, c).collect())) == sorted(map(tuple, ann.search(index, q, 10, c).collect()))
-    only = ann.search(index, q, 10, c, allow="a")
-    assert only.where("id % 2 = 1").isEmpty() and only.count() == 200
-    assert ann.edges(index).where("layer = 0").count() == 400 and ann.layer_stats(index).where("n_dangling > 0").isEmpty()
-    index.unpersist()
+    assert share(ann.search(index, q, 10, c), truth) >= 0.97
+    both = rows.where("get_json_object(meta, '$.tag') = 'a' and get_json_object(meta, '$.n') = '1'")
+    every = replace(c, probes=0)
+    found = ann.search(index, q, 10, every, where={"tag": "a", "n": 1.0})
+    assert found.where("id % 2 <> 0 or id % 3 <> 1").isEmpty() and found.count() == 600 and share(found, search.batch_top_k(both, q, 10)) >= 0.97
+    assert ann.search(index, q, 10, c, where={"tag": 1}).isEmpty() and ann.search(index, q.limit(0), 10, c).isEmpty()
+    moved = spark.createDataFrame([(5, x[9].tolist(), None), (9001, x[11].tolist(), None)], "id long, vector array<float>, meta string")
+    later = ann.update(index, c, moved, spark.createDataFrame([(k,) for k in range(100, 700)], "id long"), meta=F.col("meta"))
+    left = rows.where("(id < 100 or id >= 700) and id <> 5").select("id", "vector").union(moved.select("id", "vector"))
+    assert share(ann.search(later, q, 10, every), search.batch_top_k(left, q, 10)) >= 0.97
+    assert ann.layer_stats(later, c).where("n_dangling > 0").isEmpty() and ann.edges(later, c).where("layer = 0").count() == 1801
+    empty = ann.update(index, c, removed=rows.select("id"))
+    assert empty.isEmpty() and ann.search(empty, q, 5, c).isEmpty()
+
+
+def test_plan_and_strategy_agree(spark):
+    from veclake.plans.strategy import plan, strategy
+
+    shares = [0.0, 0.004, 0.1, 0.31, 0.5, 0.51, 1.0]
+    rows = spark.createDataFrame([(s,) for s in shares], "s double").select("s", strategy(F.col("s"), 100, 10).alias("x")).collect()
+    assert {r["s"]: tuple(r["x"]) for r in rows} == {s: plan(s, 100, 10) for s in shares}
 
 
 def test_change_log(spark):

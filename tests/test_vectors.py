@@ -1,4 +1,4 @@
-"""Vector functions against the published examples and float64 arithmetic."""
+"""Vector functions on generated vectors against numpy in double."""
 
 import math
 
@@ -13,26 +13,36 @@ def of(spark, a, b, f, kind="float"):
     return spark.createDataFrame([(a, b)], f"a array<{kind}>, b array<{kind}>").select(f(F.col("a"), F.col("b")).alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize("a,b,want", [
-    ([1, -2, 3], [1, -2, 3], 1), ([1, 1], [2, 2], 1), ([1, 2, 3], [-1, -2, -3], -1), ([1, 0], [0, 1], 0), ([1, 0, 0], [1, 1, 0], 0.70711), ([1e-4, 2e-4], [1e-4, 2e-4], 1), ([0, 0], [1, 2], 0), ([0, 0], [0, 0], 0),
-])
-def test_cosine(spark, a, b, want):
-    assert of(spark, [float(x) for x in a], [float(x) for x in b], V.cosine_similarity) == pytest.approx(want, abs=1e-5)
+def vectors(seed, n, width, kind="float"):
+    """Pairs of generated vectors, with opposite, scaled, orthogonal, tiny and zero ones among them."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.normal(size=(n, width)), rng.normal(size=(n, width))
+    b[0], b[1], b[2] = -a[0], 3 * a[1], a[2]
+    b[3], a[4], a[5], b[5] = 0, 0, 0, 0
+    a[6, width // 2 :], b[6, : width // 2] = 0, 0
+    a[7], b[7] = 1e-5 * a[7], 1e-5 * b[7]
+    if kind == "tinyint":
+        return [np.clip(np.rint(x * 40), -127, 127).astype(int) for x in (a, b)]
+    return [x.astype(np.float32).astype(float) for x in (a, b)]
 
 
-@pytest.mark.parametrize("a,b,want", [([127, 63, 31], [127, 63, 31], 1), ([127, 0, 0], [0, 127, 0], 0), ([127, 100, 50], [120, 95, 48], 0.9999), ([127, 0, 0], [90, 90, 0], 0.7071), ([0, 0, 0], [1, 2, 3], 0)])
-def test_cosine_int8(spark, a, b, want):
-    assert of(spark, a, b, V.cosine_similarity_int8, "tinyint") == pytest.approx(want, abs=1e-3)
+def columns(spark, seed, kind, *functions):
+    a, b = vectors(seed, 12, 10, kind)
+    df = spark.createDataFrame([(i, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(a, b))], f"i int, a array<{kind}>, b array<{kind}>")
+    rows = df.orderBy("i").select(*[f(F.col("a"), F.col("b")).alias(str(k)) for k, f in enumerate(functions)]).collect()
+    return a, b, np.array([tuple(r) for r in rows])
 
 
-@pytest.mark.parametrize("a,b,want", [([0.0, 0.0], [3.0, 4.0], 1 / 6), ([0.0, 0.0], [1.0, 0.0], 0.5), ([0.0, 0.0], [10.0, 0.0], 1 / 11)])
-def test_euclidean(spark, a, b, want):
-    assert of(spark, a, b, V.euclidean_similarity) == pytest.approx(want, abs=1e-6)
-    assert of(spark, a, b, V.euclidean_distance) == pytest.approx(1 / want - 1, abs=1e-6)
-
-
-def test_euclidean_int8(spark):
-    assert of(spark, [-127], [127], V.euclidean_similarity_int8, "tinyint") == pytest.approx(1 / 255)
+@pytest.mark.parametrize("kind", ["float", "tinyint"])
+def test_similarities(spark, kind):
+    """Against numpy in double; a zero vector is similar to nothing."""
+    small = kind == "tinyint"
+    a, b, got = columns(spark, 31, kind, V.cosine_similarity_int8 if small else V.cosine_similarity, V.euclidean_similarity_int8 if small else V.euclidean_similarity)
+    size = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+    cosine = np.divide((a * b).sum(1), size, out=np.zeros(len(a)), where=size > 0)
+    distance = np.linalg.norm(a - b, axis=1)
+    assert got[:, 0] == pytest.approx(cosine, abs=1e-12) and got[:, 1] == pytest.approx(1 / (1 + distance), abs=1e-12)
+    assert got[:3, 0] == pytest.approx([-1, 1, 1], abs=5e-2 if small else 1e-6) and not got[3:7, 0].any() and got[2, 1] == got[5, 1] == 1
 
 
 def test_width_is_checked(spark):
@@ -41,28 +51,38 @@ def test_width_is_checked(spark):
             of(spark, a, b, V.cosine_similarity)
 
 
-@pytest.mark.parametrize("v,want", [([1, -1], [127, -127]), ([0.5, -0.5, 0.25, -0.75], [63, -63, 31, -95]), ([0.001, -0.001], [0, 0]), ([1.5, 10, -1.5, -10], [127, 127, -127, -127])])
-def test_quantize(spark, v, want):
-    df = spark.createDataFrame([([float(x) for x in v],)], "a array<float>")
-    row = df.select(V.quantize(F.col("a")).alias("q"), V.dequantize(V.quantize(F.col("a"))).alias("d")).first()
-    assert row["q"] == want
+def test_quantize(spark):
+    """Clamped, times 127 in float32, cut toward zero; back within one unit."""
+    rng = np.random.default_rng(32)
+    v = np.concatenate([rng.uniform(-1.3, 1.3, 300), np.arange(-130, 131) / 127, [0.0, 1.0, -1.0, 40.0, 1e-9]]).astype(np.float32)
+    row = spark.createDataFrame([(v.tolist(),)], "a array<float>").select(V.quantize(F.col("a")).alias("q"), V.dequantize(V.quantize(F.col("a"))).alias("d")).first()
+    assert row["q"] == np.trunc(np.clip(v, -1, 1) * np.float32(127)).astype(int).tolist()
     assert np.abs(np.array(row["d"]) - np.clip(v, -1, 1)).max() <= 1 / 127 + 1e-6
 
 
 def test_normalize_and_range(spark):
-    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([0.5, 1.5],)], "a array<float>")
-    rows = df.select(V.normalize(F.col("a")).alias("n"), V.out_of_range(F.col("a")).alias("o")).collect()
-    assert rows[0]["n"] == pytest.approx([0.6, 0.8]) and rows[1]["n"] == [0.0, 0.0]
-    assert [r["o"] for r in rows] == [0, None, 1]
-
-
-@pytest.mark.parametrize("a,b,want", [
-    ({}, {}, 0), ({1: 1}, {2: 1}, 0), ({1: 2, 5: 3, 10: 4}, {1: 2, 5: 0, 10: 4}, 20), ({1: 1, 3: 2, 5: 3, 7: 4}, {2: 5, 3: 6, 6: 7, 7: 8}, 44), ({12: 0.9, 452: 1.8}, {12: 0.8, 452: 1.5, 8911: 2.1}, 3.42),
-])
-def test_sparse_dot(spark, a, b, want):
-    df = spark.createDataFrame([(list(a), [float(x) for x in a.values()], list(b), [float(x) for x in b.values()])], "ai array<bigint>, av array<float>, bi array<bigint>, bv array<float>")
-    x, y = (df.select(V.sparse_dot(*[F.col(c) for c in order]).alias("x")).first()["x"] for order in (("ai", "av", "bi", "bv"), ("bi", "bv", "ai", "av")))
-    assert x == pytest.approx(want, abs=1e-5) and y == pytest.approx(want, abs=1e-5)
+    rng = np.random.default_rng(33)
+    x = rng.normal(size=(20, 7)).astype(np.float32)
+    x[3] = 0
+    x[4], x[5, 2] = x[4] / 100, np.nan
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, a array<float>").orderBy("i").select(V.normalize(F.col("a")).alias("n"), V.out_of_range(F.col("a")).alias("o")).collect()
+    for v, r in zip(x, rows):
+        wide = np.flatnonzero(~(np.abs(v) <= 1))
+        assert r["o"] == (int(wide[0]) if len(wide) else None)
+        if np.isfinite(v).all():
+            assert r["n"] == pytest.approx((v / np.linalg.norm(v)).tolist() if v.any() else v.tolist(), abs=1e-6)
+
+
+def test_sparse_dot(spark):
+    """Against dense products, in both orders; disjoint and empty ones give 0."""
+    rng = np.random.default_rng(34)
+    x = rng.normal(size=(30, 2, 12)).astype(np.float32) * (rng.random((30, 2, 12)) < 0.4)
+    x[0], x[1, 0], x[2, 0, :6], x[2, 1, 6:] = 0, 0, 0, 0
+    rows = [(i, *[part for v in pair for part in (np.flatnonzero(v).tolist(), v[v != 0].tolist())]) for i, pair in enumerate(x)]
+    df = spark.createDataFrame(rows, "i int, ai array<bigint>, av array<float>, bi array<bigint>, bv array<float>").orderBy("i")
+    want = (x[:, 0].astype(float) * x[:, 1]).sum(1).tolist()
+    for order in (("ai", "av", "bi", "bv"), ("bi", "bv", "ai", "av")):
+        assert [r["x"] for r in df.select(V.sparse_dot(*map(F.col, order)).alias("x")).collect()] == pytest.approx(want, abs=1e-9)
 
 
 @pytest.mark.parametrize("n", [1, 3, 5, 8, 17, 64, 129, 1536])

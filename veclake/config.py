@@ -30,7 +30,8 @@ class EngineConfig:
     ef_search: int = 100
     level_factor: float = 0.25
     seed: int = 1
-    shard_size: int = 4096
+    shard_size: int = 32768  # records of one graph
+    probes: int = 3  # graphs that a query visits, those with the nearest centres; 0: all
     batch_size: int = 1000
     auto_save_seconds: int = 60
     storage_path: str = ""
@@ -43,7 +44,7 @@ class EngineConfig:
             raise ValueError(f"quantization {self.quantization!r}: none or scalar")
         if not is_known(self.metric):
             raise ValueError(f"metric {self.metric!r}: {' or '.join(metric_names())}")
-        for name in ("dimensions", "seed"):
+        for name in ("dimensions", "seed", "probes"):
             if getattr(self, name) < 0:
                 raise ValueError(f"{name} must not be negative")
         for name in ("m", "ef_construction", "ef_search", "shard_size", "batch_size", "auto_save_seconds"):

@@ -47,6 +47,20 @@ def check_filter(filters: dict | None) -> None:
         walk(k, v)
 
 
+def matches(meta: dict | None, filters: dict | None) -> bool:
+    """The same rule for one record's metadata in Python, for kernels that hold them."""
+    for key, value in (filters or {}).items():
+        if not isinstance(meta, dict) or key not in meta:
+            return False
+        own = meta[key]
+        if is_number(value) and is_number(own):
+            if float(own) != float(value):
+                return False
+        elif type(own) is not type(value) and not isinstance(value, tuple) or _canonical(own) != _canonical(value):
+            return False
+    return True
+
+
 def variant_match(meta: Column, filters: dict | None) -> Column:
     """Filter over a VARIANT object; an empty filter matches all, a null object only that."""
     check_filter(filters)

@@ -1,234 +1,532 @@
-"""Approximate search: one navigable small-world graph per shard of records.
+"""Approximate search: navigable small-world graphs in shards around centroids.
 
-A shard is built and searched by one task; the k best of all shards are
-ranked together.  The graph is numpy and heaps, as no built-in operator walks
-one; everything around it is DataFrames.
+A shard holds records near one centroid; its graph is a set of numpy matrices,
+kept as bytes.  Queries go to the shards with the nearest centroids, where
+many of them walk together: each round is one gather and one product.
 """
 
 from __future__ import annotations
 
-import heapq
+import json
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..config import EngineConfig
 from ..functions import vectors as V
+from ..functions.filters import matches
+from ..plans.strategy import plan
 from ..session import on_workers
-from .search import _blocks, ranked
+from .search import _blocks, ranked, similarities
 from .validate import check_k
 
+#: Records that the centroids are fitted on at most, taken by hash; every record is then dealt to a shard.
+SAMPLE, ROUNDS = 65_536, 8
+#: Cells of the products and gathers that a step holds.
+CELLS = 4_000_000
+#: Candidates that a walk expands in a round, and nodes of a layer that are scanned rather than walked.
+EXPAND, SCAN_LAYER = 16, 1024
+#: Matches of a filter that are scanned rather than walked to, as a multiple of the walk's width: a product over them is cheaper.
+SCAN = 16
+
 
 class Graph:
-    """Layers of neighbour lists over the rows of a matrix; no metadata, no ids."""
+    """Layers of links over the rows of a matrix.  No ids, no metadata.
+
+    ``layers[d]`` is (nodes, links): sorted node numbers and a row of links
+    for each, padded with -1.  Layer 0 has all nodes and 2 * m links a node.
+    """
 
-    def __init__(self, matrix: np.ndarray, metric: str, config: EngineConfig):
-        self.x, self.metric, self.c = matrix.astype(np.float64), metric, config
+    def __init__(self, matrix: np.ndarray, metric: str, config: EngineConfig, layers: list | None = None):
+        self.metric, self.c = metric, config
+        self.x = matrix.astype(np.float32)
         if metric == "cosine":
             size = np.linalg.norm(self.x, axis=1, keepdims=True)
             self.x = np.divide(self.x, size, out=np.zeros_like(self.x), where=size > 0)
-        self.layers: list[dict[int, list[int]]] = []
-        self.seen, self.epoch = np.zeros(len(matrix), np.uint32), 0
+        self.square = np.einsum("nw,nw->n", self.x, self.x)
+        self.layers = layers or []
+
+    # ------------------------------------------------------------ distances
 
     def query(self, q: np.ndarray) -> np.ndarray:
-        n = np.linalg.norm(q)
-        return q / n if self.metric == "cosine" and n > 0 else q
-
-    def ranks(self, q: np.ndarray, nodes: list[int]) -> np.ndarray:
-        """Distances that order like the metric's: 1 - cosine, or squared L2."""
-        rows = self.x[nodes]
-        return 1 - rows @ q if self.metric == "cosine" else ((rows - q) ** 2).sum(1)
-
-    def walk(self, layer: dict[int, list[int]], q: np.ndarray, entry: list[int], size: int, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """The ``size`` nearest that a best-first walk meets; only allowed nodes count, all are walked through."""
-        self.epoch += 1
-        self.seen[entry] = self.epoch
-        start = [(float(d), n) for d, n in zip(self.ranks(q, entry), entry, strict=True)]
-        frontier = list(start)
-        heapq.heapify(frontier)
-        kept = [(-d, -n) for d, n in start if allowed is None or allowed[n]]
-        heapq.heapify(kept)
-        while frontier:
-            d, node = heapq.heappop(frontier)
-            if len(kept) >= size and d > -kept[0][0]:
-                break
-            near = [n for n in layer[node] if self.seen[n] != self.epoch]
-            if not near:
-                continue
-            self.seen[near] = self.epoch
-            for e, n in zip(self.ranks(q, near).tolist(), near, strict=True):
-                if len(kept) < size or e < -kept[0][0]:
-                    heapq.heappush(frontier, (e, n))
-                    if allowed is None or allowed[n]:
-                        heapq.heappush(kept, (-e, -n))
-                        if len(kept) > size:
-                            heapq.heappop(kept)
-        return sorted((-d, -n) for d, n in kept)
-
-    def diverse(self, q: np.ndarray, found: list[tuple[float, int]], m: int) -> list[int]:
-        """Up to m candidates, nearest first, each nearer to q than to any chosen before; all if they are fewer."""
-        if len(found) < m:
-            return [n for _, n in found]
-        chosen: list[int] = []
-        for d, n in sorted(found):
-            if len(chosen) == m:
-                break
-            if not chosen or (self.ranks(self.x[n], chosen) > d).all():
-                chosen.append(n)
-        return chosen
+        q = np.atleast_2d(q).astype(np.float32)
+        if self.metric == "cosine":
+            size = np.linalg.norm(q, axis=1, keepdims=True)
+            q = np.divide(q, size, out=np.zeros_like(q), where=size > 0)
+        return q
+
+    def _rank(self, dot: np.ndarray, nodes: np.ndarray, square: np.ndarray) -> np.ndarray:
+        """What orders like the metric's distance: 1 - cosine, or squared L2."""
+        return 1 - dot if self.metric == "cosine" else np.maximum(self.square[nodes] - 2 * dot + square, 0)
+
+    def near(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Distances (query, column) of each query's own row of nodes."""
+        return self._rank(np.matmul(self.x[nodes], q[:, :, None])[:, :, 0], nodes, np.einsum("qw,qw->q", q, q)[:, None])
+
+    def nearest(self, q: np.ndarray, nodes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, nodes) of the k nearest of ``nodes`` to each query, by products over blocks."""
+        square, k = np.einsum("qw,qw->q", q, q)[:, None], min(k, len(nodes))
+        out_d, out_n, step = np.empty((len(q), k), np.float32), np.empty((len(q), k), np.int64), max(1, CELLS // max(len(nodes), 1))
+        x = self.x[nodes]
+        for at in range(0, len(q), step):
+            d = self._rank(q[at : at + step] @ x.T, nodes, square[at : at + step])
+            best = np.argpartition(d, k - 1, axis=1)[:, :k] if k < len(nodes) else np.broadcast_to(np.arange(k), d.shape)
+            found = np.take_along_axis(d, best, 1)
+            order = np.lexsort((nodes[best], found))
+            out_d[at : at + step], out_n[at : at + step] = np.take_along_axis(found, order, 1), nodes[np.take_along_axis(best, order, 1)]
+        return out_d, out_n
+
+    # ------------------------------------------------------------- building
+
+    def diverse(self, found: np.ndarray, m: int, q: np.ndarray) -> np.ndarray:
+        """Up to m of each row of candidates (nearest first, -1 for none), each nearer to the row's query than to any chosen before."""
+        out = np.full((len(found), m), -1)
+        step = max(1, CELLS // max(found.shape[1] * max(found.shape[1], self.x.shape[1]), 1))
+        for at in range(0, len(found), step):
+            nodes, mine = found[at : at + step], q[at : at + step]
+            d = np.where(nodes < 0, np.inf, self.near(mine, nodes))
+            x = self.x[nodes]
+            between = self._rank(np.matmul(x, x.transpose(0, 2, 1)), nodes[:, None, :], self.square[nodes][:, :, None])
+            # nearest to any chosen one, for each candidate
+            least, taken = np.full(d.shape, np.inf), np.zeros(len(nodes), np.int64)
+            few = (nodes >= 0).sum(1) < m
+            for k in range(nodes.shape[1]):
+                good = np.flatnonzero((nodes[:, k] >= 0) & (taken < m) & ((least[:, k] > d[:, k]) | few))
+                if len(good):
+                    out[at + good, taken[good]] = nodes[good, k]
+                    taken[good] += 1
+                    least[good] = np.minimum(least[good], between[good, k])
+        return out
+
+    def _sorted(self, own: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Each row of candidates nearest first, without the node itself and repeated ones."""
+        rows = np.sort(rows, axis=1)
+        again = np.c_[np.zeros(len(rows), bool), rows[:, 1:] == rows[:, :-1]]
+        rows = np.where(again | (rows == own[:, None]), -1, rows)
+        d = np.where(rows < 0, np.inf, self.near(self.x[own], rows))
+        order = np.lexsort((rows, d))
+        return np.take_along_axis(rows, order, 1)
+
+    def _back(self, nodes: np.ndarray, links: np.ndarray, limit: int) -> np.ndarray:
+        """Links in both directions; a node with more than ``limit`` keeps diverse ones."""
+        place = np.full(len(self.x), -1)
+        place[nodes] = np.arange(len(nodes))
+        a, b = np.repeat(np.arange(len(nodes)), links.shape[1]), links.ravel()
+        a, b = a[b >= 0], place[b[b >= 0]]
+        both = np.unique(np.r_[a * len(nodes) + b, b * len(nodes) + a])
+        a, b = both // len(nodes), both % len(nodes)
+        count = np.bincount(a, minlength=len(nodes))
+        out = np.full((len(nodes), limit), -1)
+        first = np.cumsum(count) - count
+        column = np.arange(len(a)) - first[a]
+        few = count[a] <= limit
+        out[a[few], column[few]] = nodes[b[few]]
+        step = 512
+        many = np.flatnonzero(count > limit)
+        many = many[np.argsort(count[many], kind="stable")]
+        for at in range(0, len(many), step):
+            own = many[at : at + step]
+            rows = np.full((len(own), int(count[own].max())), -1)
+            for k, j in enumerate(own.tolist()):
+                rows[k, : count[j]] = nodes[b[first[j] : first[j] + count[j]]]
+            rows = self._sorted(nodes[own], rows)[:, : 4 * limit]
+            out[own] = self.diverse(rows, limit, self.x[nodes[own]])
+        return out
+
+    def _layer(self, nodes: np.ndarray, depth: int, fresh: np.ndarray | None = None, old: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Links of a layer: the nearest of all, and of two thinned sets for the long ways.  With ``fresh`` only its nodes are linked anew."""
+        limit, width = self.c.m * (2 if depth == 0 else 1), max(self.c.ef_construction // 2, self.c.m)
+        own = nodes if fresh is None else fresh
+        found = [self.nearest(self.x[own], nodes, width + 1)[1]]
+        for thin in (16, 256):
+            some = nodes[(nodes * 2654435761 >> 7) % thin == 0]
+            if len(some):
+                found.append(self.nearest(self.x[own], some, max(self.c.m // 2, 1))[1])
+        chosen = self.diverse(self._sorted(own, np.concatenate(found, axis=1)), self.c.m, self.x[own])
+        links = np.full((len(nodes), max(limit, self.c.m)), -1)
+        if old is not None:
+            links[:, : old.shape[1]] = old
+        links[np.searchsorted(nodes, own), : self.c.m] = chosen
+        return nodes, self._back(nodes, links, limit)
+
+    def _levels(self, n: int, first: int = 0) -> np.ndarray:
+        cap = round(math.log(max(first + n, 2)) / math.log(1 / self.c.level_factor)) + 1
+        u = np.random.default_rng([self.c.seed, first]).random(n)
+        return np.minimum(np.floor(np.log(np.maximum(u, 1e-300)) / math.log(self.c.level_factor)).astype(int), cap)
 
     def build(self) -> Graph:
-        n, rng = len(self.x), np.random.default_rng(self.c.seed)
-        cap = round(math.log(max(n, 2)) / math.log(1 / self.c.level_factor)) + 1
-        levels = np.minimum(np.floor(np.log(np.maximum(rng.random(n), 1e-300)) / math.log(self.c.level_factor)).astype(int), cap)
-        for node in range(n):
-            self._insert(node, int(levels[node]))
+        return self.add(0)
+
+    def add(self, first: int) -> Graph:
+        """Link the nodes from number ``first`` on; what was there keeps its layers."""
+        fresh = np.arange(first, len(self.x))
+        levels, depth = self._levels(len(fresh), first), 0
+        while depth < len(self.layers) or (len(fresh) and (levels >= depth).any()):
+            mine = fresh[levels >= depth]
+            if depth == len(self.layers):
+                self.layers.append(self._layer(mine, depth))
+            elif len(mine):
+                nodes, links = self.layers[depth]
+                every = np.r_[nodes, mine]
+                old = np.full((len(every), links.shape[1]), -1)
+                old[: len(nodes)] = links
+                self.layers[depth] = self._layer(every, depth, mine, old)
+            depth += 1
+        return self
+
+    def remove(self, gone: np.ndarray) -> Graph:
+        """The graph without the nodes marked in ``gone``: who linked to one is offered its links instead; numbers close up."""
+        number = np.cumsum(~gone) - 1
+        layers = []
+        for depth, (nodes, links) in enumerate(self.layers):
+            place = np.full(len(self.x), -1)
+            place[nodes] = np.arange(len(nodes))
+            lost = np.flatnonzero(~gone[nodes] & ((links >= 0) & gone[links]).any(1))
+            links = links.copy()
+            for at in range(0, len(lost), 512):
+                own = lost[at : at + 512]
+                rows = links[own]
+                beyond = np.where(((rows >= 0) & gone[rows])[:, :, None], links[place[np.maximum(rows, 0)]], -1).reshape(len(own), -1)
+                rows = np.concatenate([rows, beyond], axis=1)
+                rows = self._sorted(nodes[own], np.where((rows >= 0) & ~gone[rows], rows, -1))[:, : 4 * links.shape[1]]
+                links[own] = self.diverse(rows, links.shape[1], self.x[nodes[own]])
+            keep = ~gone[nodes]
+            if keep.any():
+                left = links[keep]
+                layers.append((number[nodes[keep]], np.where((left >= 0) & ~gone[left], number[left], -1)))
+        self.x, self.square, self.layers = self.x[~gone], self.square[~gone], layers
         return self
 
-    def _insert(self, node: int, level: int) -> None:
-        q, entry = self.x[node], None
-        top = len(self.layers)
-        for depth in range(top - 1, -1, -1):
-            layer = self.layers[depth]
-            entry = [min(layer)] if entry is None else entry
-            if depth > level:
-                entry = [self.walk(layer, q, entry, 1)[0][1]]
+    # ------------------------------------------------------------ searching
+
+    def walk(self, layer: tuple, q: np.ndarray, entry: np.ndarray, size: int, allowed: np.ndarray | None = None, k: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, nodes) of the ``size`` nearest nodes that the walks of all queries meet; with ``allowed`` the k nearest allowed ones."""
+        nodes, links = layer
+        place = np.full(len(self.x), -1)
+        place[nodes] = np.arange(len(nodes))
+        n, seen = len(q), np.zeros((len(q), len(self.x)), bool)
+        rows = np.arange(n)[:, None]
+        seen[rows, entry] = True
+        held_d, held_n = np.full((n, size + 1), np.inf, np.float32), np.full((n, size + 1), -1)
+        held_d[:, : entry.shape[1]], held_n[:, : entry.shape[1]] = self.near(q, entry), entry
+        done = np.zeros((n, size + 1), bool)
+        best_d, best_n = np.full((n, k), np.inf, np.float32), np.full((n, k), -1)
+
+        def keep_best(live, d, found):
+            ok = np.where((found >= 0) & allowed[found], d, np.inf)
+            every_d, every_n = np.concatenate([best_d[live], ok], 1), np.concatenate([best_n[live], found], 1)
+            order = np.argsort(every_d, axis=1, kind="stable")[:, :k]
+            best_d[live], best_n[live] = np.take_along_axis(every_d, order, 1), np.take_along_axis(every_n, order, 1)
+
+        if allowed is not None:
+            keep_best(np.arange(n), held_d[:, : entry.shape[1]], entry)
+        live = np.arange(n)
+        while len(live):
+            open_ = np.where(done[live] | (held_n[live] < 0), np.inf, held_d[live])
+            pick = np.argpartition(open_, EXPAND - 1, axis=1)[:, :EXPAND] if open_.shape[1] > EXPAND else np.broadcast_to(np.arange(open_.shape[1]), open_.shape)
+            some = np.isfinite(np.take_along_axis(open_, pick, 1))
+            live, pick, some = live[some.any(1)], pick[some.any(1)], some[some.any(1)]
+            if not len(live):
+                break
+            chosen = np.where(some, held_n[live[:, None], pick], -1)
+            done[live[:, None], pick] |= some
+            near = np.where((chosen >= 0)[:, :, None], links[place[np.maximum(chosen, 0)]], -1).reshape(len(live), -1)
+            near = np.sort(near, axis=1)
+            fresh = (near >= 0) & ~seen[live[:, None], near]
+            fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
+            seen[live[:, None], np.where(fresh, near, near.max(1, keepdims=True))] |= fresh
+            width = int(fresh.sum(1).max())
+            if not width:
                 continue
-            found = self.walk(layer, q, entry, max(self.c.ef_construction, self.c.m))
-            limit = self.c.m * (2 if depth == 0 else 1)
-            layer[node] = self.diverse(q, found, self.c.m)
-            for other in layer[node]:
-                links = layer[other]
-                links.append(node)
-                if len(links) > limit:
-                    kept = self.diverse(self.x[other], list(zip(self.ranks(self.x[other], links).tolist(), links, strict=True)), limit)
-                    for gone in set(links) - set(kept):
-                        if other in layer[gone]:
-                            layer[gone].remove(other)
-                    layer[other] = kept
-            entry = [found[0][1]]
-        for _ in range(top, level + 1):
-            self.layers.append({node: []})
-
-    def search(self, q: np.ndarray, k: int, ef: int, allowed: np.ndarray | None = None) -> list[tuple[float, int]]:
-        """(rank distance, node) of the k nearest; the filter holds on the bottom layer only."""
-        if not self.layers:
-            return []
-        q, entry = self.query(q), [min(self.layers[-1])]
-        for layer in self.layers[:0:-1]:
-            entry = [self.walk(layer, q, entry, max(ef, 1))[0][1]]
-        return self.walk(self.layers[0], q, entry, max(k, ef), allowed)[:k]
+            order = np.argsort(~fresh, axis=1, kind="stable")[:, :width]
+            near = np.where(np.take_along_axis(fresh, order, 1), np.take_along_axis(near, order, 1), -1)
+            d = np.where(near < 0, np.inf, self.near(q[live], near))
+            if allowed is not None:
+                keep_best(live, d, near)
+            every_d, every_n = np.concatenate([held_d[live, :size], d], 1), np.concatenate([held_n[live, :size], near], 1)
+            every_done = np.concatenate([done[live, :size], near < 0], 1)
+            order = np.argpartition(every_d, size - 1, axis=1)[:, :size]
+            held_d[live, :size], held_n[live, :size], done[live, :size] = (np.take_along_axis(e, order, 1) for e in (every_d, every_n, every_done))
+        if allowed is not None:
+            return best_d, best_n
+        order = np.lexsort((held_n[:, :size], held_d[:, :size]))
+        return np.take_along_axis(held_d, order, 1), np.take_along_axis(held_n, order, 1)
+
+    def search(self, q: np.ndarray, k: int, ef: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, nodes) of the k nearest to each query; short rows end with -1.  A filter holds on the bottom layer only."""
+        if not self.layers or not len(q):
+            return np.zeros((len(q), 0), np.float32), np.zeros((len(q), 0), np.int64)
+        out, q = [], self.query(q)
+        top = next(d for d in range(len(self.layers)) if d + 1 == len(self.layers) or len(self.layers[d][0]) <= SCAN_LAYER)
+        step = max(1, 16 * CELLS // len(self.x))
+        for at in range(0, len(q), step):
+            mine = q[at : at + step]
+            entry = self.nearest(mine, self.layers[top][0], 8)[1]
+            for d in range(top - 1, 0, -1):
+                entry = self.walk(self.layers[d], mine, entry, max(16, entry.shape[1]))[1][:, :8]
+                entry = np.where(entry < 0, entry[:, :1], entry)
+            size = max(k, ef, entry.shape[1])
+            d, n = self.walk(self.layers[0], mine, entry, size, allowed, k)
+            out.append((d[:, :k], n[:, :k]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def edges(self):
-        for depth, layer in enumerate(self.layers):
-            for node in sorted(layer):
-                yield depth, node, layer[node]
+        for depth, (nodes, links) in enumerate(self.layers):
+            for node, near in zip(nodes.tolist(), links.tolist(), strict=True):
+                yield depth, node, [x for x in near if x >= 0]
+
+
+# ---------------------------------------------------------------- one shard
+
+INDEX = "shard int, center array<float>, ids array<{id}>, vectors binary, width int, kind string, layers array<binary>, meta array<string>"
+
+
+def _pack(shard: int, center, ids: pa.Array, matrix: np.ndarray, graph: Graph, meta: list) -> pa.Table:
+    return pa.table({
+        "shard": pa.array([shard], pa.int32()), "center": pa.array([center], pa.list_(pa.float32())), "ids": pa.array([ids.to_pylist()], pa.list_(ids.type)), "vectors": pa.array([matrix.tobytes()], pa.binary()),
+        "width": pa.array([matrix.shape[1]], pa.int32()), "kind": pa.array([matrix.dtype.str]), "layers": pa.array([[np.c_[n, x].astype("<i4").tobytes() for n, x in graph.layers]], pa.list_(pa.binary())), "meta": pa.array([meta], pa.list_(pa.string())),
+    })
+
+
+def _unpack(row: dict, metric: str, config: EngineConfig) -> tuple[np.ndarray, Graph]:
+    matrix, layers = np.frombuffer(row["vectors"], row["kind"]).reshape(-1, row["width"]), []
+    for depth, blob in enumerate(row["layers"]):
+        cells = np.frombuffer(blob, "<i4").reshape(-1, 1 + config.m * (2 if depth == 0 else 1)).astype(np.int64)
+        layers.append((cells[:, 0], cells[:, 1:]))
+    return matrix, Graph(matrix, metric, config, layers)
+
 
+def _matrix(vectors: pa.ChunkedArray, n: int) -> np.ndarray:
+    flat = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.astype("i1" if flat.dtype == np.int8 else "<f4").reshape(n, -1)
 
-def _score(rank: float, metric: str) -> float:
-    return 1 - rank if metric == "cosine" else 1 / (1 + math.sqrt(max(rank, 0)))
 
+def _by_id(table: pa.Table) -> pa.Table:
+    return table.take(pa.array(sorted(range(table.num_rows), key=lambda j: table["id"][j].as_py()), pa.int64())).combine_chunks()
 
-INDEX = "shard int, ids array<{id}>, vectors binary, width int, layer array<int>, node array<int>, neighbors array<array<int>>, meta array<string>"
+
+# ------------------------------------------------------------------ indexes
+
+
+def centroids(records: DataFrame, shards: int, vector: Column) -> np.ndarray:
+    """Centres of ``shards`` groups, fitted in a few rounds on at most SAMPLE records, taken by hash of their ids."""
+    total = records.count()
+    some = records.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, 2 * total // SAMPLE))) == 0) if total > SAMPLE else records
+    table = _by_id(some.select("id", vector.alias("v")).toArrow())
+    x = _matrix(table["v"], table.num_rows).astype(np.float32)
+    centers = x[np.random.default_rng(shards).permutation(len(x))[:shards]]
+    for _ in range(ROUNDS):
+        at = np.concatenate([((centers**2).sum(1) - 2 * part @ centers.T).argmin(1) for part in np.array_split(x, max(1, len(x) * len(centers) // CELLS))])
+        count = np.bincount(at, minlength=len(centers))
+        sums = np.zeros_like(centers, dtype=np.float64)
+        np.add.at(sums, at, x)
+        centers = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centers).astype(np.float32)
+    return centers
 
 
 def build(records: DataFrame, config: EngineConfig, id_col: str = "id", vector_col: str = "vector", meta: Column | None = None) -> DataFrame:
-    """One row per shard: ids, vectors and edges.  Write it to keep it.
+    """One row per shard: centre, ids, vectors and links.  Write it to keep it.
 
-    Ids are dealt to shards by hash, about ``shard_size`` each, so a shard's
-    graph has a bounded size and the same ids always meet in the same order.
-    ``meta`` is one text per record, for filters inside the walk.
+    Each record goes to its nearest centroid; a group of more than
+    ``shard_size`` is dealt to several shards of that centre by hash, so every
+    graph has a bounded size.  ``meta`` is a JSON text per record, for filters
+    inside the walk.  Vectors are stored as they come, float or int8.
     """
     spark = on_workers(records.sparkSession)
-    shards = max(1, -(-records.count() // config.shard_size))
-    slim = records.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vector"), (F.lit(None) if meta is None else meta).cast("string").alias("meta"))
-    slim = slim.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    slim = records.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"), (F.lit(None) if meta is None else meta).cast("string").alias("meta"))
     id_type = slim.schema["id"].dataType.simpleString()
+    total = slim.count()
+    shards = max(1, -(-total // config.shard_size))
+    if shards == 1:
+        dealt = slim.withColumn("center", F.lit(0)).withColumn("shard", F.lit(0))
+        centers = np.zeros((1, 0), np.float32)
+    else:
+        centers = centroids(slim, shards, F.col("vector"))
+        shared = spark.sparkContext.broadcast(centers)
+
+        def nearest(batches):
+            c = shared.value
+            for batch in batches:
+                x = _matrix(pa.chunked_array([batch.column(1)]), batch.num_rows).astype(np.float32)
+                at = ((c**2).sum(1) - 2 * x @ c.T).argmin(1) if len(x) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], [*batch.schema.names, "center"])
+
+        near = slim.mapInArrow(nearest, f"id {id_type}, vector {slim.schema['vector'].dataType.simpleString()}, meta string, center int")
+        counts = {r["center"]: r["count"] for r in near.groupBy("center").count().collect()}
+        parts = {c: -(-n // config.shard_size) for c, n in counts.items()}
+        first, firsts = 0, {}
+        for c in sorted(parts):
+            firsts[c], first = first, first + parts[c]
+        lookup = F.create_map(*[x for c in sorted(parts) for x in (F.lit(c), F.struct(F.lit(firsts[c]).alias("first"), F.lit(parts[c]).alias("parts")))])
+        deal = F.element_at(lookup, F.col("center"))
+        dealt = near.withColumn("shard", (deal["first"] + F.pmod(F.xxhash64("id"), deal["parts"])).cast("int"))
 
     def make(table: pa.Table) -> pa.Table:
-        order = np.array(sorted(range(table.num_rows), key=lambda j: table["id"][j].as_py()))
-        table = table.take(pa.array(order)).combine_chunks()
-        flat = table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f4")
-        matrix = flat.reshape(table.num_rows, -1)
-        edges = list(Graph(matrix, config.metric, config).build().edges())
-        return pa.table({
-            "shard": pa.array([table["shard"][0].as_py()], pa.int32()),
-            "ids": pa.array([table["id"].to_pylist()], pa.list_(table.schema.field("id").type)),
-            "vectors": pa.array([matrix.tobytes()], pa.binary()),
-            "width": pa.array([matrix.shape[1]], pa.int32()),
-            "layer": pa.array([[e[0] for e in edges]], pa.list_(pa.int32())),
-            "node": pa.array([[e[1] for e in edges]], pa.list_(pa.int32())),
-            "neighbors": pa.array([[e[2] for e in edges]], pa.list_(pa.list_(pa.int32()))),
-            "meta": pa.array([table["meta"].to_pylist()], pa.list_(pa.string())),
-        })
-
-    del spark
-    return slim.groupBy("shard").applyInArrow(make, INDEX.format(id=id_type))
-
-
-def _graph(row: dict, config: EngineConfig) -> Graph:
-    g = Graph(np.frombuffer(row["vectors"], "<f4").reshape(-1, row["width"]), config.metric, config)
-    for depth, node, near in zip(row["layer"], row["node"], row["neighbors"], strict=True):
-        while len(g.layers) <= depth:
-            g.layers.append({})
-        g.layers[depth][node] = list(near)
-    return g
-
-
-def search(index: DataFrame, queries: DataFrame, k: int, config: EngineConfig, allow: str | None = None, query_col: str = "query_id", query_vector: str = "vector") -> DataFrame:
-    """(query_id, id, score, rank) of the k best by all shards' graphs.
-
-    With ``allow`` only records whose meta text equals it count.  A shard
-    where few match (see plans.strategy) is scanned exactly, otherwise the
-    walk is widened until it has k matches or all there are.
+        table = _by_id(table)
+        matrix = _matrix(table["vector"], table.num_rows)
+        return _pack(table["shard"][0].as_py(), centers[table["center"][0].as_py()].tolist(), table["id"].combine_chunks(), matrix, Graph(matrix, config.metric, config).build(), table["meta"].to_pylist())
+
+    return dealt.groupBy("shard").applyInArrow(make, INDEX.format(id=id_type))
+
+
+def update(index: DataFrame, config: EngineConfig, added: DataFrame | None = None, removed: DataFrame | None = None, meta: Column | None = None) -> DataFrame:
+    """The index with records (id, vector) replaced or added, and ids removed.
+
+    Only graphs that lose or get records change: links to a lost node are
+    repaired from its own links, and a new node goes to the shard with the
+    nearest centre.  Graphs are not built anew.
+    """
+    spark = on_workers(index.sparkSession)
+    id_type = index.schema["ids"].dataType.elementType.simpleString()
+    centers = index.select("shard", "center").toArrow()
+    order = np.argsort(centers["shard"].to_numpy())
+    numbers, middle = centers["shard"].to_numpy()[order], np.array(centers["center"].to_pylist(), np.float32)[order]
+    kinds = f"shard int, id {id_type}, vector array<float>, meta string"
+    none = spark.createDataFrame([], kinds)
+    gone = none if removed is None else removed.select(F.explode(F.array(*[F.lit(int(s)) for s in numbers])).alias("shard"), F.col("id"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("string").alias("meta"))
+    fresh = none
+    if added is not None:
+        slim = added.select("id", F.col("vector").cast("array<float>").alias("vector"), (F.lit(None) if meta is None else meta).cast("string").alias("meta"))
+
+        def nearest(batches):
+            for batch in batches:
+                x = _matrix(pa.chunked_array([batch.column(1)]), batch.num_rows)
+                at = ((middle**2).sum(1) - 2 * x @ middle.T).argmin(1) if middle.shape[1] and len(x) else np.zeros(len(x), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[at].astype(np.int32)), *batch.columns], ["shard", *batch.schema.names])
+
+        fresh = slim.mapInArrow(nearest, kinds)
+        # an id that comes again leaves all other shards
+        gone = gone.union(slim.select(F.explode(F.array(*[F.lit(int(s)) for s in numbers])).alias("shard"), "id", F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("string").alias("meta")))
+    changes = gone.union(fresh)
+
+    def run(own: pa.Table, changed: pa.Table) -> pa.Table:
+        if not own.num_rows or not changed.num_rows:
+            return own
+        row = own.to_pylist()[0]
+        matrix, graph = _unpack(row, config.metric, config)
+        new = _by_id(changed.filter(pa.compute.is_valid(changed["vector"])))
+        lost = set(changed["id"].to_pylist())
+        out = np.array([i in lost for i in row["ids"]], bool)
+        if out.any():
+            graph.remove(out)
+        ids, metas = [i for i, g in zip(row["ids"], out, strict=True) if not g], [m for m, g in zip(row["meta"], out, strict=True) if not g]
+        more = _matrix(new["vector"], new.num_rows).astype(matrix.dtype) if new.num_rows else matrix[:0]
+        matrix = np.concatenate([matrix[~out], more])
+        if len(more):
+            graph = Graph(matrix, config.metric, config, graph.layers).add(len(ids))
+        ids = pa.array(ids + new["id"].to_pylist(), own.schema.field("ids").type.value_type)
+        if not len(ids):
+            return own.slice(0, 0)
+        return _pack(row["shard"], row["center"], ids, matrix, graph, metas + new["meta"].to_pylist())
+
+    return index.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(run, INDEX.format(id=id_type))
+
+
+def _routes(index: DataFrame, queries: np.ndarray, metric: str, probes: int) -> np.ndarray | None:
+    """(query, shard numbers to visit), nearest centres first; None for all."""
+    table = index.select("shard", "center").toArrow()
+    if not probes or table.num_rows <= probes:
+        return None
+    numbers, centers = table["shard"].to_numpy(), np.array(table["center"].to_pylist(), np.float32)
+    order = np.argsort(numbers)
+    score = similarities(centers[order].astype(np.float64), queries, metric)
+    return numbers[order][np.argsort(-score, axis=1, kind="stable")[:, :probes]]
+
+
+def search(index: DataFrame, queries: DataFrame, k: int, config: EngineConfig, where: dict | None = None, query_col: str = "query_id", query_vector: str = "vector") -> DataFrame:
+    """(query_id, id, score, rank) of the k best that the graphs of the probed shards find.
+
+    ``config.probes`` is the number of shards that a query visits, those with
+    the nearest centres (0: all).  With ``where`` only records whose metadata
+    match all its keys count: plans.strategy decides shard by shard whether
+    the matches are scanned or walked to, and a walk that finds fewer than
+    there are is made wider.  Scores are computed again in double.
     """
     check_k(k)
-    from ..plans.strategy import filtered_walk
-
     id_type = index.schema["ids"].dataType.elementType.simpleString()
     query_type = dict(queries.dtypes)[query_col]
     schema = f"query_id {query_type}, id {id_type}, score double"
     spark, out = on_workers(index.sparkSession), None
-    for names, matrix in _blocks(queries, query_col, query_vector, config.metric, "none") if k else ():
-        shared = spark.sparkContext.broadcast((names.to_pylist(), matrix))
-
-        def run(batches, shared=shared):
-            names, matrix = shared.value
+    shards = index.select("shard").count()
+    for names, matrix in _blocks(queries, query_col, query_vector, config.metric, config.quantization) if k and shards else ():
+        routes = _routes(index, matrix, config.metric, config.probes)
+        slices = max(1, min(spark.sparkContext.defaultParallelism // shards, len(matrix) // 64))
+        shared = spark.sparkContext.broadcast((names.to_pylist(), matrix, routes))
+
+        def run(batches, shared=shared, slices=slices):
+            names, matrix, routes = shared.value
             for batch in batches:
                 for row in batch.to_pylist():
-                    g, rows = _graph(row, config), []
-                    allowed = None if allow is None else np.array([m == allow for m in row["meta"]], bool)
-                    for name, q in zip(names, matrix, strict=True):
-                        for d, n in filtered_walk(g, q, k, config.ef_search, allowed):
-                            rows.append((name, row["ids"][n], _score(d, config.metric)))
-                    if rows:
-                        a, b, c = zip(*rows, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c, pa.float64())], ["query_id", "id", "score"])
-
-        part = index.mapInArrow(run, schema)
+                    mine = np.arange(row["slice"], len(names), slices)
+                    if routes is not None:
+                        mine = mine[(routes[mine] == row["shard"]).any(1)]
+                    if not len(mine):
+                        continue
+                    stored, graph = _unpack(row, config.metric, config)
+                    allowed = None if not where else np.fromiter((matches(None if m is None else json.loads(m), where) for m in row["meta"]), bool, len(row["meta"]))
+                    found = found_in(graph, matrix[mine], k, config.ef_search, allowed)
+                    q, at = np.nonzero(found >= 0)
+                    nodes = found[q, at]
+                    score = np.concatenate([similarities(stored[n].astype(np.float64), matrix[mine[j]][None], config.metric)[0] for j, n in ((j, found[j][found[j] >= 0]) for j in range(len(mine)))] or [np.zeros(0)])
+                    if len(nodes):
+                        yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in mine[q].tolist()]), pa.array([row["ids"][n] for n in nodes.tolist()]), pa.array(score)], ["query_id", "id", "score"])
+
+        rows = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        part = (rows.repartition(shards * slices, "shard", "slice") if slices > 1 else rows).mapInArrow(run, schema)
         out = part if out is None else out.union(part)
     if out is None:
         out = spark.createDataFrame([], schema)
     return ranked(out, k)
 
 
-def edges(index: DataFrame) -> DataFrame:
+def found_in(graph: Graph, queries: np.ndarray, k: int, ef: int, allowed: np.ndarray | None) -> np.ndarray:
+    """Nodes (query, up to k) nearest first, -1 for none: min(k, matches) of them for every query."""
+    if allowed is None:
+        return graph.search(queries, k, ef)[1]
+    some = np.flatnonzero(allowed)
+    how, width, _ = plan(len(some) / max(len(allowed), 1), ef, k)
+    if how == "empty":
+        return np.full((len(queries), 0), -1)
+    out = np.full((len(queries), min(k, len(some))), -1)
+    open_ = np.arange(len(queries))
+    while len(open_) and len(some) > SCAN * width and width < len(allowed):
+        found = graph.search(queries[open_], out.shape[1], width, allowed)[1]
+        whole = (found >= 0).sum(1) == out.shape[1]
+        out[open_[whole]] = found[whole]
+        open_, width = open_[~whole], 2 * width
+    if len(open_):
+        out[open_] = graph.nearest(graph.query(queries[open_]), some, out.shape[1])[1]
+    return out
+
+
+def edges(index: DataFrame, config: EngineConfig) -> DataFrame:
     """(shard, layer, key, neighbors) with ids as keys: the graph as a plain table."""
-    each = F.explode(F.arrays_zip("layer", "node", "neighbors")).alias("e")
-    return index.select("shard", "ids", each).select("shard", "e.layer", F.get("ids", F.col("e.node")).alias("key"), F.transform("e.neighbors", lambda n: F.get("ids", n)).alias("neighbors"))
+    id_type = index.schema["ids"].dataType.elementType.simpleString()
 
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = row["ids"]
+                each = [(row["shard"], d, ids[n], [ids[x] for x in near]) for d, n, near in _unpack(row, config.metric, config)[1].edges()]
+                columns = list(zip(*each, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2]), pa.array(columns[3])], ["shard", "layer", "key", "neighbors"])
 
-def layer_stats(index: DataFrame) -> DataFrame:
-    """Nodes and mean neighbours of each layer, and links that lead nowhere (none)."""
-    each = F.explode(F.arrays_zip("layer", "neighbors")).alias("e")
-    return index.select(each, F.size("ids").alias("n")).select("e.layer", F.size("e.neighbors").alias("degree"), F.size(F.filter("e.neighbors", lambda x: x >= F.col("n"))).alias("bad")).groupBy("layer").agg(F.count("*").alias("n_nodes"), F.round(F.avg("degree"), 3).alias("avg_degree"), F.sum("bad").alias("n_dangling"))
+    return on_workers(index.sparkSession) and index.mapInArrow(run, f"shard int, layer int, key {id_type}, neighbors array<{id_type}>")
 
 
-def encoded_records(records: DataFrame, config: EngineConfig, vector_col: str = "vector") -> DataFrame:
-    return records.withColumn(vector_col, V.encode(F.col(vector_col), config.quantization, config.metric))
+def layer_stats(index: DataFrame, config: EngineConfig) -> DataFrame:
+    """Nodes and mean neighbours of each layer, and links that lead to no node of it (none)."""
+    e = edges(index, config)
+    known = e.select(F.col("shard").alias("_shard"), F.col("layer").alias("_layer"), F.col("key").alias("_key"))
+    links = e.select("shard", "layer", F.explode("neighbors").alias("to"))
+    bad = links.join(known, (links["shard"] == known["_shard"]) & (links["layer"] == known["_layer"]) & (links["to"] == known["_key"]), "left_anti").groupBy("layer").agg(F.count("*").alias("_bad"))
+    stats = e.groupBy("layer").agg(F.count("*").alias("n_nodes"), F.round(F.avg(F.size("neighbors")), 3).alias("avg_degree"))
+    return stats.join(bad, "layer", "left").select("layer", "n_nodes", "avg_degree", F.coalesce("_bad", F.lit(0).cast("long")).alias("n_dangling"))
 
 
+def encoded_records(records: DataFrame, config: EngineConfig, vector_col: str = "vector") -> DataFrame:
+    return records.withColumn(vector_col, V.encode(F.col(vector_col), config.quantization, config.metric))

@@ -55,12 +55,13 @@ def ranked(scored: DataFrame, k: int, id_col: str = "id", query_col: str = "quer
 
 def _blocks(queries: DataFrame, query_col: str, vector_col: str, metric: str, quantization: str):
     """The encoded queries as (names, matrix) in blocks of a bounded size."""
-    slim = queries.select(F.col(query_col).alias("q"), V.encode(F.col(vector_col), quantization, metric).alias("v"))
-    shape = slim.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"), F.min(F.size("v")).alias("e")).first()
+    size = F.size(vector_col)
+    shape = queries.agg(F.count("*").alias("n"), F.max(size).alias("d"), F.min(size).alias("e")).first()
     if not shape["n"]:
         return
     if shape["d"] != shape["e"]:
         raise InvalidVectorError("queries differ in width")
+    slim = queries.select(F.col(query_col).alias("q"), V.encode(F.col(vector_col), quantization, metric).alias("v"))
     blocks = -(-shape["n"] * shape["d"] * 8 // BLOCK_BYTES)
     for b in range(blocks):
         part = slim.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toArrow().combine_chunks()
@@ -69,6 +70,14 @@ def _blocks(queries: DataFrame, query_col: str, vector_col: str, metric: str, qu
             yield part["q"].combine_chunks(), flat.astype(np.float64).reshape(part.num_rows, -1)
 
 
+def rows_of(vectors: pa.Array, width: int) -> np.ndarray:
+    """A column of vectors as a matrix."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    if len(flat) != len(vectors) * width:
+        raise InvalidVectorError("vectors and queries differ in width")
+    return flat.astype(np.float64).reshape(len(vectors), width)
+
+
 def similarities(matrix: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     """(queries, rows) of similarities in double."""
     if metric == "cosine":
@@ -89,8 +98,12 @@ def best(scores: np.ndarray, ids: pa.Array, k: int) -> np.ndarray:
     return some[order]
 
 
-def _kernel(names: pa.Array, queries: np.ndarray, k: int, metric: str):
-    """Vectors -> the k best for each query in this task, held as they come."""
+def kept(names: pa.Array, k: int, score):
+    """Rows with an id first -> (query_id, id, score) of the k best for each query in this task.
+
+    ``score`` gives a slice's scores (query, row), NaN where a row is no
+    candidate.  What a task holds are k rows a query.
+    """
 
     def run(batches):
         held = [(pa.array([], names.type), np.zeros(0))] * len(names)
@@ -98,19 +111,16 @@ def _kernel(names: pa.Array, queries: np.ndarray, k: int, metric: str):
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids, vectors = part.column(0), part.column(1)
+                ids, found = part.column(0), score(part)
                 id_type = ids.type
-                flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                if len(flat) != part.num_rows * queries.shape[1]:
-                    raise InvalidVectorError("vectors and queries differ in width")
-                found = similarities(flat.reshape(part.num_rows, -1), queries, metric)
-                for q in range(len(names)):
+                worst = np.array([s[k - 1] if len(s) >= k else -np.inf for _, s in held])[:, None]
+                better = found >= worst
+                for q in np.flatnonzero(better.any(1)).tolist():
                     old_ids, old = held[q]
-                    mine = np.arange(len(found[q]))
-                    if len(old) >= k:
-                        mine = np.flatnonzero(found[q] >= old[k - 1])
-                        if not len(mine):
-                            continue
+                    mine = np.flatnonzero(better[q])
+                    if len(mine) > k:  # what cannot be among the k best stays out, ties stay in
+                        own = found[q, mine]
+                        mine = mine[own >= np.partition(own, len(own) - k)[len(own) - k]]
                     every = pa.concat_arrays([old_ids.cast(id_type), ids.take(pa.array(mine))])
                     scores = np.r_[old, found[q][mine]]
                     keep = best(scores, every, k)
@@ -122,6 +132,22 @@ def _kernel(names: pa.Array, queries: np.ndarray, k: int, metric: str):
     return run
 
 
+def in_blocks(rows: DataFrame, query_kind: str, k: int, blocks, scorer) -> DataFrame:
+    """The k best rows of each query, with their rank: each block (names, data) of queries is sent to all tasks, which return k rows a query."""
+    schema = f"query_id {query_kind}, id {dict(rows.dtypes)['id']}, score double"
+    spark, out = on_workers(rows.sparkSession), None
+    for names, data in blocks if k else ():
+        shared = spark.sparkContext.broadcast((names, data))
+
+        def run(batches, shared=shared):
+            names, data = shared.value
+            return kept(names, k, scorer(data))(batches)
+
+        part = rows.mapInArrow(run, schema)
+        out = part if out is None else out.union(part)
+    return ranked(spark.createDataFrame([], schema) if out is None else out, k)
+
+
 def batch_top_k(records: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", quantization: str = "none", where: Column | None = None, id_col: str = "id", vector_col: str = "vector", query_col: str = "query_id", query_vector: str = "vector") -> DataFrame:
     """(query_id, id, score, rank) for many queries, by matrix products over Arrow batches.
 
@@ -132,20 +158,11 @@ def batch_top_k(records: DataFrame, queries: DataFrame, k: int, metric: str = "c
     check_k(k)
     V.resolve(metric)
     rows = (records if where is None else records.where(where)).select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    id_kind, query_kind = dict(rows.dtypes)["id"], dict(queries.dtypes)[query_col]
-    schema = f"query_id {query_kind}, id {id_kind}, score double"
-    spark, out = on_workers(records.sparkSession), None
-    for names, matrix in _blocks(queries, query_col, query_vector, metric, quantization) if k else ():
-        shared = spark.sparkContext.broadcast((names, matrix))
 
-        def run(batches, shared=shared):
-            return _kernel(*shared.value, k, metric)(batches)
+    def scorer(queries):
+        return lambda part: similarities(rows_of(part.column(1), queries.shape[1]), queries, metric)
 
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return ranked(out, k)
+    return in_blocks(rows, dict(queries.dtypes)[query_col], k, _blocks(queries, query_col, query_vector, metric, quantization), scorer)
 
 
 #: Queries of one block that travels inside a plan, and their bytes.

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import hybrid_score
-from .search import ranked
+from ..functions.vectors import DENSE_SHARE, SPARSE_SHARE, encode, hybrid_score, sparse_dot
+from .search import BLOCK_BYTES, in_blocks, ranked, rows_of, similarities
+from .validate import InvalidVectorError, check_k
 
 #: Query tokens that are broadcast at most; more are joined by shuffling.
 BROADCAST_TOKENS = 1_000_000
@@ -36,10 +39,106 @@ def scores(posted: DataFrame, query_tokens: DataFrame) -> DataFrame:
     return hit.groupBy("query_id", "id").agg(F.sum(F.col("weight").cast("double") * F.col("_weight").cast("double")).alias("sparse"))
 
 
-def hybrid_top_k(dense: DataFrame, sparse: DataFrame, k: int) -> DataFrame:
-    """Blend (query_id, id, score) of all candidates with their sparse scores and rank."""
-    both = dense.join(sparse, ["query_id", "id"], "left")
-    return ranked(both.select("query_id", "id", hybrid_score(F.col("score"), F.col("sparse")).alias("score")), k)
+#: Shared tokens of a slice that are looked up at once, times queries.
+CELLS = 4_000_000
+SPARSE = "struct<indices:array<bigint>,values:array<float>>"
+
+
+def term_vectors(docs: DataFrame, id_col: str, text: Column, sign: int = 1) -> DataFrame:
+    """(id, sparse): the lower-case a-z words of a text by their 64-bit hashes, each word as often as it occurs, with weight ``sign``."""
+    words = F.transform(F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    return docs.select(F.col(id_col).alias("id"), words.alias("w")).select("id", F.struct(F.col("w").alias("indices"), F.transform("w", lambda _: F.lit(float(sign)).cast("float")).alias("values")).alias("sparse"))
+
+
+def _query_blocks(queries: DataFrame, query_col: str, sparse_col: str, dense: Column | None):
+    """Queries as (names, (tokens, weights (token, query), matrix or None)) in blocks of a bounded size."""
+    slim = queries.select(F.col(query_col).alias("q"), F.col(f"{sparse_col}.indices").alias("i"), F.col(f"{sparse_col}.values").cast("array<double>").alias("w"), (F.lit(None).cast("array<double>") if dense is None else dense.cast("array<double>")).alias("v"))
+    size = slim.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.greatest(F.size("i"), F.lit(0))), F.lit(0)).alias("tokens"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d"), F.coalesce(F.min(F.size("v")), F.lit(0)).alias("e")).first()
+    if size["d"] != size["e"]:
+        raise InvalidVectorError("queries differ in width")
+    distinct, blocks = slim.select(F.explode("i").alias("t")).distinct().count(), 1
+    while min(distinct, size["tokens"] / blocks) * size["n"] / blocks * 8 > BLOCK_BYTES or size["n"] * max(size["d"], 0) * 8 / blocks > BLOCK_BYTES:
+        blocks *= 2
+    for b in range(blocks if size["n"] else 0):
+        part = slim.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toArrow().combine_chunks()
+        if not part.num_rows:
+            continue
+        lists = part["i"].combine_chunks()
+        n = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        tokens, at = np.unique(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), return_inverse=True)
+        weights = np.zeros((len(tokens), part.num_rows))
+        np.add.at(weights, (at, np.repeat(np.arange(part.num_rows), n)), part["w"].combine_chunks().flatten().to_numpy(zero_copy_only=False))
+        yield part["q"].combine_chunks(), (tokens, weights, None if dense is None else rows_of(part["v"].combine_chunks(), size["d"]))
+
+
+def products(lists: pa.Array, values: pa.Array, tokens: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of sums of products over shared tokens, and whether there is any."""
+    n = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    out, met = np.zeros((len(n), weights.shape[1])), np.zeros((len(n), weights.shape[1]), bool)
+    if not len(tokens) or not n.any():
+        return out.T, met.T
+    index, value, of = lists.flatten().to_numpy(zero_copy_only=False), values.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.repeat(np.arange(len(n)), n)
+    at = np.minimum(np.searchsorted(tokens, index), len(tokens) - 1)
+    some = np.flatnonzero(tokens[at] == index)
+    # a token that a row has several times is looked up once
+    both, back = np.unique(of[some] * len(tokens) + at[some], return_inverse=True)
+    of, at, value = both // len(tokens), both % len(tokens), np.bincount(back, value[some], len(both))
+    step = max(1, CELLS // weights.shape[1])
+    for a in range(0, len(of), step):
+        own = of[a : a + step]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        part = weights[at[a : a + step]]
+        out[own[first]] += np.add.reduceat(part * value[a : a + step, None], first)
+        met[own[first]] |= np.logical_or.reduceat(part != 0, first)
+    return out.T, met.T
+
+
+def batch_top_k(records: DataFrame, queries: DataFrame, k: int, id_col: str = "id", sparse_col: str = "sparse", query_col: str = "query_id", query_sparse: str = "sparse") -> DataFrame:
+    """(query_id, id, score, rank) of the k records with the largest sparse products that share a token with a query.
+
+    The records stay where they are; blocks of queries are broadcast, and each
+    task returns k rows a query.  A token may stand in a vector more than once.
+    """
+    check_k(k)
+    rows = records.select(F.col(id_col).alias("id"), F.col(f"{sparse_col}.indices").alias("i"), F.col(f"{sparse_col}.values").alias("w"))
+
+    def scorer(data):
+        def score(part):
+            found, met = products(part.column(1), part.column(2), data[0], data[1])
+            return np.where(met, found, np.nan)
+
+        return score
+
+    return in_blocks(rows, dict(queries.dtypes)[query_col], k, _query_blocks(queries, query_col, query_sparse, None), scorer)
+
+
+def hybrid_batch_top_k(records: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", quantization: str = "none") -> DataFrame:
+    """(query_id, id, score, rank) of the k best (id, vector, sparse) records for (query_id, vector, sparse) queries, dense and sparse scores blended.
+
+    Every record is a candidate; one that shares no token, or has no sparse
+    vector, has a sparse score of 0, as has a negative product.
+    """
+    check_k(k)
+    rows = records.select("id", F.col("sparse.indices").alias("i"), F.col("sparse.values").alias("w"), "vector")
+
+    def scorer(data):
+        tokens, weights, matrix = data
+
+        def score(part):
+            dense = similarities(rows_of(part.column(3), matrix.shape[1]), matrix, metric)
+            return DENSE_SHARE * dense + SPARSE_SHARE * np.maximum(products(part.column(1), part.column(2), tokens, weights)[0], 0)
+
+        return score
+
+    dense = encode(F.col("vector"), quantization, metric)
+    return in_blocks(rows, dict(queries.dtypes)["query_id"], k, _query_blocks(queries, "query_id", "sparse", dense), scorer)
+
+
+def rescored(candidates: DataFrame, records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Blend (query_id, id, score) candidates with their sparse scores and rank them: what was not found before stays out."""
+    own = candidates.select("query_id", "id", "score").join(records.select("id", F.col("sparse").alias("_s")), "id").join(queries.select("query_id", F.col("sparse").alias("_q")), "query_id")
+    keyword = sparse_dot(F.col("_s.indices"), F.col("_s.values"), F.col("_q.indices"), F.col("_q.values"))
+    return ranked(own.select("query_id", "id", hybrid_score(F.col("score"), keyword).alias("score")), k)
 
 
 def without(posted: DataFrame, gone: DataFrame) -> DataFrame:

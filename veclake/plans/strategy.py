@@ -2,47 +2,30 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: At or below this selectivity the filter goes into the walk (fixed values).
 PUSH_DOWN, MOST_WIDENING = 0.5, 10
-#: Matches of a shard that are scanned instead of walked to, as a multiple of ef.
-SCAN = 4
+
+
+def plan(selectivity: float, ef: int, k: int) -> tuple[str, int, int]:
+    """(plan, ef, candidates to fetch) by a filter's selectivity."""
+    if selectivity <= 0:
+        return "empty", 0, 0
+    if selectivity <= PUSH_DOWN:
+        return "filter in walk", math.floor(ef * min(1 / selectivity, float(MOST_WIDENING))), k
+    return "filter after walk", max(ef, 2 * k), 2 * k
 
 
 def strategy(selectivity: Column, ef: int, k: int) -> Column:
-    """A struct (plan, ef, fetch) by a filter's selectivity."""
-    widened = F.floor(ef * F.least(1 / selectivity, F.lit(float(MOST_WIDENING)))).cast("long")
-    return (
-        F.when(selectivity <= 0, F.struct(F.lit("empty").alias("plan"), F.lit(0).cast("long").alias("ef"), F.lit(0).cast("long").alias("fetch")))
-        .when(selectivity <= PUSH_DOWN, F.struct(F.lit("filter in walk").alias("plan"), widened.alias("ef"), F.lit(k).cast("long").alias("fetch")))
-        .otherwise(F.struct(F.lit("filter after walk").alias("plan"), F.lit(ef).cast("long").alias("ef"), F.lit(2 * k).cast("long").alias("fetch")))
-    )
-
-
-def filtered_walk(graph, query: np.ndarray, k: int, ef: int, allowed: np.ndarray | None) -> list[tuple[float, int]]:
-    """min(k, matches) nearest allowed nodes of a shard's graph."""
-    if allowed is None:
-        return graph.search(query, k, ef)
-    n = int(allowed.sum())
-    if not n:
-        return []
-    q = graph.query(query)
-
-    def scan() -> list[tuple[float, int]]:
-        nodes = np.flatnonzero(allowed).tolist()
-        return sorted(zip(graph.ranks(q, nodes).tolist(), nodes, strict=True))[:k]
-
-    if n <= max(k, SCAN * ef):
-        return scan()
-    share = n / len(allowed)
-    width = int(ef * min(1 / share, MOST_WIDENING)) if share <= PUSH_DOWN else max(ef, 2 * k)
-    while True:
-        found = graph.search(query, k, width, allowed)
-        if len(found) >= min(k, n):
-            return found
-        if width >= len(allowed):
-            return scan()
-        width *= 2
+    """``plan`` as a struct (plan, ef, fetch)."""
+
+    def struct(name: str, width: Column, fetch: int) -> Column:
+        return F.struct(F.lit(name).alias("plan"), width.cast("long").alias("ef"), F.lit(fetch).cast("long").alias("fetch"))
+
+    (empty, e, f), (inside, _, g), (after, w, h) = plan(0, ef, k), plan(PUSH_DOWN, ef, k), plan(1, ef, k)
+    widened = F.floor(ef * F.least(1 / selectivity, F.lit(float(MOST_WIDENING))))
+    return F.when(selectivity <= 0, struct(empty, F.lit(e), f)).when(selectivity <= PUSH_DOWN, struct(inside, widened, g)).otherwise(struct(after, F.lit(w), h))

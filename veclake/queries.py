@@ -7,6 +7,7 @@ all embeddings.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,13 +42,30 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that the driver and all executors share."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="veclake-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/engine-{uuid.uuid4().hex}"
+
+
 def asked(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), "vector")
 
 
 def one(rows: DataFrame, id_: int) -> list[float]:
-    """One record's vector."""
-    return list(rows.where(F.col("id") == id_).first()["vector"])
+    """One record's vector; without that record a vector of one zero, which nothing is compared with in an empty table."""
+    row = rows.where(F.col("id") == id_).first()
+    return [0.0] if row is None else list(row["vector"])
+
+
+def width(rows: DataFrame) -> int:
+    """Dimensions of the records; 1 in an empty table."""
+    return rows.agg(F.max(F.size("vector"))).first()[0] or 1
 
 
 def shown(ranked: DataFrame) -> DataFrame:
@@ -158,7 +176,7 @@ def knn_threshold_rank(spark, sf_dir):
 @query("SELECT vec_id AS id, 0.0::DOUBLE AS score FROM embeddings ORDER BY vec_id LIMIT 10")
 def knn_zero_vector(spark, sf_dir):
     rows = records(spark, sf_dir)
-    return search.top_k(rows, [0.0] * 64, K).select("id", F.round("score", 6).alias("score"))
+    return search.top_k(rows, [0.0] * width(rows), K).select("id", F.round("score", 6).alias("score"))
 
 
 # --------------------------------------------------------- vector functions
@@ -254,8 +272,8 @@ def sparse_postings_stats(spark, sf_dir):
 
 @query(f"WITH {TERMS}, s AS (SELECT q.id AS query_id, t.id, sum(q.weight * t.weight) AS s FROM t JOIN t q USING (token) WHERE q.id % 50 = 0 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s) SELECT query_id, id, round(s, 6) AS score, rank FROM r WHERE rank <= 10")
 def sparse_topk(spark, sf_dir):
-    posted = terms(spark, sf_dir)
-    return shown(search.ranked(sparse.scores(posted, asked_terms(posted)).withColumnRenamed("sparse", "score"), K))
+    docs = sparse.term_vectors(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return shown(sparse.batch_top_k(docs, docs.where("id % 50 = 0").withColumnRenamed("id", "query_id"), K))
 
 
 @query(f"WITH {TERMS} SELECT q.id AS query_id, count(DISTINCT t.id) AS n_docs, sum(q.weight * t.weight) AS total FROM t JOIN t q USING (token) WHERE q.id % 50 = 0 GROUP BY ALL")
@@ -274,10 +292,11 @@ def hybrid_sql(where: str = "true", sign: int = 1) -> str:
 
 
 def _hybrid(spark, sf_dir, where=None, sign: int = 1) -> DataFrame:
-    rows, posted = records(spark, sf_dir), terms(spark, sf_dir)
-    # every record is a candidate: those without a shared token have sparse score 0
-    dense = search.batch_scores(rows, asked(rows), where=where)
-    return shown(sparse.hybrid_top_k(dense, sparse.scores(posted, asked_terms(posted, sign)), K))
+    rows, docs = records(spark, sf_dir), table(spark, sf_dir, "documents")
+    # every record is a candidate: those without a text have no sparse vector
+    every = (rows if where is None else rows.where(where)).join(sparse.term_vectors(docs, "doc_id", F.col("text")), "id", "left")
+    queries = asked(rows).join(sparse.term_vectors(docs, "doc_id", F.col("text"), sign).withColumnRenamed("id", "query_id"), "query_id", "left")
+    return shown(sparse.hybrid_batch_top_k(every, queries, K))
 
 
 @query(hybrid_sql())
@@ -390,8 +409,7 @@ def snapshot_plus_wal_recover(spark, sf_dir):
 def stream_upsert_final_state(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="veclake-stream-")
-    base = f"{root}/stream-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+    base = scratch(spark)
     log = event_log(stream)
     ingest.fold_stream(log, f"{base}/log", f"{base}/offsets", "id", "seq", "action").awaitTermination()
     return _live(ingest.final_state(spark.read.schema(log.schema).parquet(f"{base}/log"), "id", "seq", "action"))
@@ -427,21 +445,90 @@ def batch_inserted_count(spark, sf_dir):
 
 # -------------------------------------------------------------- approximate
 
+#: Share of the true k nearest that an approximate search has to find over all queries (fixed value of the reference tests' floor).
+RECALL = 0.97
+ENOUGH = "SELECT count(*) AS n_queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0"
+
+
+def _enough(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """(n_queries, enough): whether the mean recall reaches the floor."""
+    return search.recall(found, truth, K).agg(F.count("*").alias("n_queries"), (F.avg("recall") >= RECALL).alias("enough"))
+
+
+def _graph(rows: DataFrame, config: EngineConfig) -> DataFrame:
+    return ann.build(rows, config, meta=F.to_json(F.struct("label")))
+
 
-@query()
+@query(ENOUGH)
 def hnsw_search_recall(spark, sf_dir):
     rows, config = records(spark, sf_dir), EngineConfig(index_type="hnsw")
-    found = ann.search(ann.build(rows, config), asked(rows), K, config)
-    return search.recall(found, search.batch_top_k(rows, asked(rows), K), K)
+    return _enough(ann.search(_graph(rows, config), asked(rows), K, config), search.batch_top_k(rows, asked(rows), K))
+
+
+@query(ENOUGH)
+def hnsw_euclidean_recall(spark, sf_dir):
+    rows, config = records(spark, sf_dir), EngineConfig(index_type="hnsw", metric="euclidean")
+    return _enough(ann.search(_graph(rows, config), asked(rows), K, config), search.batch_top_k(rows, asked(rows), K, "euclidean"))
+
+
+@query(ENOUGH)
+def hnsw_int8_recall(spark, sf_dir):
+    """Against the exact search over the same int8 vectors."""
+    rows, config = records(spark, sf_dir), EngineConfig(index_type="hnsw", quantization="scalar")
+    stored = ann.encoded_records(rows, config)
+    return _enough(ann.search(_graph(stored, config), asked(rows), K, config), search.batch_top_k(stored, asked(rows), K, quantization="scalar"))
+
+
+@query(ENOUGH)
+def hnsw_sharded_recall(spark, sf_dir):
+    """Several graphs, of which each query visits the three nearest."""
+    rows, config = records(spark, sf_dir), EngineConfig(index_type="hnsw", shard_size=160)
+    whole = EngineConfig(index_type="hnsw", shard_size=160, probes=0)
+    index = _graph(rows, whole)
+    every, some = ann.search(index, asked(rows), K, whole), ann.search(index, asked(rows), K, config)
+    # three of many shards find most; all of them find what one graph does
+    few = search.recall(some, every, K).agg((F.avg("recall") >= 0.2).alias("some"))
+    return _enough(every, search.batch_top_k(rows, asked(rows), K)).join(few).select("n_queries", (F.col("enough") & F.col("some")).alias("enough"))
+
+
+@query(ENOUGH)
+def hnsw_add_delete(spark, sf_dir):
+    """A graph of four fifths of the records, the rest added and a seventh removed later, against exact search of what is left."""
+    rows, config = records(spark, sf_dir), EngineConfig(index_type="hnsw")
+    index = ann.update(_graph(rows.where("id % 5 <> 1"), config), config, rows.where("id % 5 = 1"), rows.where("id % 7 = 2").select("id"), meta=F.lit(None))
+    left = rows.where("id % 7 <> 2 or id % 5 = 1")
+    return _enough(ann.search(index, asked(rows), K, config), search.batch_top_k(left, asked(rows), K))
 
 
-@query()
+@query("SELECT count(*) AS n_nodes, 0::BIGINT AS n_dangling, true AS bounded FROM embeddings")
 def hnsw_layer_stats(spark, sf_dir):
-    return ann.layer_stats(ann.build(records(spark, sf_dir), EngineConfig(index_type="hnsw")))
+    """Nodes of the bottom layer, links that lead nowhere, and whether no layer's mean degree exceeds its limit."""
+    config = EngineConfig(index_type="hnsw")
+    stats = ann.layer_stats(_graph(records(spark, sf_dir), config), config)
+    limit = F.when(F.col("layer") == 0, 2 * config.m).otherwise(config.m)
+    return stats.agg(F.max("n_nodes").alias("n_nodes"), F.sum("n_dangling").alias("n_dangling"), F.every(F.col("avg_degree") <= limit).alias("bounded"))
 
 
-@query(f"WITH q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 50 = 0), n AS (SELECT least(10, count(*)) AS n FROM embeddings WHERE label = 3) SELECT query_id, n FROM q, n WHERE n > 0")
+@query(f"WITH a AS ({knn_sql('cosine', where='label = 3')}) SELECT query_id, count(*) AS n, true AS enough FROM a GROUP BY query_id")
 def hnsw_filtered_counts(spark, sf_dir):
+    """min(k, matches) records of one label for each query, and whether they are the nearest ones."""
     rows, config = records(spark, sf_dir), EngineConfig(index_type="hnsw")
-    index = ann.build(rows, config, meta=F.col("label").cast("string"))
-    return ann.search(index, asked(rows), K, config, allow="3").groupBy("query_id").agg(F.count("*").alias("n"))
+    found = ann.search(_graph(rows, config), asked(rows), K, config, where={"label": 3})
+    truth = search.batch_top_k(rows.where("label = 3"), asked(rows), K)
+    share = truth.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left").groupBy("query_id").agg(F.count("*").alias("n_true"), F.count("hit").alias("hits"))
+    return found.groupBy("query_id").agg(F.count("*").alias("n")).join(share, "query_id").select("query_id", "n", ((F.col("n") == F.col("n_true")) & (F.col("hits") >= F.col("n_true") - 1)).alias("enough"))
+
+
+@query(f"WITH q AS (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) SELECT vec_id AS query_id, {K}::BIGINT AS n, true AS ordered FROM q")
+def hnsw_hybrid(spark, sf_dir):
+    """Graph candidates blended with their keyword scores: k for each query, none above the exact hybrid result at its rank."""
+    rows, config, docs = records(spark, sf_dir), EngineConfig(index_type="hnsw"), table(spark, sf_dir, "documents")
+    words = sparse.term_vectors(docs, "doc_id", F.col("text"))
+    every = rows.join(words, "id", "left")
+    queries = asked(rows).join(words.withColumnRenamed("id", "query_id"), "query_id", "left")
+    candidates = ann.search(_graph(rows, config), asked(rows), 2 * K, config)
+    # a hash map of a query's words needs each of them once
+    once = F.struct(F.array_distinct("sparse.indices").alias("indices"), F.transform(F.array_distinct("sparse.indices"), lambda _: F.lit(1.0).cast("float")).alias("values"))
+    found = sparse.rescored(candidates, every, queries.withColumn("sparse", once), K)
+    best = sparse.hybrid_batch_top_k(every, queries.withColumn("sparse", once), K).select("query_id", "rank", F.col("score").alias("top"))
+    return found.join(best, ["query_id", "rank"]).groupBy("query_id").agg(F.count("*").alias("n"), F.every(F.col("score") <= F.col("top") + 1e-9).alias("ordered"))

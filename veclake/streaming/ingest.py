@@ -49,7 +49,3 @@ def final_state(path_table: DataFrame, id_col: str, seq_col: str, action_col: st
     """The live rows of the appended table; entries that came twice count once."""
     return fold(path_table.dropDuplicates([seq_col]) if seq_col else path_table, id_col, seq_col, action_col)
 
-
-def windowed_counts(events: DataFrame, time_col: str, late: str, width: str) -> DataFrame:
-    """Changes per window of event time, those later than ``late`` left out."""
-    return events.withWatermark(time_col, late).groupBy(F.window(time_col, width)).agg(F.count("*").alias("n"))
