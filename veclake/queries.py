@@ -6,17 +6,20 @@ all embeddings.
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collection import Collection
 from .config import EngineConfig
 from .functions import filters, vectors as V
 from .operators import ann, changes, metadata, search, sparse, validate
 from .plans.strategy import strategy
 from .session import on_workers
+from .sources.store import Store
 from .streaming import ingest
 
 K = 10
@@ -360,17 +363,37 @@ def stats_count(spark, sf_dir):
     return records(spark, sf_dir).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'none' AS quantization, 'brute' AS index_type, 'cosine' AS metric, max(len(embedding))::BIGINT AS dimensions, count(*) AS n FROM embeddings")
+def stored(spark, sf_dir, **settings) -> Collection:
+    """The embeddings as a new stored collection: ids as text, the label as metadata."""
+    c = Collection(spark, scratch(spark), EngineConfig(**settings))
+    rows = records(spark, sf_dir)
+    c.batch_insert(rows.select(F.col("id").alias("place"), F.col("id").cast("string").alias("id"), "vector", F.lit(None).cast(sparse.SPARSE).alias("sparse"), F.to_json(F.struct("label")).alias("meta")).withColumn("meta", F.parse_json("meta")))
+    return c
+
+
+@query("SELECT 'none' AS quantization, 'brute' AS index_type, 'cosine' AS metric, max(len(embedding))::BIGINT AS dimensions, count(*) AS count FROM embeddings")
 def engine_info(spark, sf_dir):
-    c = EngineConfig().checked()
-    return records(spark, sf_dir).agg(F.lit(c.quantization).alias("quantization"), F.lit(c.index_type).alias("index_type"), F.lit(c.metric).alias("metric"), F.max(F.size("vector")).cast("long").alias("dimensions"), F.count("*").alias("n"))
+    return spark.createDataFrame([stored(spark, sf_dir).info()], "quantization string, index_type string, metric string, dimensions long, count long")
 
 
 @query(f"WITH {INT8_UNIT} SELECT id, label, round(list_sum(list_transform(v, lambda x: (x::FLOAT / 127::FLOAT)::DOUBLE)), 5) AS total FROM e WHERE id = 42")
 def get_by_id(spark, sf_dir):
-    stored = ann.encoded_records(records(spark, sf_dir), EngineConfig(quantization="scalar"))
-    back = stored.where("id = 42").withColumn("vector", V.dequantize(F.col("vector")))
-    return back.select("id", "label", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+    found = stored(spark, sf_dir, quantization="scalar").get("42")
+    rows = [] if found is None else [(int(found["id"]), json.loads(found["meta"])["label"], round(sum(found["vector"]), 5))]
+    return spark.createDataFrame(rows, "id long, label int, total double")
+
+
+@query("SELECT step, n FROM (SELECT 1 AS k, 'inserted' AS step, count(*) AS n FROM embeddings UNION ALL SELECT 2, 'deleted', count(*) FROM embeddings WHERE vec_id NOT IN (3, 4) UNION ALL SELECT 3, 'opened again', count(*) FROM embeddings WHERE vec_id NOT IN (3, 4) UNION ALL SELECT 4, 'reset', 0)")
+def store_delete_reset(spark, sf_dir):
+    c = stored(spark, sf_dir)
+    steps = [("inserted", c.count())]
+    c.delete("3"), c.delete("4"), c.delete("not there")
+    steps.append(("deleted", c.count()))
+    c.flush()
+    again = Collection(spark, c.store.path)
+    steps.append(("opened again", again.count()))
+    again.reset()
+    return spark.createDataFrame([*steps, ("reset", Collection(spark, c.store.path).count())], "step string, n long")
 
 
 @query("SELECT vec_id AS id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -422,6 +445,42 @@ def upsert_latest_wins(spark, sf_dir):
     return out.select("id", F.round("value", 6).alias("value"))
 
 
+VALUES = f"WITH {LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS n FROM l) SELECT id::VARCHAR AS id, round(value::FLOAT::DOUBLE, 3) AS value FROM r WHERE n = 1 AND action = 'INSERT'"
+
+
+def entries(log: DataFrame) -> DataFrame:
+    """The event log as changes of a collection, values as vectors of one dimension."""
+    none = F.lit(None)
+    return log.select("seq", "action", F.col("id").cast("string").alias("id"), F.array(F.col("value").cast("float")).alias("vector"), none.cast(sparse.SPARSE).alias("sparse"), F.parse_json(none.cast("string")).alias("meta"))
+
+
+def _values(live: DataFrame) -> DataFrame:
+    return live.select("id", F.round(F.col("vector")[0].cast("double"), 3).alias("value"))
+
+
+@query(VALUES)
+def store_snapshot_recover(spark, sf_dir):
+    """Half of the log, a snapshot, the other half, and what a new process recovers from both."""
+    log, store = entries(event_log(table(spark, sf_dir, "events"))), Store(spark, scratch(spark))
+    middle = log.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0] or 0
+    header = {"metric": "cosine", "dimensions": 1}
+    store.append(log.where(F.col("seq") <= middle))
+    store.save(store.recover(), header, middle)
+    store.append(log.where(F.col("seq") > middle))
+    return _values(Store(spark, store.path).recover(header))
+
+
+@query(VALUES)
+def store_stream_ingest(spark, sf_dir):
+    """The log as a stream into a stored collection, and its live records."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = entries(event_log(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)))
+    store = Store(spark, scratch(spark))
+    error = validate.error_column(1)
+    ingest.ingest(stream, store, scratch(spark), error=error).awaitTermination()
+    return _values(store.recover())
+
+
 def damaged(spark, sf_dir) -> DataFrame:
     """The embeddings as a batch with faults: every 7th is one dimension short, every 11th has a NaN."""
     rows = records(spark, sf_dir)
