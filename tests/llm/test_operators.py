@@ -129,6 +129,23 @@ def test_packing(docs, none):
     assert padding == 0 and pack(none, BPE).count() == 0
 
 
+def test_packing_a_document_of_many_blocks():
+    """A very long document is cut into whole sequences in one go; every id lies in one piece."""
+    from veclake.llm import packing
+
+    ids = np.arange(40_000, dtype="<u4")
+    packer, rows = packing.Packer(16, 7), []
+    for key, part in (("short", ids[:5]), ("long", ids), ("end", ids[:30])):
+        rows += packer.add(key, part.tobytes())
+    rows += packer.rest()
+    own = sorted((r for r in rows if r[0] == "long"), key=lambda r: r[1])
+    assert b"".join(r[7] for r in own) == ids.tobytes() and {r[4] for r in own} == {40_000} and all(r[3] == zlib.crc32(r[7]) for r in own)
+    fill = Counter()
+    for r in rows:
+        fill[r[5]] += r[2]
+    assert sum(fill.values()) == 40_035 and all(n & (n - 1) == 0 and n <= 16 for n in fill.values()) and min(fill) == 7
+
+
 def test_balance_evens_costs():
     from veclake.llm.packing import LINEAR, QUADRATIC, balance
 

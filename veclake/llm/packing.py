@@ -52,8 +52,13 @@ class Packer:
         self.tokens = 0
 
     def add(self, key, ids: bytes):
-        self.docs.append((key, ids, 0, len(ids) // 4))
-        self.tokens += len(ids) // 4
+        total, start, whole = len(ids) // 4, 0, self.size
+        while total - start > whole * BLOCK:  # more than a block holds: whole sequences of its own, one by one
+            part = ids[4 * start : 4 * (start + whole)]
+            yield key, start, whole, zlib.crc32(part), total, self.next, 0, part
+            start, self.next = start + whole, self.next + 1
+        self.docs.append((key, ids[4 * start :], start, total))
+        self.tokens += total - start
         if self.tokens >= self.size * BLOCK:
             yield from self._fill(self.tokens // self.size, self.size)
 
@@ -87,8 +92,10 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, wi
     ``BLOCK`` sequences, by ``balance``; what a block leaves over joins the
     next one.  All sequences of a block are full, and a task's remainder goes
     into sequences whose lengths are powers of two, which need no padding.
-    So nothing is shuffled or gathered, memory is that of one block and one
-    document, and a task that runs again gives the same sequences: their
+    A document of
+    more tokens than a block fills whole sequences by itself first, so the work
+    grows with its length and no faster.  Nothing is shuffled or gathered,
+    memory is that of one block and one document, and a task that runs again gives the same sequences: their
     numbers are its partition's number and a count.
 
     Null text counts as empty and gives the piece ``[end_id]``.  Ties go to
