@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import DENSE_SHARE, SPARSE_SHARE, encode, hybrid_score, sparse_dot
-from .search import BLOCK_BYTES, in_blocks, ranked, rows_of, similarities
+from ..functions.vectors import DENSE_SHARE, SPARSE_SHARE, encode, hybrid_score
+from .search import in_blocks, ranked, rows_of, similarities
 from .validate import InvalidVectorError, check_k
 
 #: Query tokens that are broadcast at most; more are joined by shuffling.
@@ -39,8 +39,12 @@ def scores(posted: DataFrame, query_tokens: DataFrame) -> DataFrame:
     return hit.groupBy("query_id", "id").agg(F.sum(F.col("weight").cast("double") * F.col("_weight").cast("double")).alias("sparse"))
 
 
+#: Bytes of one block of queries: their weights by token, and their vectors.
+BLOCK_BYTES = 96 << 20
 #: Shared tokens of a slice that are looked up at once, times queries.
 CELLS = 4_000_000
+#: Rows are multiplied as dense ones if one in so many of the queries' tokens is in a row, on average.
+DENSE = 64
 SPARSE = "struct<indices:array<bigint>,values:array<float>>"
 
 
@@ -83,14 +87,27 @@ def products(lists: pa.Array, values: pa.Array, tokens: np.ndarray, weights: np.
     # a token that a row has several times is looked up once
     both, back = np.unique(of[some] * len(tokens) + at[some], return_inverse=True)
     of, at, value = both // len(tokens), both % len(tokens), np.bincount(back, value[some], len(both))
-    step = max(1, CELLS // weights.shape[1])
-    for a in range(0, len(of), step):
-        own = of[a : a + step]
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        part = weights[at[a : a + step]]
-        out[own[first]] += np.add.reduceat(part * value[a : a + step, None], first)
-        met[own[first]] |= np.logical_or.reduceat(part != 0, first)
-    return out.T, met.T
+    positive = bool((weights >= 0).all() and (value > 0).all())
+    if len(tokens) * len(n) <= DENSE * len(both):  # many of the tokens are in a row: a product of matrices is cheaper
+        step = max(1, CELLS // len(tokens))
+        cuts = np.searchsorted(of, np.arange(0, len(n) + step, step))
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            rows = np.zeros((min(step, len(n) - k * step), len(tokens)))
+            rows[of[a:b] - k * step, at[a:b]] = value[a:b]
+            out[k * step : (k + 1) * step] = rows @ weights
+            if not positive:
+                rows[of[a:b] - k * step, at[a:b]] = 1
+                met[k * step : (k + 1) * step] = rows @ (weights != 0) > 0
+    else:
+        step = max(1, CELLS // weights.shape[1])
+        for a in range(0, len(of), step):
+            own = of[a : a + step]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            part = weights[at[a : a + step]]
+            out[own[first]] += np.add.reduceat(part * value[a : a + step, None], first)
+            if not positive:
+                met[own[first]] |= np.logical_or.reduceat(part != 0, first)
+    return out.T, out.T > 0 if positive else met.T
 
 
 def batch_top_k(records: DataFrame, queries: DataFrame, k: int, id_col: str = "id", sparse_col: str = "sparse", query_col: str = "query_id", query_sparse: str = "sparse") -> DataFrame:
@@ -135,10 +152,15 @@ def hybrid_batch_top_k(records: DataFrame, queries: DataFrame, k: int, metric: s
 
 
 def rescored(candidates: DataFrame, records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Blend (query_id, id, score) candidates with their sparse scores and rank them: what was not found before stays out."""
-    own = candidates.select("query_id", "id", "score").join(records.select("id", F.col("sparse").alias("_s")), "id").join(queries.select("query_id", F.col("sparse").alias("_q")), "query_id")
-    keyword = sparse_dot(F.col("_s.indices"), F.col("_s.values"), F.col("_q.indices"), F.col("_q.values"))
-    return ranked(own.select("query_id", "id", hybrid_score(F.col("score"), keyword).alias("score")), k)
+    """Blend (query_id, id, score) candidates with their sparse scores and rank them: what was not found before stays out.
+
+    The candidates' tokens alone are joined with those of their query.
+    """
+    pairs = F.explode_outer(F.arrays_zip(F.col("sparse.indices").alias("token"), F.col("sparse.values").alias("weight"))).alias("p")
+    own = candidates.select("query_id", "id", "score").join(records.select("id", "sparse"), "id").select("query_id", "id", "score", pairs).select("query_id", "id", "score", "p.token", "p.weight")
+    asked = queries.select("query_id", pairs).select("query_id", "p.token", "p.weight").where("token is not null").groupBy("query_id", "token").agg(F.sum(F.col("weight").cast("double")).alias("_weight"))
+    blended = own.join(asked, ["query_id", "token"], "left").groupBy("query_id", "id", "score").agg(F.sum(F.col("weight").cast("double") * F.col("_weight")).alias("sparse"))
+    return ranked(blended.select("query_id", "id", hybrid_score(F.col("score"), F.col("sparse")).alias("score")), k)
 
 
 def without(posted: DataFrame, gone: DataFrame) -> DataFrame:

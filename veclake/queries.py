@@ -586,8 +586,6 @@ def hnsw_hybrid(spark, sf_dir):
     every = rows.join(words, "id", "left")
     queries = asked(rows).join(words.withColumnRenamed("id", "query_id"), "query_id", "left")
     candidates = ann.search(_graph(rows, config), asked(rows), 2 * K, config)
-    # a hash map of a query's words needs each of them once
-    once = F.struct(F.array_distinct("sparse.indices").alias("indices"), F.transform(F.array_distinct("sparse.indices"), lambda _: F.lit(1.0).cast("float")).alias("values"))
-    found = sparse.rescored(candidates, every, queries.withColumn("sparse", once), K)
-    best = sparse.hybrid_batch_top_k(every, queries.withColumn("sparse", once), K).select("query_id", "rank", F.col("score").alias("top"))
+    found = sparse.rescored(candidates, every, queries, K)
+    best = sparse.hybrid_batch_top_k(every, queries, K).select("query_id", "rank", F.col("score").alias("top"))
     return found.join(best, ["query_id", "rank"]).groupBy("query_id").agg(F.count("*").alias("n"), F.every(F.col("score") <= F.col("top") + 1e-9).alias("ordered"))
