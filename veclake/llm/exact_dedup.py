@@ -19,8 +19,9 @@ BITS = 40
 PARCEL_ROWS = 200_000
 #: Cells of the bitmaps for each repeated fingerprint: one text in so many moves for nothing.
 CELLS = 16
-#: Bytes of bitmaps that are broadcast at once; more are sent in rounds, each for a range of fingerprints.
-BITMAP_BYTES = 128 << 20
+#: Bytes of bitmaps that are broadcast at once; more are sent in rounds, each for a range of fingerprints and one reading of the texts.
+#: Where even the last round would not do, cells are coarser, and more texts move.
+BITMAP_BYTES, ROUNDS = 128 << 20, 4
 #: Tasks of a group's first round, so that a text that most tasks have is not gathered from all of them at once.
 SALTS = 64
 #: Groups that are broadcast to their members, about 100 bytes each; more are joined by a shuffle.
@@ -125,7 +126,7 @@ def _told(slim: DataFrame) -> DataFrame:
     sent = arrow(slim.select("text"), _send(owners), "owner int, n int, code binary, twice binary")
     found = written(arrow(sent.repartition(owners, "owner"), _find(owners), "owner int, n long, code binary"), "repeated")
     n = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    cells = 1 << min(BITS, max((owners * 8 - 1).bit_length(), (CELLS * n).bit_length()))
+    cells = max(owners * 8, min(1 << (CELLS * n).bit_length(), ROUNDS * BITMAP_BYTES * 8, 1 << BITS))
     rounds = min(max(1, cells // 8 // BITMAP_BYTES), owners)
     each, out = owners // rounds, None
     for r in range(rounds):
@@ -149,9 +150,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
        of suspects move, and are grouped by their bytes: in each task, then by
        SALTS parts of the tasks, then whole.
 
-    The bitmaps have CELLS bits for each repeated fingerprint.  More than
-    BITMAP_BYTES of them are broadcast in rounds, one range of fingerprints
-    and one reading of the texts after the other.
+    The bitmaps have CELLS bits or more for each repeated fingerprint.  More
+    than BITMAP_BYTES of them are broadcast in up to ROUNDS rounds, one range
+    of fingerprints and one reading of the texts after the other; beyond that
+    a bit stands for more fingerprints, and more texts move for nothing.
 
     Texts are equal when identical after lower-casing A-Z; null counts as
     empty.  The largest id of a group stays.  Rows that repeat an id and its
