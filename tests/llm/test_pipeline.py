@@ -1,14 +1,17 @@
 """The pipeline's stages one by one against brute force on a small corpus."""
 
-from collections import defaultdict
+import math
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from .test_operators import fingerprint, linked, lower, repeated, words
-
 pytest.importorskip("public_tokenizers")
 
+from veclake.llm.registry import MIX_BYTES  # noqa: E402
+
+from .test_operators import EXTRA, fingerprint, linked, lower, repeated, words  # noqa: E402
+
 
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
@@ -54,7 +57,8 @@ def test_stages(spark, corpus):
     root = linked(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
     least = {r: min(i for i, q in zip(ids, root) if q == r) for r in root}
     assert set(kept[2]) == set(least.values()) and len(least) < len(ids)
-    tokens = lambda ids: sum(-(-len(kept[2][i].encode()) // 4) for i in ids)
+    langs = {r[0]: r[2] for r in rows}
+    tokens = lambda ids: sum(math.ceil(len(kept[2][i].encode()) / MIX_BYTES[langs[i]]) for i in ids)
     assert set(kept[3]) <= set(kept[2]) and 0.4 < tokens(kept[3]) / tokens(kept[2]) <= 0.6
     packed = p.STAGES[-1][1](spark, docs, d).collect()
     assert {r["doc_id"] for r in packed} == set(kept[3])
@@ -77,6 +81,38 @@ def test_both_searches_make_groups_together(spark):
     assert {r["doc_id"] for r in p.near_dedup(spark, docs, "").collect()} == {1, 4}
 
 
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, columns with the stages' own names, an empty table."""
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(10)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    rows = [(i, text(120), ["en", None][i % 2], ["src1", None, ""][i % 3]) for i in range(40)]
+    rows += [(100, None, "en", "src1"), (101, "", None, None), (102, " \n ", "de", "src2"), (103, text(60_000), "en", "src1"), (None, text(90), "en", "src1"), (None, None, None, None), (None, rows[3][1], "fr", "src9")]
+    rows += [rows[7], rows[7], (104, rows[8][1].upper(), "en", "src1")]
+    base = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    docs = base.selectExpr("*", "0L as n_chars", *[f"cast(null as {k}) as {n}" if n != "id" else "'clash' as id" for n, k in (x.split() for x in EXTRA.split(", "))])
+    key = lambda r: (r["doc_id"], r["text"])
+    before = Counter(map(key, docs.collect()))
+    for k, (_, stage) in enumerate(p.STAGES):
+        assert stage(spark, docs.limit(0), "").count() == 0
+        out = stage(spark, docs, "")
+        if k < 4:
+            out.write.parquet(f"{tmp_path}/{k}")
+            out = spark.read.parquet(f"{tmp_path}/{k}")
+            after = Counter(map(key, out.collect()))
+            assert out.columns == docs.columns and after <= before
+            # rows that repeat id and text go or stay together
+            assert after[rows[7][:2]] in (0, 3)
+            docs, before = out, after
+        else:
+            assert {r["doc_id"] for r in out.collect()} == {i for i, _ in before}
+        if k == 0:
+            assert (103, rows[43][1]) in after and all(len(words(t)) >= 50 for _, t in after) and len(after) == 44
+        if k == 1:
+            assert (104, rows[8][1].upper()) in after and rows[8][:2] not in after and (None, rows[3][1]) not in after
+
+
 def test_registered():
     import __spark_entry__ as e
 
