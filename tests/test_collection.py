@@ -199,6 +199,18 @@ def test_auto_save(spark, tmp_path):
         Collection(spark)
 
 
+def test_envelope(spark, tmp_path):
+    """Answers and the caller's mistakes in one form; the call's jobs carry its id."""
+    c = Collection(spark, f"file://{tmp_path}/e")
+    assert c.call("insert", "a-1", id="x", vector=[1.0, 2.0], meta={"k": 1}) == {"success": True, "data": None, "error": None}
+    done = c.call("insert_many", items=[("y", [2.0, 1.0], None, None), ("z", [1.0], None, None)])
+    assert done["data"] == {"inserted_count": 1, "failures": [{"id": "z", "error": "vector has 1 dimensions"}]}
+    assert [(r["id"], r["meta"]) for r in c.call("search", vector=[1.0, 2.0], k=2)["data"]] == [("x", '{"k":1}'), ("y", None)]
+    for verb, arguments, error in (("search", {"vector": [1.0], "k": 2}, "vector has 1 dimensions, expected 2"), ("insert", {"id": "n", "vector": []}, "vector is empty"), ("records", {}, "unknown verb 'records'")):
+        assert c.call(verb, **arguments) == {"success": False, "data": None, "error": error}
+    assert spark.getTags() == set() and c.call("count")["data"] == 2
+
+
 def test_scalar_storage(spark, tmp_path):
     c = Collection(spark, f"file://{tmp_path}/s", EngineConfig(quantization="scalar"))
     v = np.array([0.3, -1.1, 0.6])

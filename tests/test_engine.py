@@ -239,6 +239,8 @@ def test_index_in_shards(spark, tmp_path):
     left = rows.where("(id < 100 or id >= 700) and id <> 5").select("id", "vector").union(moved.select("id", "vector"))
     assert share(ann.search(later, q, 10, every), search.batch_top_k(left, q, 10)) >= 0.97
     assert ann.layer_stats(later, c).where("n_dangling > 0").isEmpty() and ann.edges(later, c).where("layer = 0").count() == 1801
+    assert tuple(ann.size(later).first())[:2] == (1801, 16)
+    assert {r["id"]: r["vector"] for r in ann.lookup(later, [5, 9001, 300, -1]).collect()} == {5: x[9].tolist(), 9001: x[11].tolist()}
     empty = ann.update(index, c, removed=rows.select("id"))
     assert empty.isEmpty() and ann.search(empty, q, 5, c).isEmpty()
 
@@ -297,8 +299,8 @@ def test_streaming_ingest(spark, tmp_path):
 
 
 def test_config(tmp_path):
-    (tmp_path / "c.yaml").write_text("engine:\n  metric: euclidean # comment\n  m: 8\n")
-    with pytest.warns(UserWarning):
+    (tmp_path / "c.yaml").write_text("engine:\n  metric: euclidean # comment\n  m: 8\n  seed: odd\n")
+    with pytest.warns(UserWarning, match="seed='odd'|EF_SEARCH='many'"):
         c = config.load(f"{tmp_path}/c.yaml", {"VECLAKE_M": "12", "VECLAKE_EF_SEARCH": "many"})
     assert (c.metric, c.m, c.ef_search) == ("euclidean", 12, 100)
     for bad in ({"index_type": "x"}, {"metric": "dot"}, {"quantization": "pq"}, {"ef_construction": 8}, {"auto_save_seconds": 0}, {"dimensions": -1}):

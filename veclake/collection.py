@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Iterable
 from dataclasses import replace
 from itertools import islice
@@ -17,6 +18,8 @@ from .functions import vectors as V
 from .operators import ann, changes, search, sparse, validate
 from .sources.store import Store
 
+#: What ``call`` may do.
+VERBS = ("insert", "insert_many", "delete", "get", "count", "info", "search", "search_batch", "flush", "reset")
 #: Rows of a batch of inserts.
 ROW = "place long, id string, vector array<float>, sparse struct<indices:array<bigint>,values:array<float>>, meta string"
 
@@ -223,6 +226,29 @@ class Collection:
             return sparse.rescored(scored.select("query_id", "id", dense.alias("score")), rows, queries, k)
         return sparse.hybrid_batch_top_k(rows, queries, k, c.metric, c.quantization)
 
+    def call(self, verb: str, correlation_id: str | None = None, **arguments) -> dict:
+        """A verb's answer as {success, data, error}; what the caller got wrong is an error text.
+
+        Results are rows as dictionaries.  The Spark jobs of the call carry the
+        correlation id (a new one if none is given) as a tag.
+        """
+        if verb not in VERBS:
+            return {"success": False, "data": None, "error": f"unknown verb {verb!r}"}
+        tag = f"call-{correlation_id or uuid.uuid4().hex}"
+        self.spark.addTag(tag)
+        try:
+            data = getattr(self, verb)(**arguments)
+            if isinstance(data, dict) and "failures" in data:
+                data = {**data, "failures": [r.asDict() for r in data["failures"].collect()]}
+            elif isinstance(data, DataFrame):
+                kinds = dict(data.dtypes)
+                data = [r.asDict(True) for r in data.select(*[F.to_json(c).alias(c) if kinds[c] == "variant" else c for c in data.columns]).collect()]
+            return {"success": True, "data": data, "error": None}
+        except ValueError as e:
+            return {"success": False, "data": None, "error": str(e)}
+        finally:
+            self.spark.removeTag(tag)
+
     def postings(self) -> DataFrame:
         return sparse.postings(self.records().where("sparse is not null"))
 

@@ -1,7 +1,7 @@
 """Engine configuration: defaults, file, environment, checks.
 
-Environment goes over file, file over defaults.  A variable that cannot be
-parsed is reported and what was set before stays.
+Environment goes over file, file over defaults.  A value of either that cannot
+be parsed is reported and what was set before stays.
 """
 
 from __future__ import annotations
@@ -83,15 +83,15 @@ def _parsed(kind: str, value):
 def load(path: str | None = None, environment: dict | None = None) -> EngineConfig:
     config = EngineConfig()
     kinds = {f.name: f.type for f in fields(EngineConfig)}
-    for key, value in (_read(path) if path and os.path.exists(path) else {}).items():
-        if key in kinds:
-            config = replace(config, **{key: _parsed(kinds[key], value)})
+    found = {k: (v, k) for k, v in (_read(path) if path and os.path.exists(path) else {}).items()}
     env = os.environ if environment is None else environment
-    for key, kind in kinds.items():
-        raw = env.get(ENV_PREFIX + key.upper())
-        if raw:
+    for source in (found, {k: (env.get(ENV_PREFIX + k.upper()), ENV_PREFIX + k.upper()) for k in kinds}):
+        for key, kind in kinds.items():
+            raw, name = source.get(key, (None, key))
+            if raw in (None, ""):
+                continue
             try:
                 config = replace(config, **{key: _parsed(kind, raw)})
-            except ValueError:
-                warnings.warn(f"{ENV_PREFIX}{key.upper()}={raw!r} is no {kind}; {getattr(config, key)!r} stays", stacklevel=2)
+            except (TypeError, ValueError):
+                warnings.warn(f"{name}={raw!r} is no {kind}; {getattr(config, key)!r} stays", stacklevel=2)
     return config.checked()

@@ -515,7 +515,29 @@ def edges(index: DataFrame, config: EngineConfig) -> DataFrame:
                 columns = list(zip(*each, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2]), pa.array(columns[3])], ["shard", "layer", "key", "neighbors"])
 
-    return on_workers(index.sparkSession) and index.mapInArrow(run, f"shard int, layer int, key {id_type}, neighbors array<{id_type}>")
+    on_workers(index.sparkSession)
+    return index.mapInArrow(run, f"shard int, layer int, key {id_type}, neighbors array<{id_type}>")
+
+
+def size(index: DataFrame) -> DataFrame:
+    """(n, dimensions, graphs) of an index."""
+    return index.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).cast("long").alias("n"), F.coalesce(F.max("width"), F.lit(0)).alias("dimensions"), F.count("*").alias("graphs"))
+
+
+def lookup(index: DataFrame, ids: list) -> DataFrame:
+    """(id, vector) of some nodes, as floats; those not there are left out."""
+    id_type, wanted = index.schema["ids"].dataType.elementType.simpleString(), set(ids)
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = [k for k, i in enumerate(row["ids"]) if i in wanted]
+                if at:
+                    matrix = np.frombuffer(row["vectors"], row["kind"]).reshape(-1, row["width"])
+                    yield pa.RecordBatch.from_arrays([pa.array([row["ids"][k] for k in at]), pa.array(matrix[at].astype(np.float32).tolist(), pa.list_(pa.float32()))], ["id", "vector"])
+
+    on_workers(index.sparkSession)
+    return index.select("ids", "vectors", "kind", "width").mapInArrow(run, f"id {id_type}, vector array<float>")
 
 
 def layer_stats(index: DataFrame, config: EngineConfig) -> DataFrame:

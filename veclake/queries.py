@@ -484,21 +484,20 @@ def store_stream_ingest(spark, sf_dir):
 def damaged(spark, sf_dir) -> DataFrame:
     """The embeddings as a batch with faults: every 7th is one dimension short, every 11th has a NaN."""
     rows = records(spark, sf_dir)
-    short = F.slice("vector", 1, 63)
+    short = F.slice("vector", F.lit(1), F.size("vector") - 1)
     nan = F.transform("vector", lambda x, i: F.when(i == 5, F.lit(float("nan")).cast("float")).otherwise(x))
     return rows.withColumn("vector", F.when(F.col("id") % 7 == 3, short).when(F.col("id") % 11 == 3, nan).otherwise(F.col("vector")))
 
 
-@query("SELECT vec_id AS id, CASE WHEN vec_id % 7 = 3 THEN 'vector has 63 dimensions' ELSE 'vector[5] is not finite' END AS error FROM embeddings WHERE vec_id % 7 = 3 OR vec_id % 11 = 3")
+@query("SELECT vec_id AS id, CASE WHEN vec_id % 7 = 3 THEN 'vector has ' || (len(embedding) - 1) || ' dimensions' ELSE 'vector[5] is not finite' END AS error FROM embeddings WHERE vec_id % 7 = 3 OR vec_id % 11 = 3")
 def batch_insert_failures(spark, sf_dir):
-    return validate.split(damaged(spark, sf_dir), validate.error_column(64))[1]
+    return validate.split(damaged(spark, sf_dir), validate.error_column(width(records(spark, sf_dir))))[1]
 
 
 @query("SELECT count(*) FILTER (WHERE NOT (vec_id % 7 = 3 OR vec_id % 11 = 3)) AS inserted_count, count(*) FILTER (WHERE vec_id % 7 = 3 OR vec_id % 11 = 3) AS n_failures FROM embeddings")
 def batch_inserted_count(spark, sf_dir):
     rows = damaged(spark, sf_dir)
-    width = validate.learned_width(rows, "id")
-    marked = rows.select(validate.error_column(width).alias("error"))
+    marked = rows.select(validate.error_column(validate.learned_width(rows, "id")).alias("error"))
     return marked.agg(F.count_if(F.col("error").isNull()).alias("inserted_count"), F.count("error").alias("n_failures"))
 
 
