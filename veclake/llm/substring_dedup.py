@@ -59,18 +59,18 @@ def window_hashes(word: np.ndarray) -> np.ndarray:
     return pair(twelve[:-1], word[12:])
 
 
-def _windows(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """128-bit hashes (two parts) of the windows of all texts in a row, the text of each and its place there."""
+def _windows(texts: list, parts: int = 2) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """64-bit hashes of the windows of all texts in a row, by one or two independent functions, the text of each and its place there."""
     hash_ = xxhash.xxh3_128_digest
     each = [words_of(t) for t in texts]
     n = np.fromiter(map(len, each), np.int64, len(each))
     word = np.frombuffer(b"".join([hash_(w) for ws in each for w in ws]), "<u8").reshape(-1, 2)
     if len(word) < WINDOW:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return [np.zeros(0, np.uint64)] * parts, np.zeros(0, np.int64), np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(each)), n)
     place = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
     at = np.flatnonzero(doc[: len(doc) - WINDOW + 1] == doc[WINDOW - 1 :])
-    return *(window_hashes(word[:, k].copy())[at] for k in (0, 1)), doc[at], place[at]
+    return [window_hashes(word[:, k].copy())[at] for k in range(parts)], doc[at], place[at]
 
 
 def _table(rows: list[dict], fields: dict = _FIELDS) -> pa.Table:
@@ -109,7 +109,7 @@ class Codes:
 
     def asking(self, parcel: int, hashes: np.ndarray, of: np.ndarray, ids: np.ndarray) -> list[dict]:
         """A row for each bucket: a parcel's distinct codes, and which of them texts of different ids have."""
-        order = np.argsort(hashes, kind="stable")
+        order = np.argsort(hashes)
         code, own = self.of(hashes[order]), ids[of[order]]
         start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
         code = code[start]
@@ -118,12 +118,16 @@ class Codes:
 
     def answers(self, hashes: np.ndarray, found: list[dict]) -> np.ndarray:
         """Which of a parcel's hashes the buckets have marked."""
-        code, back = np.unique(self.of(hashes), return_inverse=True)
-        flags, parts = np.zeros(len(code), bool), {k: (a, b) for k, a, b in self.parts(code)}
+        order = np.argsort(hashes)
+        code = self.of(hashes[order])
+        new = np.r_[True, code[1:] != code[:-1]][: len(code)]
+        flags, parts = np.zeros(int(new.sum()), bool), {k: (a, b) for k, a, b in self.parts(code[new])}
         for r in found:
             a, b = parts[r["bucket"]]
             flags[a:b] = np.unpackbits(np.frombuffer(r["first"], np.uint8), count=b - a)
-        return flags[back]
+        out = np.empty(len(code), bool)
+        out[order] = flags[np.cumsum(new) - 1]
+        return out
 
 
 def _deal(batches):
@@ -140,7 +144,7 @@ def _send(codes: Codes):
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("at")
-        hashes, _, of, _ = _windows(rows["text"].to_pylist())
+        (hashes,), of, _ = _windows(rows["text"].to_pylist(), 1)
         return _table(codes.asking(rows["parcel"][0].as_py(), hashes, of, rows["id"].to_numpy()), _ASKED)
 
     return run
@@ -174,7 +178,7 @@ def _answer(kind: int, bucket: int, parcels: list, first: list, second: list) ->
 def _candidates(codes: Codes, rows: pa.Table, found: list[dict]) -> tuple:
     """A parcel's windows that the first answers have marked, distinct hashes of them in order, and the place of each in these."""
     rows = rows.sort_by("at")
-    a, b, of, place = _windows(rows["text"].to_pylist())
+    (a, b), of, place = _windows(rows["text"].to_pylist())
     keep = np.flatnonzero(codes.answers(a, [r for r in found if r["kind"] == FIRST]))
     a, b, of, place = a[keep], b[keep] >> np.uint64(32), of[keep], place[keep]
     order = np.lexsort((b, a))
