@@ -145,6 +145,17 @@ def test_arrow_plan_equals_expressions(spark):
     assert search.batch_top_k(rows, q.limit(0), 5).count() == 0 and search.batch_top_k(rows.limit(0), q, 5).count() == 0
 
 
+def test_kept_norms(spark):
+    """A column of norms saves their computation and changes no score."""
+    from veclake.functions import vectors as V
+
+    x = np.random.default_rng(8).normal(size=(50, 6)).astype(np.float32)
+    x[4] = 0
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>").withColumn("norm", V.norm(F.col("vector")))
+    q = x[0].tolist()
+    assert [tuple(r) for r in search.top_k(rows, q, 50, norm_col="norm").select("id", "score").collect()] == [tuple(r) for r in search.top_k(rows, q, 50).select("id", "score").collect()]
+
+
 def test_many_stated_queries(spark):
     """More queries than one block holds: all are answered, each once."""
     rng = np.random.default_rng(6)
@@ -268,6 +279,9 @@ def test_bodies(spark, tmp_path):
     (tmp_path / "many.json").write_text('{"vectors":[{"id":"a","vector":[1,2]},{"id":"b","vector":[3,4]}]}\n')
     assert bodies.inserts(spark, f"{tmp_path}/one.json").first()["sparse"]["indices"] == [3]
     assert bodies.batches(spark, f"{tmp_path}/many.json").count() == 2
+    (tmp_path / "none.json").write_text('{"vectors":[]}\n')
+    with pytest.raises(Exception, match="must not be empty"):
+        bodies.batches(spark, f"{tmp_path}/none.json").collect()
     assert '"meta"' not in bodies.results_json(spark.createDataFrame([("a", 1.0, None)], "id string, score double, meta string")).first()["value"]
 
 

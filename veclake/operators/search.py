@@ -20,9 +20,11 @@ HEAP_ROWS = 100_000
 ROWS = 4096
 
 
-def score(vector: Column, query: Column, metric: str, quantization: str = "none") -> Column:
-    """Similarity of a stored (encoded) vector and an encoded query."""
+def score(vector: Column, query: Column, metric: str, quantization: str = "none", norm: Column | None = None) -> Column:
+    """Similarity of a stored (encoded) vector and an encoded query; ``norm`` is the stored vector's, if it is kept."""
     m = V.resolve(metric)
+    if norm is not None and m.scale_invariant and quantization == "none":
+        return V.cosine_similarity(vector, query, norm)
     return (m.similarity if quantization == "none" else m.similarity_int8)(vector, query)
 
 
@@ -30,17 +32,17 @@ def query_column(query: list[float]) -> Column:
     return F.array(*[F.lit(float(x)).cast("float") for x in query])
 
 
-def top_k(records: DataFrame, query: list[float], k: int, metric: str = "cosine", quantization: str = "none", where: Column | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+def top_k(records: DataFrame, query: list[float], k: int, metric: str = "cosine", quantization: str = "none", where: Column | None = None, id_col: str = "id", vector_col: str = "vector", norm_col: str | None = None) -> DataFrame:
     """One query: filter, score, take the k best; equal scores by id.
 
-    Records hold encoded vectors.  A partial top-k runs in each task, and the
+    Records hold encoded vectors, and their norms if ``norm_col`` names them.  A partial top-k runs in each task, and the
     driver's merge sees k rows of each.
     """
     check_k(k)
     check_query(query)
     rows = records if where is None else records.where(where)
     encoded = V.encode(query_column(query), quantization, metric)
-    scored = rows.withColumn("score", score(F.col(vector_col), encoded, metric, quantization))
+    scored = rows.withColumn("score", score(F.col(vector_col), encoded, metric, quantization, norm_col and F.col(norm_col)))
     best_first = scored.orderBy(F.desc("score"), id_col)
     if k > HEAP_ROWS and k >= rows.count():  # a plain sort, no heap of k rows
         return best_first

@@ -18,8 +18,9 @@ def inserts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def batches(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of batch bodies -> records."""
-    return _records(spark.read.schema(BATCH_BODY).json(path).select(F.explode("vectors").alias("v")).select("v.*"))
+    """Lines of batch bodies -> records; a body without any is an error."""
+    some = F.when(F.size("vectors") > 0, F.col("vectors")).otherwise(F.raise_error(F.lit("vectors must not be empty")))
+    return _records(spark.read.schema(BATCH_BODY).json(path).select(F.explode(some).alias("v")).select("v.*"))
 
 
 def results_json(results: DataFrame) -> DataFrame:
