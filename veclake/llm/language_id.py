@@ -144,7 +144,10 @@ def language_id(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         part = names[at : at + AT_ONCE]
         shared = docs.sparkSession.sparkContext.broadcast((part, matrix_of(sums, part), np.log([learned[x] / total for x in part])))
 
-        def run(batches, shared=shared):
+        last = at + AT_ONCE >= len(names)
+        passed = ["id", "held_out"] if last else ["id", "held_out", "text"]  # the text goes on to the next block only
+
+        def run(batches, shared=shared, passed=passed):
             names, matrix, prior = shared.value
             for batch in batches:
                 texts, langs = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -156,9 +159,9 @@ def language_id(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
                 total = total * np.exp(top - high) + np.exp(x - high[:, None]).sum(1)
                 langs = [names[k] if m > t else old for k, m, t, old in zip(best.tolist(), mine.tolist(), top.tolist(), langs, strict=True)]
                 langs = ["und" if t is None or not _letter(t) else x for t, x in zip(texts, langs, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(langs, pa.string()), pa.array(high), pa.array(total)], batch.schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], pa.array(langs, pa.string()), pa.array(high), pa.array(total)], [*passed, "lang_pred", "top", "sum"])
 
-        out = arrow(out, run, f"id {kind}, held_out boolean, text string, lang_pred string, top double, sum double")
+        out = arrow(out, run, f"id {kind}, held_out boolean, {'' if last else 'text string, '}lang_pred string, top double, sum double")
     lang = F.coalesce("lang_pred", F.lit("und"))
     return out.select(F.col("id").alias(id_col), "held_out", lang.alias("lang_pred"), F.when(lang == "und", 0.0).otherwise(1 / F.col("sum")).alias("score"))
 
