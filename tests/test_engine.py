@@ -254,6 +254,7 @@ def test_index_in_shards(spark, tmp_path):
     assert {r["id"]: r["vector"] for r in ann.lookup(later, [5, 9001, 300, -1]).collect()} == {5: x[9].tolist(), 9001: x[11].tolist()}
     empty = ann.update(index, c, removed=rows.select("id"))
     assert empty.isEmpty() and ann.search(empty, q, 5, c).isEmpty()
+    assert tuple(ann.size(ann.update(empty, c, moved)).first()) == (2, 16, 1)
 
 
 def test_plan_and_strategy_agree(spark):

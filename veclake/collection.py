@@ -146,8 +146,6 @@ class Collection:
         """The index with the log's changes after a sequence number."""
         last = changes.latest(self.store.log(after))
         added = last.where("action = 'INSERT'").select("id", "vector", "meta")
-        if index.isEmpty():  # nothing to add to
-            return self._built()
         return ann.update(index, self.config, added, last.where("action = 'DELETE'").select("id"), meta=F.to_json("meta"))
 
     def _built(self) -> DataFrame:

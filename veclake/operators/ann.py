@@ -383,11 +383,13 @@ def update(index: DataFrame, config: EngineConfig, added: DataFrame | None = Non
     spark = on_workers(index.sparkSession)
     id_type = index.schema["ids"].dataType.elementType.simpleString()
     centers = index.select("shard", "center").toArrow()
+    if not centers.num_rows:
+        return index if added is None else build(added, config, meta=meta)
     order = np.argsort(centers["shard"].to_numpy())
     numbers, middle = centers["shard"].to_numpy()[order], np.array(centers["center"].to_pylist(), np.float32)[order]
     kinds = f"shard int, id {id_type}, vector array<float>, meta string"
     none = spark.createDataFrame([], kinds)
-    gone = none if removed is None else removed.select(F.explode(F.array(*[F.lit(int(s)) for s in numbers])).alias("shard"), F.col("id"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("string").alias("meta"))
+    gone = none if removed is None else removed.select("id")
     fresh = none
     if added is not None:
         slim = added.select("id", F.col("vector").cast("array<float>").alias("vector"), (F.lit(None) if meta is None else meta).cast("string").alias("meta"))
@@ -399,8 +401,12 @@ def update(index: DataFrame, config: EngineConfig, added: DataFrame | None = Non
                 yield pa.RecordBatch.from_arrays([pa.array(numbers[at].astype(np.int32)), *batch.columns], ["shard", *batch.schema.names])
 
         fresh = slim.mapInArrow(nearest, kinds)
-        # an id that comes again leaves all other shards
-        gone = gone.union(slim.select(F.explode(F.array(*[F.lit(int(s)) for s in numbers])).alias("shard"), "id", F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("string").alias("meta")))
+        # an id that comes again leaves the shard where it is
+        gone = slim.select("id") if removed is None else gone.union(slim.select("id"))
+    if gone is not none:
+        held = index.select(F.col("shard").alias("_shard"), F.explode("ids").alias("_id"))
+        gone = held.join(gone.distinct(), F.col("_id") == F.col("id"), "left_semi")
+        gone = gone.select(F.col("_shard").alias("shard"), F.col("_id").alias("id"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("string").alias("meta"))
     changes = gone.union(fresh)
 
     def run(own: pa.Table, changed: pa.Table) -> pa.Table:
