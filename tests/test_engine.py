@@ -121,6 +121,29 @@ def test_sparse_scores_match_full_scan(spark):
     assert got == pytest.approx({i: sum(w * d[t] for t, w in q.items() if t in d) for i, d in docs if set(d) & set(q)})
 
 
+def test_sparse_overlaps(spark, monkeypatch):
+    """Numbers of records that share a token and sums of products against all pairs, in bitmaps and blocks of any size; no pair is a row of the plan."""
+    rng = np.random.default_rng(15)
+    some = [(rng.integers(0, 40, rng.integers(0, 9)).tolist(), i) for i in range(150)]
+    some = [(t, rng.choice([-1.0, 0.5, 2.0], len(t)).tolist()) if t else None for t, _ in some]
+    rows = spark.createDataFrame(list(enumerate(some)), f"id long, sparse {sparse.SPARSE}").repartition(3)
+    queries = rows.where("id % 5 = 0").withColumnRenamed("id", "query_id")
+    dense, has = np.zeros((150, 40)), np.zeros((150, 40), int)
+    for i, r in enumerate(some):
+        for t, w in zip(*(r or ((), ()))):
+            dense[i, t], has[i, t] = dense[i, t] + w, 1
+    met, total = (dense != 0).astype(int) @ has.T > 0, dense @ dense.T
+    wanted = {q: (int(met[q].sum()), pytest.approx(float(total[q].sum()))) for q in range(0, 150, 5) if met[q].any()}
+    for block, marked, cells in ((1 << 25, 8192, 1 << 22), (600, 7, 64)):
+        monkeypatch.setattr(sparse, "BLOCK_BYTES", block)
+        monkeypatch.setattr(sparse, "MARKED", marked)
+        monkeypatch.setattr(sparse, "CELLS", cells)
+        found = sparse.overlaps(rows, queries)
+        assert {r["query_id"]: (r["n"], r["total"]) for r in found.collect()} == wanted
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sparse.overlaps(rows, queries.limit(0)).isEmpty() and sparse.overlaps(rows.limit(0), queries).isEmpty()
+
+
 def test_allowlist(spark):
     """Ids by several fields at once, as by a loop over the records."""
     rng = np.random.default_rng(15)
