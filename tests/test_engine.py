@@ -121,6 +121,27 @@ def test_sparse_scores_match_full_scan(spark):
     assert got == pytest.approx({i: sum(w * d[t] for t, w in q.items() if t in d) for i, d in docs if set(d) & set(q)})
 
 
+def test_sparse_top_k_reads_the_records_once(spark, monkeypatch):
+    """Many queries of many tokens are one block and one pass over the records, and pruning by lengths leaves no tie and no small score out."""
+    rng = np.random.default_rng(16)
+    some = [(rng.integers(0, 3000, n).tolist(), [1.0] * int(n)) for n in rng.choice([1, 3, 30, 900], 400, p=[0.3, 0.3, 0.3, 0.1])]
+    some += [some[i] for i in range(0, 400, 4)]  # copies
+    rows = spark.createDataFrame(list(enumerate(some)), f"id long, sparse {sparse.SPARSE}").repartition(2)
+    queries = rows.withColumnRenamed("id", "query_id")
+    dense = np.zeros((len(some), 3000))
+    for i, (t, w) in enumerate(some):
+        np.add.at(dense[i], t, w)
+    product = dense @ dense.T
+    wanted = {(q, r + 1): (i, product[q, i]) for q in range(len(some)) for r, i in enumerate(sorted(np.flatnonzero(product[q]).tolist(), key=lambda i: (-product[q, i], i))[:7])}
+    monkeypatch.setattr(sparse, "BLOCK_BYTES", 2 << 20)
+    for size in (128, 5):
+        monkeypatch.setattr(sparse, "SLICE", size)
+        monkeypatch.setattr(sparse, "CELLS", 4_000_000 if size == 128 else 2000)
+        found = sparse.batch_top_k(rows, queries, 7)
+        assert {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in found.collect()} == wanted
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_sparse_overlaps(spark, monkeypatch):
     """Numbers of records that share a token and sums of products against all pairs, in bitmaps and blocks of any size; no pair is a row of the plan."""
     rng = np.random.default_rng(15)
