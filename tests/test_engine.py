@@ -301,6 +301,27 @@ def test_index_in_shards(spark, tmp_path):
     assert tuple(ann.size(ann.update(empty, c, moved)).first()) == (2, 16, 1)
 
 
+@pytest.fixture(scope="module")
+def scattered(spark):
+    """Vectors without clusters, whose neighbours lie in any graph."""
+    x = np.random.default_rng(21).normal(size=(3000, 24)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist(), json.dumps({"tag": i % 10})) for i, v in enumerate(x)], "id long, vector array<float>, meta string").repartition(3).persist()
+    return rows, rows.where("id % 10 = 0").select(F.col("id").alias("query_id"), "vector")
+
+
+def mean_recall(found, truth):
+    return search.recall(found, truth, 10).agg(F.avg("recall")).first()[0]
+
+
+def test_routes_and_walks_are_widened(spark, scattered):
+    """Three of many graphs hold few of the neighbours, and a walk of width 10 finds few of a graph's: a batch measures both."""
+    rows, q = scattered
+    c = config.EngineConfig(index_type="hnsw", shard_size=300, ef_search=10)
+    index = ann.build(rows, c).persist()
+    assert index.count() >= 10
+    assert mean_recall(ann.search(index, q, 10, c), search.batch_top_k(rows, q, 10)) >= 0.97
+
+
 def test_plan_and_strategy_agree(spark):
     from veclake.plans.strategy import plan, strategy
 
