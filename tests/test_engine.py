@@ -322,6 +322,17 @@ def test_routes_and_walks_are_widened(spark, scattered):
     assert mean_recall(ann.search(index, q, 10, c), search.batch_top_k(rows, q, 10)) >= 0.97
 
 
+def test_filtered_search_sees_all_graphs(spark, scattered):
+    """Matches lie in any graph, also for a single query: min(k, matches) of them, the nearest ones."""
+    rows, q = scattered
+    c = config.EngineConfig(index_type="hnsw", shard_size=300)
+    index = ann.build(rows, c, meta=F.col("meta")).persist()
+    truth = search.batch_top_k(rows.where("id % 10 = 3"), q, 10)
+    for some in (q, q.where("query_id = 500")):
+        wanted = {(r["query_id"], r["id"]) for r in truth.join(some.select("query_id"), "query_id", "left_semi").collect()}
+        assert {(r["query_id"], r["id"]) for r in ann.search(index, some, 10, c, where={"tag": 3}).collect()} == wanted
+
+
 def test_plan_and_strategy_agree(spark):
     from veclake.plans.strategy import plan, strategy
 
