@@ -333,6 +333,15 @@ def test_filtered_search_sees_all_graphs(spark, scattered):
         assert {(r["query_id"], r["id"]) for r in ann.search(index, some, 10, c, where={"tag": 3}).collect()} == wanted
 
 
+def test_changed_index_keeps_its_recall(spark, scattered):
+    """Records added to and removed from several graphs, against exact search of what is left."""
+    rows, q = scattered
+    c = config.EngineConfig(index_type="hnsw", shard_size=300)
+    index = ann.update(ann.build(rows.where("id % 5 <> 1"), c), c, rows.where("id % 5 = 1").select("id", "vector"), rows.where("id % 7 = 2").select("id")).persist()
+    left = rows.where("id % 7 <> 2 or id % 5 = 1")
+    assert mean_recall(ann.search(index, q, 10, c), search.batch_top_k(left, q, 10)) >= 0.97
+
+
 def test_plan_and_strategy_agree(spark):
     from veclake.plans.strategy import plan, strategy
 
