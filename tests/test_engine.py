@@ -349,6 +349,12 @@ def test_int8_routes_are_widened(spark, scattered):
     assert mean_recall(ann.search(ann.build(stored, c).persist(), q, 10, c), search.batch_top_k(stored, q, 10, quantization="scalar")) >= 0.97
 
 
+def test_euclidean_routes_are_widened(spark, scattered):
+    rows, q = scattered
+    c = config.EngineConfig(index_type="hnsw", shard_size=300, metric="euclidean")
+    assert mean_recall(ann.search(ann.build(rows, c).persist(), q, 10, c), search.batch_top_k(rows, q, 10, "euclidean")) >= 0.97
+
+
 def test_plan_and_strategy_agree(spark):
     from veclake.plans.strategy import plan, strategy
 
