@@ -355,6 +355,15 @@ def test_euclidean_routes_are_widened(spark, scattered):
     assert mean_recall(ann.search(ann.build(rows, c).persist(), q, 10, c), search.batch_top_k(rows, q, 10, "euclidean")) >= 0.97
 
 
+def test_routes_over_many_small_graphs(spark, scattered):
+    """Three of some hundred graphs are a start only, and those visited find what all of them do."""
+    rows, q = scattered
+    c = config.EngineConfig(index_type="hnsw", shard_size=30)
+    index = ann.build(rows, c).persist()
+    assert index.count() >= 100
+    assert mean_recall(ann.search(index, q, 10, c), ann.search(index, q, 10, replace(c, probes=0))) >= 0.97
+
+
 def test_plan_and_strategy_agree(spark):
     from veclake.plans.strategy import plan, strategy
 
