@@ -364,6 +364,22 @@ def test_routes_over_many_small_graphs(spark, scattered):
     assert mean_recall(ann.search(index, q, 10, c), ann.search(index, q, 10, replace(c, probes=0))) >= 0.97
 
 
+@pytest.fixture(scope="module")
+def copied(spark):
+    """50 vectors, 60 copies of each: more than k are equally near, of which those with the smallest ids count."""
+    x = np.random.default_rng(22).normal(size=(50, 24)).astype(np.float32)
+    rows = spark.createDataFrame([(i, x[i % 50].tolist()) for i in range(3000)], "id long, vector array<float>").repartition(3).persist()
+    return rows, rows.where("id % 10 = 0").select(F.col("id").alias("query_id"), "vector")
+
+
+def test_changed_index_of_copies(spark, copied):
+    rows, q = copied
+    c = config.EngineConfig(index_type="hnsw", ef_search=20)
+    index = ann.update(ann.build(rows.where("id % 5 <> 1"), c), c, rows.where("id % 5 = 1"), rows.where("id % 7 = 2").select("id")).persist()
+    left = rows.where("id % 7 <> 2 or id % 5 = 1")
+    assert mean_recall(ann.search(index, q, 10, c), search.batch_top_k(left, q, 10)) >= 0.97
+
+
 def test_plan_and_strategy_agree(spark):
     from veclake.plans.strategy import plan, strategy
 
