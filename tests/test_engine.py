@@ -380,6 +380,13 @@ def test_changed_index_of_copies(spark, copied):
     assert mean_recall(ann.search(index, q, 10, c), search.batch_top_k(left, q, 10)) >= 0.97
 
 
+def test_int8_copies(spark, copied):
+    rows, q = copied
+    c = config.EngineConfig(index_type="hnsw", ef_search=20, quantization="scalar")
+    stored = ann.encoded_records(rows, c)
+    assert mean_recall(ann.search(ann.build(stored, c).persist(), q, 10, c), search.batch_top_k(stored, q, 10, quantization="scalar")) >= 0.97
+
+
 def test_plan_and_strategy_agree(spark):
     from veclake.plans.strategy import plan, strategy
 
