@@ -387,6 +387,12 @@ def test_int8_copies(spark, copied):
     assert mean_recall(ann.search(ann.build(stored, c).persist(), q, 10, c), search.batch_top_k(stored, q, 10, quantization="scalar")) >= 0.97
 
 
+def test_euclidean_copies(spark, copied):
+    rows, q = copied
+    c = config.EngineConfig(index_type="hnsw", ef_search=20, metric="euclidean")
+    assert mean_recall(ann.search(ann.build(rows, c).persist(), q, 10, c), search.batch_top_k(rows, q, 10, "euclidean")) >= 0.97
+
+
 def test_plan_and_strategy_agree(spark):
     from veclake.plans.strategy import plan, strategy
 
