@@ -393,6 +393,14 @@ def test_euclidean_copies(spark, copied):
     assert mean_recall(ann.search(ann.build(rows, c).persist(), q, 10, c), search.batch_top_k(rows, q, 10, "euclidean")) >= 0.97
 
 
+def test_copies_over_many_small_graphs(spark, copied):
+    """Copies dealt to several graphs score alike in all of them."""
+    rows, q = copied
+    c = config.EngineConfig(index_type="hnsw", shard_size=300, ef_search=20)
+    index = ann.build(rows, c).persist()
+    assert mean_recall(ann.search(index, q, 10, replace(c, probes=0)), search.batch_top_k(rows, q, 10)) >= 0.97
+
+
 def test_plan_and_strategy_agree(spark):
     from veclake.plans.strategy import plan, strategy
 
