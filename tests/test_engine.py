@@ -401,6 +401,18 @@ def test_copies_over_many_small_graphs(spark, copied):
     assert mean_recall(ann.search(index, q, 10, replace(c, probes=0)), search.batch_top_k(rows, q, 10)) >= 0.97
 
 
+def test_exact_search_ranks_copies_by_id(spark):
+    """Equal vectors score alike wherever they lie in a batch, so the smallest ids are returned, as in the SQL."""
+    rng = np.random.default_rng(24)
+    x = rng.normal(size=(1003, 64)).astype(np.float32)
+    x[500:] = x[500]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, vector array<float>").coalesce(1)
+    q = rows.where("id >= 500 and id % 7 = 0").select(F.col("id").alias("query_id"), "vector")
+    for metric in ("cosine", "euclidean"):
+        found = search.batch_top_k(rows, q, 10, metric).collect()
+        assert {(r["rank"], r["id"]) for r in found} == {(k + 1, 500 + k) for k in range(10)}
+
+
 def test_plan_and_strategy_agree(spark):
     from veclake.plans.strategy import plan, strategy
 
