@@ -413,6 +413,16 @@ def test_exact_search_ranks_copies_by_id(spark):
         assert {(r["rank"], r["id"]) for r in found} == {(k + 1, 500 + k) for k in range(10)}
 
 
+def test_int8_search_returns_each_id_once(spark):
+    x = np.random.default_rng(22).normal(size=(3000, 24))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, vector array<float>").persist()
+    c = config.EngineConfig(index_type="hnsw", quantization="scalar")
+    q = rows.where("id % 5 = 0").select(F.col("id").alias("query_id"), "vector")
+    found = ann.search(ann.build(ann.encoded_records(rows, c), c), q, 10, c)
+    assert found.select("query_id", "id").distinct().count() == found.count() == 6000
+
+
 def test_plan_and_strategy_agree(spark):
     from veclake.plans.strategy import plan, strategy
 
