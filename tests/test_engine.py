@@ -401,6 +401,28 @@ def test_copies_over_many_small_graphs(spark, copied):
     assert mean_recall(ann.search(index, q, 10, replace(c, probes=0)), search.batch_top_k(rows, q, 10)) >= 0.97
 
 
+@pytest.fixture(scope="module")
+def nearly_copied(spark):
+    """50 vectors, 60 of each that differ by less than single precision tells apart."""
+    rng = np.random.default_rng(23)
+    x = np.tile(rng.normal(size=(50, 24)), (60, 1)) + rng.normal(size=(3000, 24)) * 1e-4
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.astype(np.float32).tolist())], "id long, vector array<float>").repartition(3).persist()
+    return rows, rows.where("id % 10 = 0").select(F.col("id").alias("query_id"), "vector")
+
+
+def test_euclidean_near_copies(spark, nearly_copied):
+    """What single precision does not tell apart is ranked in double."""
+    rows, q = nearly_copied
+    c = config.EngineConfig(index_type="hnsw", ef_search=100, metric="euclidean")
+    assert mean_recall(ann.search(ann.build(rows, c).persist(), q, 10, c), search.batch_top_k(rows, q, 10, "euclidean")) >= 0.99
+
+
+def test_near_copies_over_many_small_graphs(spark, nearly_copied):
+    rows, q = nearly_copied
+    c = config.EngineConfig(index_type="hnsw", shard_size=160, probes=0)
+    assert mean_recall(ann.search(ann.build(rows, c).persist(), q, 10, c), search.batch_top_k(rows, q, 10)) >= 0.99
+
+
 def test_exact_search_ranks_copies_by_id(spark):
     """Equal vectors score alike wherever they lie in a batch, so the smallest ids are returned, as in the SQL."""
     rng = np.random.default_rng(24)
